@@ -41,14 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-@contextmanager
-def conf(spark: SparkSession, **settings: object) -> Iterator[None]:
-    """Session settings for the time of a block; underscores stand for dots."""
-    keys = {k.replace("__", "."): str(v) for k, v in settings.items()}
-    with set_conf(spark, keys):
-        yield
-
-
 @contextmanager
 def set_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in settings}
@@ -73,7 +65,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     with set_conf(spark, {_CLEANUP: "true"}):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() made and no result needs any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -97,7 +98,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = materialise(new.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+        discard(labels)
+        labels = new
+        if not new.where("label <> old").limit(1).count():
+            discard(both)
+            return labels.select("node", "label")

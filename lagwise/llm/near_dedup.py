@@ -9,10 +9,14 @@
    probability 2e-8 (0.8: 3e-6).
 3. Shingles that only one of the candidate documents has (`lone`) bound the similarity of any pair: the union exceeds
    the intersection by both lone counts at least. Documents that this bound keeps from linking with any other leave.
-4. In each key, the document with the smallest share of lone shingles is the hub, and the others are held against it on
-   their full sets; connected components follow. Then pairs of a key that are still in different components, and that
-   the bound allows, are held against each other too. So no link is lost, and a group that one hub links costs a
-   comparison for each member, not for each pair.
+4. In each key, the document with the smallest share of lone shingles is the hub; the others are held against it on
+   their full sets, and connected components of the links follow. What is left are pairs of members of one hub in
+   different components. With d(x) the number of shingles by which x and the hub differ, a link of x and y forces the
+   differences of both from the hub to share at least d * p / (100 + p) shingles (p percent; at least d(x) - L(x) for a
+   member that the hub does not link, L(x) being the most by which x may differ from anything it links with). So by the
+   prefix principle a pair needs a common shingle among the first d - c + 1 differences of each, in one order: what a
+   member has beyond the hub first, then what it lacks. Such pairs are held against each other too. No link is lost, and
+   a group that one hub links costs a comparison for each member, not for each pair.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a
 shingle are one shingle; rows that share an id count as one document; a row with a null id is grouped by its text, but
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded_batches, components, materialise, text_of
+from lagwise.llm.common import bounded_batches, components, discard, materialise, text_of
 from lagwise.llm.hashing import U, mix, run_hashes, word_hashes
 
 #: Ids up to this many are broadcast (8 bytes each and as much again for the table); more are joined by shuffle.
@@ -94,26 +98,57 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "b").join(y, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) -> whether hub a links b, and the differences of b from a that lead to b's other links: `first` of all, `half` of them for members alike."""
+    x = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    y = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
+    df = pairs.join(x, "b").join(y, "a").select("a", "b", F.size("sb").alias("n"), (F.size("sa") + F.size("sb")).alias("both"), F.array_except("sb", "sa").alias("more"), F.array_except("sa", "sb").alias("less"))
+    df = df.withColumn("d", F.size("more") + F.size("less")).withColumn("linked", (100 + percent) * F.col("d") <= (100 - percent) * F.col("both"))
+    most = F.floor((100 - percent) * F.col("n") / percent)
+    df = df.withColumn("half", (F.col("d") - F.floor(F.col("d") * percent / (100 + percent))).cast("int"))
+    long = (F.col("d") - F.greatest(F.lit(1), F.col("d") - most) + 1).cast("int")
+    ahead = F.slice(F.concat(F.sort_array("more"), F.sort_array("less")), F.lit(1), F.when(F.col("linked"), F.col("half")).otherwise(F.greatest("half", long)))
+    return df.select("a", "b", "linked", "half", F.when(F.col("linked"), F.lit(0)).otherwise(long).alias("long"), ahead.alias("first"))
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """The bound that the lone shingles of both set."""
     sizes, lone = f"({x}.n + {y}.n)", f"({x}.lone + {y}.lone)"
     return F.expr(f"100 * ({sizes} - {lone}) >= {percent} * ({sizes} + {lone}) and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
 
 
+def _across(stars: DataFrame, labels: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of members of one hub, in different components, that share an early difference from it."""
+    part = light.join(labels, light.id == labels.node, "left").select(F.col("id").alias("b"), "n", "lone", F.coalesce("label", "id").alias("part"))
+    rows = stars.join(part, "b").select("a", "b", "part", "n", "lone", "linked", "half", "long", F.posexplode("first").alias("i", "e"))
+    # A hub and a difference make one key; a member takes part as one of the unlinked (`long`), or with its first `half`.
+    rows = rows.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("id"), "part", "n", "lone", "linked", (F.col("i") < F.col("half")).alias("early"), (F.col("i") < F.col("long")).alias("far"))
+    shared = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count_if(~F.col("linked")).alias("u")).where("p <> q and u > 0").select("key")
+    rows = materialise(rows.join(shared, "key", "left_semi"), "differences")
+    x, y = rows.where("not linked").alias("x"), rows.where("early").alias("y")
+    alike = F.expr("if(y.linked, x.far, x.early and x.id < y.id)")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & alike & _may_link("x", "y", percent))
+    pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    discard(rows)
+    return pairs
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 12, symbols: int = 6, errors: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach) and kept (doc_id = component_id), for every row."""
     bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
     id_field = T.StructField("id", slim.schema["id"].dataType)
     fields = [id_field, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    signed = materialise(slim.mapInArrow(_signer(shingle, chunks, symbols, errors), T.StructType(fields)), "signatures")
+    full = materialise(slim.mapInArrow(_signer(shingle, chunks, symbols, errors), T.StructType(fields)), "signatures")
+    signed = materialise(full.drop("keys"), "digests")
     classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
 
-    firsts = signed.join(classes, [signed.digest == classes.digest, signed.id == classes.rep], "left_semi")
+    firsts = full.join(classes, [full.digest == classes.digest, full.id == classes.rep], "left_semi")
     keyed = firsts.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = materialise(keyed.join(shared, "key", "left_semi"), "members")
-    wanted = materialise(members.select("id").distinct(), "candidates")
+    found = materialise(keyed.join(shared, "key", "left_semi"), "members")
+    discard(full)
+    wanted = materialise(found.select("id").distinct(), "candidates")
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = slim.join(near, "id", "left_semi").mapInArrow(_set_maker(shingle), T.StructType([id_field, T.StructField("set", T.ArrayType(T.LongType()))]))
     sets = materialise(sets, "sets")
@@ -121,22 +156,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     alone = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     light = sets.select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
-    light = light.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n"))
-    members = materialise(members.join(light, "id"), "light")
+    light = materialise(light.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")), "light")
+    members = materialise(found.join(light, "id"), "members")
+    discard(found)
 
     hubs = members.groupBy("key").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("share"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("lone").alias("lone"))).alias("hub"), F.count(F.lit(1)).alias("c"))
     hubs = hubs.where("c > 1").select("key", "hub.*")
-    pairs = members.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.id") != F.col("h.id")) & _may_link("m", "h", percent))
-    links = materialise(_links(pairs.select(F.col("h.id").alias("a"), F.col("m.id").alias("b")).distinct(), sets, percent), "links")
+    pairs = members.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.id") != F.col("h.id")))
+    stars = materialise(_stars(pairs.select(F.col("h.id").alias("a"), F.col("m.id").alias("b")).distinct(), sets, percent), "stars")
+    links = stars.where("linked").select("a", "b")
     labels = components(links)
-
-    part = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "lone", F.coalesce("label", "id").alias("part"))
-    split = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    split = materialise(part.join(split, "key", "left_semi"), "split")
-    pairs = split.alias("x").join(split.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & _may_link("x", "y", percent))
-    more = materialise(_links(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets, percent), "links")
+    pairs = _across(stars, labels, light, percent)
+    more = materialise(_links(pairs, sets, percent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
+    discard(wanted, members, light, stars, pairs, sets, more)
 
     out = signed.select("id", "n", "digest").join(classes, "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
     part = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "rep"))
