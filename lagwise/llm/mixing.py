@@ -7,10 +7,12 @@ seed, so documents of higher quality come first more often, and a rerun gives th
 the budget is taken if that comes nearer to it.
 
 Running sums are two-level: each source's keys fall into buckets by exp(-key); sums of buckets give the words ahead of a
-bucket, and only within a bucket are rows ordered. So a hot source is spread over as many tasks as it has buckets.
+bucket, and only the bucket in which a source's budget ends has its rows ordered, to find the last row that is taken.
+Whether a row is taken once more then follows from its own key, so texts are neither shuffled nor sorted, and a hot
+source is no heavier for a task than any other.
 
 Defined results: a null text has no words; null is a source of its own, ordered last; ties in the key fall to the id,
-null ids first, then to the size; rows alike in all these are taken in any order; an empty table gives an empty result;
+null ids first, then to the size; rows alike in all these are taken together; an empty table gives an empty result;
 sources without words have target 0; quality that is null or not above 0 counts as the least weight.
 """
 
@@ -51,39 +53,58 @@ def _uniform(id_col: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    quality: Column | None = None, seed: int = 42, buckets: int = 1024, carry: bool = True,
-) -> DataFrame:
-    """One row for each document: size, source_size, target, copies and taken = copies * size.
-
-    carry: with the document's columns in a struct `row`; otherwise with doc_id alone.
-    """
+def _keyed(docs: DataFrame, rest: Column, id_col: str, source_col: str, text_col: str, quality: Column | None, seed: int, buckets: int) -> DataFrame:
+    """row, and the columns by which a row is placed."""
     text = text_of(docs[text_col])
-    rest = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else docs[id_col].alias("row")
     weight = variety(text) if quality is None else quality
-    slim = docs.select(rest, docs[id_col].alias("id"), docs[source_col].alias("source"), F.size(words(text)).cast("long").alias("size"), weight.cast("double").alias("q"))
+    df = docs.select(rest.alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"), F.size(words(text)).cast("long").alias("size"), weight.cast("double").alias("q"))
     q = F.when(F.col("q") > LEAST_QUALITY, F.col("q")).otherwise(F.lit(LEAST_QUALITY))
-    slim = slim.withColumn("key", -F.log(_uniform(F.col("id"), seed)) / q)
-    slim = materialise(slim.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")), "mix")
+    df = df.withColumn("key", -F.log(_uniform(F.col("id"), seed)) / q).drop("q")
+    return df.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+
+
+def plan(slim: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """One row for each source: p_source, source_size, target, epochs, and the bucket (`last`) and key (`cut`) up to which its rows are taken once more."""
     cells = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ahead = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    cells = cells.select("source", "bucket", ahead.alias("ahead"))
-    goals = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    goals = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     goals = goals.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)))
-    goals = goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = cells.alias("c").join(goals.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source")))
-    plan = plan.select(F.col("c.source").alias("p_source"), F.col("bucket").alias("p_bucket"), "ahead", "source_size", "target", "epochs", "budget")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = slim.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
-    before = F.col("ahead") + F.col("before")
-    extra = (F.col("epochs") < most) & (before < F.col("budget")) & (before + F.col("size") - F.col("budget") <= F.col("budget") - before)
-    copies = F.col("epochs") + F.when(extra, 1).otherwise(0)
-    return rows.select("row" if carry else F.col("row").alias("doc_id"), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def mixed(docs: DataFrame, **options: object) -> DataFrame:
+    goals = goals.withColumn("budget", F.when(F.col("epochs") < most, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
+    goals = goals.withColumnRenamed("source", "p_source")
+    ahead = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
+    edge = cells.withColumn("ahead", ahead).join(goals.select("p_source", "budget"), F.col("source").eqNullSafe(F.col("p_source")))
+    edge = edge.where((F.col("ahead") < F.col("budget")) & (F.col("ahead") + F.col("words") >= F.col("budget")))
+    edge = edge.select(F.col("source").alias("e_source"), F.col("bucket").alias("last"), "ahead", "budget")
+    inside = Window.partitionBy("source").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = slim.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("last")))
+    before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    rows = rows.withColumn("before", before).where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("size") - F.col("budget") <= F.col("budget") - F.col("before")))
+    cuts = rows.groupBy("e_source").agg(F.max(F.struct("key", "id", "size")).alias("cut"))
+    edge = edge.join(cuts.withColumnRenamed("e_source", "c_source"), F.col("e_source").eqNullSafe(F.col("c_source")), "left").select("e_source", "last", "cut")
+    return goals.join(edge, F.col("p_source").eqNullSafe(F.col("e_source")), "left").select("p_source", "source_size", "target", "epochs", "last", "cut")
+
+
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    taken = (F.col("bucket") < F.col("last")) | (F.col("bucket") == F.col("last")) & (F.struct("key", "id", "size") <= F.col("cut"))
+    copies = F.col("epochs") + F.when(taken, 1).otherwise(0)
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    return rows.select("row", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    quality: Column | None = None, seed: int = 42, buckets: int = 4096,
+) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target, copies and taken = copies * size."""
+    slim = materialise(_keyed(docs, docs[id_col], id_col, source_col, text_col, quality, seed, buckets), "mix")
+    return _placed(slim, plan(slim, weights, most)).withColumnRenamed("row", "doc_id")
+
+
+def mixed(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    quality: Column | None = None, seed: int = 42, buckets: int = 4096,
+) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the documents' columns."""
-    rows = mix(docs, carry=True, **options).where("copies > 0")
+    place = (id_col, source_col, text_col, quality, seed, buckets)
+    slim = materialise(_keyed(docs, F.lit(None), *place).drop("row"), "mix")
+    rows = _placed(_keyed(docs, F.struct(*[docs[c] for c in docs.columns]), *place), plan(slim, weights, most)).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
