@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -64,6 +66,26 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return (np.concatenate(hashes), np.concatenate(counts).astype(np.int64)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
+def piece_hashes(buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each piece of a buffer that the pieces fill."""
+    lens = np.diff(np.append(begins, len(buf)))
+    inside = np.arange(len(buf), dtype=np.int32) - np.repeat(begins.astype(np.int32), lens)
+    h = (buf.astype(U) + U(1)) * _powers(_BYTE, int(lens.max()))[inside]
+    return mix(np.add.reduceat(h, begins) + lens.astype(U))
+
+
+def slices(sizes: list[int], most: int = _CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about `most` in size together, so that arrays over them stay small."""
+    a, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > a and total + n > most:
+            yield a, k
+            a, total = k, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k consecutive words; runs cross from text to text, so the caller masks those."""
     n = len(h) - k + 1

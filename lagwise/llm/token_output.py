@@ -21,6 +21,7 @@ an id stand in order of their texts; an empty table gives an empty file.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagwise.llm.common import bounded_batches, text_of
+from lagwise.llm.hashing import piece_hashes, slices
 
 FILE = "stream int, block long, width int, n_ids long, doc_ids array<long>, offsets array<long>, payload binary"
 _FILE = pa.schema([("stream", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -60,14 +62,138 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
+#: White space beyond ASCII; texts with it go to the library whole.
+FAR_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE, _MARK, _ASCII_LETTER = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK[list(b".,;:!?")] = True
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def cuts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts that stand end to end begin: at texts, at white space after anything else, and at marks after a Latin letter."""
+    space = _SPACE[buf]
+    letter = _ASCII_LETTER[buf]
+    two = (buf[:-1] == 0xC3) | (buf[:-1] == 0xC4) | (buf[:-1] == 0xC5)  # U+00C0..U+017F are letters but for the signs of U+00D7, U+00F7
+    letter[1:] |= two & ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+    begins = np.zeros(len(buf), bool)
+    begins[1:] = (space[1:] & ~space[:-1]) | (_MARK[buf[1:]] & letter[:-1])
+    begins[starts] = True
+    return np.flatnonzero(begins)
+
+
+class PieceEncoder:
+    """Ids of texts, from the tokenizers library, by pieces of which the common ones are kept.
+
+    A byte-level BPE tokenizer splits every text ahead of white space, and between letters and marks, before it merges
+    anything, and merges within a split alone; so the ids of a text are those of its pieces, end to end. Pieces are told
+    by 64-bit hashes, cut, hashed and looked up for a whole batch of texts at once. Those that are not kept go to the
+    library: words as lines of one text, whose line ends part their ids again, other pieces one by one. A piece is kept
+    when it is met again; all are let go once they no longer cover the texts.
+    """
+
+    def __init__(self, tokenizer, most: int = 1_000_000) -> None:
+        self.tokenizer, self.most = tokenizer, most
+        self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.line_end = self._ids("\n")
+        self.lines = len(self.line_end) == 1 and self._ids(" a\n b") == self._ids(" a") + self.line_end + self._ids(" b")
+        self.met = np.zeros(1 << 22, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ask(self, pieces: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if self.lines and len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        parts = [plain[i : i + 128] for i in range(0, len(plain), 128)]
+        for part, x in zip(parts, self.batch(["\n".join([pieces[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) == len(part) - 1:
+                for i, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(x.ids, np.uint32)
+        return out
+
+    def _keep(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        size = np.array([len(x) for x in ids], np.int32)
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, *ids])
+        order = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, order, keys), np.insert(self.at, order, at), np.insert(self.size, order, size)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        raw = [t.encode() for t in texts]
+        whole = [k for k, t in enumerate(texts) if not t.isascii() and FAR_SPACE.search(t)]
+        for k in whole:
+            raw[k] = b""
+        lengths = np.array([len(r) for r in raw])
+        data = b"".join(raw)
+        buf = np.frombuffer(data, np.uint8)
+        first = np.cumsum(lengths) - lengths
+        if not len(buf):
+            parts = [np.zeros(0, np.uint32)] * len(texts)
+        else:
+            begins = cuts(buf, first[lengths > 0])
+            ends = np.append(begins[1:], len(buf))
+            value, inverse = np.unique(piece_hashes(buf, begins), return_inverse=True)
+            slot = np.minimum(np.searchsorted(self.keys, value), max(len(self.keys) - 1, 0))
+            known = self.keys[slot] == value if len(self.keys) else np.zeros(len(value), bool)
+            at, size, flat = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64), self.flat
+            at[known], size[known] = self.at[slot[known]], self.size[slot[known]]
+            new = np.flatnonzero(~known)
+            if len(new):
+                one = np.zeros(len(value), np.int64)
+                one[inverse] = np.arange(len(begins))
+                spans = zip(begins[one[new]].tolist(), ends[one[new]].tolist(), strict=True)
+                ids = self._ask([data[a:b].decode() for a, b in spans])
+                size[new] = [len(x) for x in ids]
+                at[new] = len(flat) + np.cumsum(size[new]) - size[new]
+                flat = np.concatenate([flat, *ids])
+                seen = (value[new] >> np.uint64(42)).astype(np.int64)
+                again = np.flatnonzero(self.met[seen] | (np.bincount(inverse, minlength=len(value))[new] > 1))
+                self.met[seen] = True
+                if 3 * len(new) > len(begins) and len(self.keys) >= self.most:
+                    self._forget()
+                elif len(self.keys) < self.most and len(again):
+                    self._keep(value[new[again]], [ids[k] for k in again.tolist()])
+            n = size[inverse]
+            total = int(n.sum())
+            ids = flat[np.repeat(at[inverse] - (np.cumsum(n) - n), n) + np.arange(total)]
+            of_text = np.searchsorted(begins, first)
+            before = np.append(np.cumsum(n) - n, total)
+            parts = [ids[a:b] for a, b in zip(before[of_text].tolist(), before[np.append(of_text[1:], len(begins))].tolist(), strict=True)]
+        for k, x in zip(whole, self.batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            parts[k] = np.array(x.ids, np.uint32)
+        return parts
+
+
+_KEPT: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(tokenizer_path: str) -> PieceEncoder:
+    """One encoder for each worker process, so that its pieces serve all tasks there."""
+    if tokenizer_path not in _KEPT:
+        from tokenizers import Tokenizer
+
+        _KEPT[tokenizer_path] = PieceEncoder(Tokenizer.from_file(tokenizer_path))
+    return _KEPT[tokenizer_path]
+
+
 def _encoder(tokenizer_path: str, end_id: int, width: int, block_ids: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], np.uint32)
         stream, block = TaskContext.get().partitionId(), 0
         docs: list = []
         parts: list[np.ndarray] = []
@@ -80,9 +206,9 @@ def _encoder(tokenizer_path: str, end_id: int, width: int, block_ids: int):
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(texts), 64):
-                for doc, x in zip(ids[k : k + 64], fast(texts[k : k + 64], add_special_tokens=False), strict=True):
-                    one = np.array([*x.ids, end_id], np.uint32)
+            for a, b in slices([len(t) for t in texts]):
+                for doc, x in zip(ids[a:b], encoder(texts[a:b]), strict=True):
+                    one = np.append(x, end)
                     if parts and size + len(one) > block_ids:
                         yield close()
                         docs, parts, size, block = [], [], 0, block + 1
