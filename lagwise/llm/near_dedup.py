@@ -108,7 +108,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     df = df.withColumn("half", (F.col("d") - F.floor(F.col("d") * percent / (100 + percent))).cast("int"))
     long = (F.col("d") - F.greatest(F.lit(1), F.col("d") - most) + 1).cast("int")
     ahead = F.slice(F.concat(F.sort_array("more"), F.sort_array("less")), F.lit(1), F.when(F.col("linked"), F.col("half")).otherwise(F.greatest("half", long)))
-    return df.select("a", "b", "linked", "half", F.when(F.col("linked"), F.lit(0)).otherwise(long).alias("long"), ahead.alias("first"))
+    return df.select("a", "b", "linked", "d", "half", F.when(F.col("linked"), F.lit(0)).otherwise(long).alias("long"), ahead.alias("first"))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -120,14 +120,16 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 def _across(stars: DataFrame, labels: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of members of one hub, in different components, that share an early difference from it."""
     part = light.join(labels, light.id == labels.node, "left").select(F.col("id").alias("b"), "n", "lone", F.coalesce("label", "id").alias("part"))
-    rows = stars.join(part, "b").select("a", "b", "part", "n", "lone", "linked", "half", "long", F.posexplode("first").alias("i", "e"))
+    rows = stars.join(part, "b").select("a", "b", "part", "n", "lone", "linked", "d", "half", "long", F.posexplode("first").alias("i", "e"))
     # A hub and a difference make one key; a member takes part as one of the unlinked (`long`), or with its first `half`.
-    rows = rows.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("id"), "part", "n", "lone", "linked", (F.col("i") < F.col("half")).alias("early"), (F.col("i") < F.col("long")).alias("far"))
+    rows = rows.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("id"), "part", "n", "lone", "linked", "d", (F.col("d") - F.col("i")).alias("left"), (F.col("i") < F.col("half")).alias("early"), (F.col("i") < F.col("long")).alias("far"))
     shared = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count_if(~F.col("linked")).alias("u")).where("p <> q and u > 0").select("key")
     rows = materialise(rows.join(shared, "key", "left_semi"), "differences")
     x, y = rows.where("not linked").alias("x"), rows.where("early").alias("y")
     alike = F.expr("if(y.linked, x.far, x.early and x.id < y.id)")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & alike & _may_link("x", "y", percent))
+    # If this is the first difference that both share, they share no more than either has left from here on.
+    rest = F.expr(f"2 * least(x.left, y.left) >= x.d + y.d - floor({100 - percent} * (x.n + y.n) / {100 + percent})")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & alike & rest & _may_link("x", "y", percent))
     pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
     discard(rows)
     return pairs
