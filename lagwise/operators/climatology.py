@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lagwise.functions import numeric
 from lagwise.model import by_month, in_time
@@ -98,7 +99,7 @@ def plotting_position(df: DataFrame, keys: list[str], least: int = 10) -> DataFr
     return df.withColumn("p", F.when(F.col("value").isNotNull() & (n >= least), (rank - 0.44) / (n + 0.12)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return pd.Series(numeric.normal_quantile(p.to_numpy(float)))
 
@@ -109,7 +110,7 @@ def empirical_index(df: DataFrame, keys: list[str], scale: int = 1, least: int =
     return out.withColumn("value", normal_quantile("p")).drop("p")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gamma_scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for value, mean, mean_log, zeros in batches:
         x, m, ml, q = (s.to_numpy(float) for s in (value, mean, mean_log, zeros))

@@ -46,13 +46,13 @@ CTES: dict[str, str] = {
     "islands": "SELECT *, row_number() OVER (PARTITION BY phase ORDER BY t) - row_number() OVER (PARTITION BY phase, f ORDER BY t) AS run FROM flags",
     "peaks": "SELECT phase, run, t, value, row_number() OVER (PARTITION BY phase, run ORDER BY s * value DESC, t) AS k, count(*) OVER r AS length, min(t) OVER r AS onset_t, max(t) OVER r AS end_t FROM islands WHERE f WINDOW r AS (PARTITION BY phase, run)",
     "found": f"SELECT phase, onset_t, end_t, length, t AS peak_t, value AS peak, CASE WHEN t % 12 + 1 >= 8 THEN t // 12 ELSE t // 12 - 1 END AS event_year FROM peaks WHERE k = 1 AND length >= {MIN_RUN}",
-    "events": f"SELECT * EXCLUDE (b), {_CLASS} AS amplitude FROM (SELECT *, row_number() OVER (PARTITION BY phase, event_year ORDER BY abs(peak) DESC, onset_t) AS b FROM found) WHERE b = 1",
+    "catalogue": f"SELECT * EXCLUDE (b), {_CLASS} AS amplitude FROM (SELECT *, row_number() OVER (PARTITION BY phase, event_year ORDER BY abs(peak) DESC, onset_t) AS b FROM found) WHERE b = 1",
     "lags": f"SELECT unnest(range({LAG_MIN}, {LAG_MAX + 1}))::INT AS lag",
     # Epochs around the peaks of warm events, by cell; by cell and member; by scenario.
-    "epoch": "SELECT a.cell_id, e.event_year, l.lag, a.value FROM events e CROSS JOIN lags l JOIN anom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'warm'",
-    "cepoch": "SELECT a.cell_id, e.event_year, l.lag, a.value FROM events e CROSS JOIN lags l JOIN anom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'cold'",
-    "mepoch": "SELECT a.cell_id, a.model, e.event_year, l.lag, a.value FROM events e CROSS JOIN lags l JOIN manom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'warm'",
-    "sepoch": "SELECT a.cell_id, a.scenario, e.event_year, l.lag, a.value FROM events e CROSS JOIN lags l JOIN sanom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'warm'",
+    "epoch": "SELECT a.cell_id, e.event_year, l.lag, a.value FROM catalogue e CROSS JOIN lags l JOIN anom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'warm'",
+    "cepoch": "SELECT a.cell_id, e.event_year, l.lag, a.value FROM catalogue e CROSS JOIN lags l JOIN anom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'cold'",
+    "mepoch": "SELECT a.cell_id, a.model, e.event_year, l.lag, a.value FROM catalogue e CROSS JOIN lags l JOIN manom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'warm'",
+    "sepoch": "SELECT a.cell_id, a.scenario, e.event_year, l.lag, a.value FROM catalogue e CROSS JOIN lags l JOIN sanom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'warm'",
     "comp": "SELECT cell_id, lag, avg(value) AS value, count(value) AS n_events FROM epoch GROUP BY ALL",
     # The response of an event: the mean over lags 0 to 2.
     "resp": "SELECT cell_id, event_year, avg(value) AS value FROM epoch WHERE lag BETWEEN 0 AND 2 GROUP BY ALL",
@@ -60,10 +60,10 @@ CTES: dict[str, str] = {
     "mresp": "SELECT cell_id, model, event_year, avg(value) AS value FROM mepoch WHERE lag BETWEEN 0 AND 2 GROUP BY ALL",
     "sresp": "SELECT cell_id, scenario, event_year, avg(value) AS value FROM sepoch WHERE lag BETWEEN 0 AND 2 GROUP BY ALL",
     "seasons": "SELECT * FROM (VALUES ('SON0', -3), ('SON0', -2), ('SON0', -1), ('DJF01', 0), ('DJF01', 1), ('DJF01', 2), ('MAM1', 3), ('MAM1', 4), ('MAM1', 5)) v(season, lag)",
-    "sched": "SELECT a.cell_id, e.event_year, s.season, avg(a.value) AS value FROM events e CROSS JOIN seasons s JOIN anom a ON a.t = e.event_year * 12 + 11 + s.lag WHERE e.phase = 'warm' GROUP BY ALL",
+    "sched": "SELECT a.cell_id, e.event_year, s.season, avg(a.value) AS value FROM catalogue e CROSS JOIN seasons s JOIN anom a ON a.t = e.event_year * 12 + 11 + s.lag WHERE e.phase = 'warm' GROUP BY ALL",
     # Resampling: anchors are months; neutral ones lie further than a month from every peak.
-    "warm_t": "SELECT DISTINCT peak_t AS anchor_t FROM events WHERE phase = 'warm'",
-    "neutral": "SELECT t AS anchor_t FROM oni WHERE NOT EXISTS (SELECT 1 FROM events e WHERE abs(e.peak_t - oni.t) <= 1)",
+    "warm_t": "SELECT DISTINCT peak_t AS anchor_t FROM catalogue WHERE phase = 'warm'",
+    "neutral": "SELECT t AS anchor_t FROM oni WHERE NOT EXISTS (SELECT 1 FROM catalogue e WHERE abs(e.peak_t - oni.t) <= 1)",
     "pool": "SELECT n.t AS anchor_t, a.cell_id, avg(a.value) AS value FROM cal n JOIN anom a ON a.t BETWEEN n.t AND n.t + 2 GROUP BY ALL",
     "n_events": "SELECT count(*) AS n FROM warm_t",
     "draws": f"SELECT i AS iteration, anchor_t FROM (SELECT i, anchor_t, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}:' || i || ':' || anchor_t)) AS k FROM neutral CROSS JOIN range({ITERATIONS}) r(i)) WHERE k <= (SELECT n FROM n_events)",
