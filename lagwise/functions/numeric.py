@@ -43,7 +43,7 @@ def trigamma(x: np.ndarray) -> np.ndarray:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     x, steps = _shifted(np.atleast_1d(x), np.log)
     r = 1 / (x * x)
-    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x - steps
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r * (1 / 1188 - r * 691 / 360360))))) / x - steps
 
 
 def gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:

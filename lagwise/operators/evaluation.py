@@ -15,10 +15,10 @@ def good_stations(df: DataFrame, station: str = "station", least: int = 480, mos
 
 def composite_agreement(observed: DataFrame, simulated: DataFrame, keys: list[str], least: int = 6) -> DataFrame:
     """(keys): of two composites by lag: correlation over joint lags (null under `least`), both largest absolute values, and whether these have one sign."""
-    both = observed.select(*keys, "lag", F.col("value").alias("o")).join(simulated.select(*keys, "lag", F.col("value").alias("s")), [*keys, "lag"])
-    both = both.where("o is not null and s is not null")
+    both = observed.select(*keys, "lag", F.col("value").alias("_o")).join(simulated.select(*keys, "lag", F.col("value").alias("_s")), [*keys, "lag"])
+    both = both.where("_o is not null and _s is not null")
     top = lambda c: F.max_by(c, F.struct(F.abs(c), -F.col("lag")))
-    out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lags"), F.corr("o", "s").alias("r"), top("o").alias("peak_observed"), top("s").alias("peak_simulated"))
+    out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lags"), F.corr("_o", "_s").alias("r"), top("_o").alias("peak_observed"), top("_s").alias("peak_simulated"))
     return out.withColumns({"r": F.when(F.col("n_lags") >= least, F.col("r")), "same_sign": F.signum("peak_observed") == F.signum("peak_simulated")})
 
 
@@ -40,7 +40,7 @@ def bilinear(points: DataFrame, grid: DataFrame, point: str, step: float, origin
 
 def pattern_comparison(observed: DataFrame, simulated: DataFrame, on: list[str], by: list[str], least: int = 100) -> DataFrame:
     """(by): of two fields over joint cells: pattern correlation, ratio of population deviations, share of cells with one sign."""
-    both = observed.select(*by, *on, F.col("value").alias("o")).join(simulated.select(*by, *on, F.col("value").alias("s")), [*by, *on]).where("o is not null and s is not null")
-    sd = F.stddev_pop("o")
-    out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("o", "s").alias("r"), (F.stddev_pop("s") / F.when(sd > 0, sd)).alias("std_ratio"), F.avg((F.signum("o") == F.signum("s")).cast("double")).alias("sign_agreement"))
+    both = observed.select(*by, *on, F.col("value").alias("_o")).join(simulated.select(*by, *on, F.col("value").alias("_s")), [*by, *on]).where("_o is not null and _s is not null")
+    sd = F.stddev_pop("_o")
+    out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_o", "_s").alias("r"), (F.stddev_pop("_s") / F.when(sd > 0, sd)).alias("std_ratio"), F.avg((F.signum("_o") == F.signum("_s")).cast("double")).alias("sign_agreement"))
     return out.where(F.col("n") >= least)
