@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from lagwise.llm.common import materialise, text_of, words
 
 LEAST_QUALITY = 0.01
+#: Plans of up to this many sources are broadcast (some 100 bytes each); beyond it, a skewed join is left to AQE.
+BROADCAST_SOURCES = 100_000
 
 
 def variety(text: Column) -> Column:
@@ -83,6 +85,12 @@ def plan(slim: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     return goals.join(edge, F.col("p_source").eqNullSafe(F.col("e_source")), "left").select("p_source", "source_size", "target", "epochs", "last", "cut")
 
 
+def _small_plan(slim: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """The plan, broadcast if it is known to be small: joined by source instead, a hot source's rows would meet in one task."""
+    out = materialise(plan(slim, weights, most), "plan")
+    return F.broadcast(out) if out.count() <= BROADCAST_SOURCES else out
+
+
 def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     taken = (F.col("bucket") < F.col("last")) | (F.col("bucket") == F.col("last")) & (F.struct("key", "id", "size") <= F.col("cut"))
     copies = F.col("epochs") + F.when(taken, 1).otherwise(0)
@@ -96,7 +104,7 @@ def mix(
 ) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, copies and taken = copies * size."""
     slim = materialise(_keyed(docs, docs[id_col], id_col, source_col, text_col, quality, seed, buckets), "mix")
-    return _placed(slim, plan(slim, weights, most)).withColumnRenamed("row", "doc_id")
+    return _placed(slim, _small_plan(slim, weights, most)).withColumnRenamed("row", "doc_id")
 
 
 def mixed(
@@ -106,5 +114,5 @@ def mixed(
     """The mix itself: every document as often as it is taken, with the documents' columns."""
     place = (id_col, source_col, text_col, quality, seed, buckets)
     slim = materialise(_keyed(docs, F.lit(None), *place).drop("row"), "mix")
-    rows = _placed(_keyed(docs, F.struct(*[docs[c] for c in docs.columns]), *place), plan(slim, weights, most)).where("copies > 0")
+    rows = _placed(_keyed(docs, F.struct(*[docs[c] for c in docs.columns]), *place), _small_plan(slim, weights, most)).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
