@@ -46,15 +46,20 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     safe = np.maximum(n, 1)
     out = np.zeros((total, WIDTH))
 
-    # Bytes belong to the passage of the word that they end or follow.
-    joined = b"\n".join(texts)
-    buf = np.frombuffer(joined, np.uint8)
+    # Bytes belong to the passage of the word that they are part of or follow; what parts the texts here, and white space
+    # before a text's first word, counts nowhere, so that a text's encoding does not depend on those around it.
+    buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts])
+    text_at = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     kind = _CLASS[buf]
     space = (kind == 3) | (kind == 4) | (buf == 0x0B) | (buf == 0x0C)
     begins = ~space
     begins[1:] &= space[:-1]
     word_at = np.cumsum(begins) - 1
     ok = word_at >= 0
+    if len(h):
+        ok &= np.repeat(np.arange(len(texts), dtype=np.int32), counts)[word_at] == text_at
+    ok[np.cumsum(sizes) - 1] = False
     where = np.zeros(len(buf), np.int64)
     if len(h):
         where[ok] = of_word[word_at[ok]]
