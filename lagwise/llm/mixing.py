@@ -31,7 +31,7 @@ BROADCAST_SOURCES = 100_000
 def variety(text: Column) -> Column:
     """A quality weight: distinct words as a share of all words."""
     w = words(text)
-    return F.size(F.array_distinct(w)) / F.size(w)
+    return F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
