@@ -64,7 +64,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     with set_conf(spark, {_CLEANUP: "true"}):
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -77,6 +77,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows up to which ids and hashes are broadcast: 8 bytes each, and as much again for the table. More are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A broadcast hint, given after counting up to the bound; df should be a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what Arrow hands to Python at once by bytes as well as by rows, so that very long texts fit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

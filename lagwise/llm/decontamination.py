@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded_batches, materialise, text_of
+from lagwise.llm.common import bounded, bounded_batches, materialise, text_of
 
 #: Words are runs of ASCII letters and digits, lower-cased, and of all bytes beyond ASCII.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -142,8 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
     """The documents without a benchmark window, with their columns; a row with a null id stays only if no such row is hit."""
     hit = materialise(find(docs, benchmark, window, id_col, text_col).where(F.size("starts") > 0).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    hit = F.broadcast(hit) if hit.count() <= 2_000_000 else hit
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    return docs.join(bounded(hit), docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

@@ -35,13 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded_batches, components, discard, materialise, text_of
+from lagwise.llm.common import bounded, bounded_batches, components, discard, materialise, text_of
 from lagwise.llm.hashing import U, mix, run_hashes, word_hashes
 
-#: Ids up to this many are broadcast (8 bytes each and as much again for the table); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-
-
 def _sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
     """The distinct shingles of each text, sorted."""
     h, counts = word_hashes(texts, lower=True)
@@ -151,13 +147,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     found = materialise(keyed.join(shared, "key", "left_semi"), "members")
     discard(full)
     wanted = materialise(found.select("id").distinct(), "candidates")
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    near = bounded(wanted)
     sets = slim.join(near, "id", "left_semi").mapInArrow(_set_maker(shingle), T.StructType([id_field, T.StructField("set", T.ArrayType(T.LongType()))]))
     sets = materialise(sets, "sets")
 
     alone = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    light = sets.select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+    light = sets.where("size(set) > 0").select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
     light = materialise(light.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")), "light")
     members = materialise(found.join(light, "id"), "members")
     discard(found)
@@ -182,5 +178,4 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 def keep(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """One document of each group, with its columns: the one with the least id. Rows without an id all stay."""
     gone = materialise(groups(docs, id_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(bounded(gone), docs[id_col] == gone["_gone"], "left_anti")
