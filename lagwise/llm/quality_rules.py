@@ -22,7 +22,7 @@ RULES: dict[str, str] = {
     "short": "n_words < 50",
     "repeats": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
+    "dup_lines": "2 * n_dup_lines > n_lines",
     "word_length": "word_chars > 12 * n_words or 2 * word_chars < 5 * n_words",
     "capitals": "2 * n_capitals > word_chars",
 }

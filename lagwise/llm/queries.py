@@ -95,7 +95,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS x, {WORDS} AS w,
                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
                   len(lines)::BIGINT AS n_lines, n_capitals::BIGINT AS n_capitals FROM m LEFT JOIN p USING (doc_id)),
      f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-                  + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words)::BIGINT
+                  + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words)::BIGINT
                   + 32 * (2 * n_capitals > word_chars)::BIGINT AS failed FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, n_lines, n_capitals, failed FROM f
 """
