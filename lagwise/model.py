@@ -52,3 +52,13 @@ def complete(df: DataFrame, keys: list[str]) -> DataFrame:
     every = df.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*keys, F.explode(F.sequence("t0", "t1")).alias("t"))
     rest = [c for c in df.columns if c not in (*keys, "t", "year", "month")]
     return every.join(df.select(*keys, "t", *rest), [*keys, "t"], "left").withColumns(month_of("t"))
+
+
+def pinned(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table of at most `rows` rows, worked out once and held by the driver; a larger one is returned as it is.
+
+    For index series and event lists, which have a row for each month or event of a record whatever the number of cells:
+    every use would otherwise work them out again from the field.
+    """
+    found = df.limit(rows + 1).collect()
+    return df.sparkSession.createDataFrame(found, df.schema) if len(found) <= rows else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lagwise.model import complete, month_of
 
+OFFSET = 0.4142
 MIN_RUN, THRESHOLD = 2, 0.3
 WINDOW, MIN_YEARS = 5, 3
 LAG_MIN, LAG_MAX = -3, 6
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixed(x: Column | str, digits: int = 6) -> Column:
-    """The value at a fixed number of digits by scaling and floor, which engines agree on where their rounding differs."""
+    """The value at a fixed number of digits by scaling and floor, which engines agree on where their rounding differs.
+
+    The offset is not a half: means and deviations of few values often lie just between two steps, where the last bit decides.
+    """
     x = F.col(x) if isinstance(x, str) else x
-    return F.floor(x * 10**digits + 0.5) / float(10**digits)
+    return F.floor(x * 10**digits + OFFSET) / float(10**digits)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 
-from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, SEED, THRESHOLD, WINDOW
+from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, OFFSET, SEED, THRESHOLD, WINDOW
 
 _CLASS = "CASE " + " ".join(f"WHEN abs(peak) >= {lo} AND abs(peak) < {'1e300' if hi == float('inf') else hi} THEN '{k}'" for k, (lo, hi) in CLASSES.items()) + " ELSE 'none' END"
 _HALF = WINDOW // 2
 
 
 def fixed(x: str, digits: int = 6) -> str:
-    return f"floor(({x}) * {10**digits} + 0.5) / {float(10**digits)}"
+    return f"floor(({x}) * {10**digits} + {OFFSET}) / {float(10**digits)}"
 
 
 def filled(keys: str, source: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.functions import calendar, units
-from lagwise.model import clean
+from lagwise.model import clean, pinned
 from lagwise.operators import climatology, epochs, evaluation, events, extremes, index, inference, regions, response
 from lagwise.plans import ctes
 from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, SEASONS, SEED, THRESHOLD, WINDOW, cells, field, fixed, monthly, orders, table
@@ -46,12 +46,12 @@ def anom(spark: SparkSession, d: str, *keys: str) -> DataFrame:
 
 
 def index_series(spark: SparkSession, d: str) -> DataFrame:
-    return index.running_mean(index.zscore(monthly(spark, d), []), [], 3)
+    return pinned(index.running_mean(index.zscore(monthly(spark, d), []), [], 3))
 
 
 def event_table(spark: SparkSession, d: str, phase: str | None = None) -> DataFrame:
     """The catalogue of the index: a handful of rows, worked out once for a query."""
-    found = events.catalogue(index_series(spark, d), [], threshold=THRESHOLD, min_length=MIN_RUN, classes=CLASSES)
+    found = pinned(events.catalogue(index_series(spark, d), [], threshold=THRESHOLD, min_length=MIN_RUN, classes=CLASSES))
     return found.where(F.col("phase") == phase) if phase else found
 
 
@@ -688,7 +688,7 @@ def decade_crosstab(spark: SparkSession, d: str) -> DataFrame:
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
 
-@query("q44_pattern_evaluation", f"SELECT {s6('corr(a.v, b.v)')} AS r, {s6('stddev_pop(b.v) / nullif(stddev_pop(a.v), 0)')} AS std_ratio, {s6('avg((sign(a.v) = sign(b.v))::INT)')} AS sign_agreement, count(*) AS n FROM (SELECT cell_id, avg(value) AS v FROM sresp WHERE scenario = 'F' GROUP BY ALL) a JOIN (SELECT cell_id, avg(value) AS v FROM sresp WHERE scenario = 'O' GROUP BY ALL) b ON a.cell_id = b.cell_id WHERE a.v IS NOT NULL AND b.v IS NOT NULL")
+@query("q44_pattern_evaluation", f"SELECT {s6('corr(a.v, b.v)')} AS r, {s6('stddev_pop(b.v) / nullif(stddev_pop(a.v), 0)')} AS std_ratio, {s6('avg((sign(a.v) = sign(b.v))::INT)')} AS sign_agreement, count(*) AS n FROM (SELECT cell_id, avg(value) AS v FROM sresp WHERE scenario = 'F' GROUP BY ALL) a JOIN (SELECT cell_id, avg(value) AS v FROM sresp WHERE scenario = 'O' GROUP BY ALL) b ON a.cell_id = b.cell_id WHERE a.v IS NOT NULL AND b.v IS NOT NULL HAVING count(*) >= 10")
 def pattern_evaluation(spark: SparkSession, d: str) -> DataFrame:
     a, b = (x.groupBy("cell_id").agg(F.avg("value").alias("value")) for x in scenario_pairs(spark, d))
     return out(evaluation.pattern_comparison(a, b, CELL, [], 10), "n", r="r", std_ratio="std_ratio", sign_agreement="sign_agreement")
