@@ -112,3 +112,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not new.where("label <> old").limit(1).count():
             discard(both)
             return labels.select("node", "label")
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels of components() after more edges (a, b), worked out on the components that these edges join."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    over = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    above = components(over).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return old.union(above.join(labels, above["label"] == labels["node"], "left_anti").select("label", "top"))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded, bounded_batches, components, discard, materialise, text_of
+from lagwise.llm.common import bounded, bounded_batches, components, discard, joined, materialise, text_of
 from lagwise.llm.hashing import U, mix, run_hashes, word_hashes
 
 def _sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
@@ -167,7 +167,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     pairs = _across(stars, labels, light, percent)
     more = materialise(_links(pairs, sets, percent), "links")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = joined(labels, more)
     discard(wanted, members, light, stars, pairs, sets, more)
 
     out = signed.select("id", "n", "digest").join(classes, "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
