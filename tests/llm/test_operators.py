@@ -368,3 +368,15 @@ def test_bit_packing_round_trip(width):
     assert len(data) == -(-1003 * width // 8)
     for a, b in ((0, 1003), (5, 6), (17, 500), (1002, 1003), (9, 9)):
         assert (token_output.unpack(data, width, a, b) == ids[a:b]).all()
+
+
+def test_fuzzy_lines_hold_long_lines_to_the_edit_similarity(spark):
+    rng = random.Random(11)
+    few = [rng.choice(("lorem", "ipsum", "dolor", "amet")) for _ in range(900)]
+    typos = list(few)
+    typos[450] += "x"
+    many = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    other = many[450:] + many[:450]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((few, typos, many, other))], "doc_id long, text string")
+    got = by_id(line_dedup.dedup_lines(df), "n_removed")
+    assert [got[k][0] for k in range(4)] == [0, 1, 0, 0]
