@@ -380,3 +380,25 @@ def test_fuzzy_lines_hold_long_lines_to_the_edit_similarity(spark):
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((few, typos, many, other))], "doc_id long, text string")
     got = by_id(line_dedup.dedup_lines(df), "n_removed")
     assert [got[k][0] for k in range(4)] == [0, 1, 0, 0]
+
+
+def test_fuzzy_lines_are_found_by_edit_similarity_alone(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    pairs = []
+    for n in (6, 8, 12, 20, 40, 80, 300) * 12:
+        a = [word() for _ in range(n)]
+        b, at = list(a), rng.sample(range(n), max(1, n // 20))
+        for k in at:
+            b[k] = "".join(rng.choice("qrstuvwxyz") for _ in a[k]) if n >= 20 else a[k][:-1] + "z"
+        a, b = " ".join(a), " ".join(b)
+        assert distance(a, b) <= 0.1 * max(len(a), len(b))
+        pairs.append((a, b))
+    few = [rng.choice(("lorem", "ipsum", "dolor", "amet")) for _ in range(900)]
+    pairs.append((" ".join(few), " ".join(w + "x" if rng.random() < 0.1 else w for w in few)))
+    df = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    got = by_id(line_dedup.dedup_lines(df, distance=None), "n_removed")
+    found = [got[2 * k + 1][0] for k in range(len(pairs))]
+    assert not any(got[2 * k][0] for k in range(len(pairs))) and sum(found) >= 0.97 * len(pairs) and found[-1]
+    gated = by_id(line_dedup.dedup_lines(df), "n_removed")
+    assert sum(n for n, in gated.values()) < sum(found)
