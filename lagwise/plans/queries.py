@@ -661,8 +661,17 @@ def required_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q42c_manifest_flatten", "SELECT 'set' || o_orderkey AS dataset, o_orderpriority AS model, o_orderstatus AS climate_scenario, CASE WHEN k IS NOT NULL THEN 'f' || o_orderkey || '_' || k END AS file_name, coalesce(o_custkey + k, -1) AS size FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber::BIGINT AS k FROM lineitem WHERE l_linenumber <= 2) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
 def manifest_flatten(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'")
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return flattened(table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "lineitem").where("l_linenumber <= 2"))
+
+
+@query("q42e_manifest_flatten_all", "SELECT 'set' || o_orderkey AS dataset, o_orderpriority AS model, o_orderstatus AS climate_scenario, CASE WHEN k IS NOT NULL THEN 'f' || o_orderkey || '_' || k END AS file_name, coalesce(o_custkey + k, -1) AS size FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber::BIGINT AS k FROM lineitem) ON l_orderkey = o_orderkey")
+def manifest_flatten_all(spark: SparkSession, d: str) -> DataFrame:
+    return flattened(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def flattened(o: DataFrame, items: DataFrame) -> DataFrame:
+    """The manifest of orders as datasets and their items as files."""
+    lines = items.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     name = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
     files = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(name.alias("name"), (F.col("o_custkey") + F.col("l_linenumber")).alias("size"))).alias("files"))
     spec = F.struct(F.array("o_orderpriority").alias("model"), F.array("o_orderstatus").alias("climate_scenario"))
