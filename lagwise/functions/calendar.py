@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Three-month seasons by their central month, January first.
-CENTRED = ("DJF", "JFM", "FMA", "MAM", "AMJ", "MJJ", "JJA", "JAS", "ASO", "SON", "OND", "NDJ")
+#: The months' initials twice over: a season's letters stand where its first month does.
+_INITIALS = 2 * "JFMAMJJASOND"
+#: Three-month seasons by their central month, January first.
+CENTRED = tuple(_INITIALS[k + 11 : k + 14] if k == 0 else _INITIALS[k - 1 : k + 2] for k in range(12))
 
 #: Amplitude classes: name -> (least, below) of the absolute peak.
 CLASSES: dict[str, tuple[float, float]] = {"weak": (0.5, 1.0), "moderate": (1.0, 1.5), "strong": (1.5, 2.0), "super": (2.0, float("inf"))}
@@ -20,19 +20,17 @@ def season_label(month: Column | str) -> Column:
     return F.element_at(F.array(*map(F.lit, CENTRED)), month.cast("int"))
 
 
-def season_lags(code: str) -> tuple[int, int, int]:
+def season_lags(code: str) -> tuple[int, ...]:
     """The three lags, in months from December of the developing year, of a code such as JJA0, DJF01 or MAM1.
 
-    The digits place the year of the season's first month: 0 (or 01, a season that crosses into the next year) is the
-    developing year, 1 the year after, and so on.
+    The first digit is the year of the season's first month: 0 the developing year, 1 the year after; a second digit, as of a
+    season that crosses into the next year, says nothing more.
     """
-    m = re.fullmatch(r"([A-Z]{3})(\d{1,2})", code)
-    if not m or m[1] not in CENTRED:
+    letters, years = code[:3], code[3:]
+    months_ahead = _INITIALS.find(letters) - _INITIALS.find("DJF")
+    if letters not in CENTRED or not years.isdecimal() or len(years) > 2:
         raise ValueError(f"not a season: {code!r}")
-    first = (CENTRED.index(m[1]) - 1) % 12 + 1
-    year = 0 if m[2] in ("0", "01") else int(m[2][0])
-    start = first - 12 + 12 * year
-    return start, start + 1, start + 2
+    return tuple(months_ahead + 12 * int(years[0]) + k for k in range(3))
 
 
 def season_table(spark: SparkSession, codes: list[str]) -> DataFrame:

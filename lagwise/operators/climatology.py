@@ -36,12 +36,19 @@ def moving_climatology(df: DataFrame, keys: list[str], window_years: int = 30, m
 
 
 def require_record(df: DataFrame, min_years: int) -> None:
-    """Refuse a record that is too short for any climatology window."""
+    """Refuse, at once, a record that is too short for any climatology window."""
     n = df.agg(F.countDistinct("year")).first()[0]
     if n < min_years:
         raise ValueError(f"the record has {n} years; at least {min_years} are needed")
 
 
+def long_enough(df: DataFrame, min_years: int) -> DataFrame:
+    """df; when it is run, a record of fewer than min_years years fails. The years come as one row to every task, in the same job."""
+    years = df.agg(F.countDistinct("year").alias("_years"))
+    short = F.raise_error(F.format_string("the record has %d years; at least %d are needed", "_years", F.lit(min_years))).cast("double")
+    return df.crossJoin(F.broadcast(years)).withColumn("value", F.when(F.col("_years") >= min_years, F.col("value")).otherwise(short)).drop("_years")
+
+
 def linear_detrend(df: DataFrame, keys: list[str]) -> DataFrame:
     """Take slope and intercept off each key's series; x counts rows in time order, null rows included."""
     df = df.withColumn("_x", (F.row_number().over(in_time(keys)) - 1).cast("double"))
@@ -56,31 +63,31 @@ def anomalies(
 ) -> DataFrame:
     """Replace value by its anomaly.
 
-    climatology: moving, fixed or none. method: standardized (null where the deviation is at most min_std_relative of the
-    population deviation of the whole series), absolute, or percent (null where the climatology is 0).
+    climatology: moving, fixed or none (mean 0 and deviation 1). method: standardized (null where the deviation is at most
+    min_std_relative of the population deviation of the whole series), absolute, or percent (null where the climatology
+    is 0). detrend takes the line off the difference from the climatology, ahead of any scaling. Under a moving climatology,
+    a record of fewer than min_years years fails the query.
     """
     if method not in ("standardized", "absolute", "percent") or climatology not in ("moving", "fixed", "none"):
         raise ValueError(f"unknown method or climatology: {method!r}, {climatology!r}")
     if climatology == "moving":
-        out = moving_climatology(df, keys, window_years, min_years)
+        out = moving_climatology(long_enough(df, min_years), keys, window_years, min_years)
     elif climatology == "fixed":
         inside = F.when(F.col("year").between(*base), F.col("value")) if base else F.col("value")
         out = df.withColumns({"clim_mean": F.avg(inside).over(by_month(keys)), "clim_std": F.stddev_pop(inside).over(by_month(keys))})
     else:
-        whole = Window.partitionBy(*keys)
-        out = df.withColumns({"clim_mean": F.lit(0.0), "clim_std": F.stddev_pop("value").over(whole)})
-    diff = F.col("value") - F.col("clim_mean")
-    if method == "absolute":
-        anomaly = diff
-    elif method == "percent":
-        anomaly = F.when(F.col("clim_mean") != 0, 100.0 * diff / F.when(F.col("clim_mean") != 0, F.col("clim_mean")))
-    else:
-        scale = F.stddev_pop("value").over(Window.partitionBy(*keys))
-        out = out.withColumn("_scale", scale)
-        steady = F.col("clim_std") > min_std_relative * F.col("_scale")
-        anomaly = F.when(steady, diff / F.when(steady, F.col("clim_std")))
-    out = out.withColumn("value", anomaly).drop("clim_mean", "clim_std", "clim_n", "_scale")
-    return linear_detrend(out, keys) if detrend else out
+        out = df.withColumns({"clim_mean": F.lit(0.0), "clim_std": F.lit(1.0)})
+    if method == "standardized":
+        out = out.withColumn("_scale", F.stddev_pop("value").over(Window.partitionBy(*keys)))
+    out = out.withColumn("value", F.col("value") - F.col("clim_mean"))
+    if detrend:
+        out = linear_detrend(out, keys)
+    if method == "percent":
+        out = out.withColumn("value", F.when(F.col("clim_mean") != 0, 100.0 * F.col("value") / F.when(F.col("clim_mean") != 0, F.col("clim_mean"))))
+    elif method == "standardized":
+        steady = (F.col("_scale") > 0) & (F.col("clim_std") > min_std_relative * F.col("_scale"))
+        out = out.withColumn("value", F.when(steady, F.col("value") / F.when(steady, F.col("clim_std"))))
+    return out.drop("clim_mean", "clim_std", "clim_n", "_scale")
 
 
 def accumulate(df: DataFrame, keys: list[str], scale: int) -> DataFrame:

@@ -48,7 +48,7 @@ def composite(epoch: DataFrame, keys: list[str]) -> DataFrame:
 
 def season_means(epoch: DataFrame, keys: list[str], seasons: DataFrame, event: str = "event_year") -> DataFrame:
     """Mean over the available lags of each season, for each key and event. seasons has (season, lag)."""
-    return epoch.join(F.broadcast(seasons), "lag").groupBy(*keys, event, "season").agg(F.avg("value").alias("value"))
+    return epoch.join(small(seasons), "lag").groupBy(*keys, event, "season").agg(F.avg("value").alias("value"))
 
 
 def eligible(candidates: DataFrame, exclude: DataFrame, buffer: int = 1, column: str = "anchor_t") -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from lagwise.operators.epochs import small
 
+#: Draws that a task of mc_test_blocked works on at once.
+DRAWS = 512
+
 
 def digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
@@ -41,7 +44,7 @@ def draws_with_replacement(items: DataFrame, iterations: int, seed: int, column:
     slots = ordered.select(F.col("_k").alias("slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     picks = slots.select("iteration", F.pmod(digest_number(seed, F.col("iteration"), F.col("slot")), F.col("_n")).alias("_k"))
     picks = picks.groupBy("iteration", "_k").agg(F.count(F.lit(1)).alias("weight"))
-    return picks.join(F.broadcast(ordered.select("_k", column)), "_k").select("iteration", column, "weight")
+    return picks.join(small(ordered.select("_k", column)), "_k").select("iteration", column, "weight")
 
 
 def mc_test(pool: DataFrame, keys: list[str], events: DataFrame, neutral: DataFrame, iterations: int, seed: int, column: str = "anchor_t") -> DataFrame:
@@ -77,28 +80,32 @@ def draw_matrix(anchors: list[int], n: int, iterations: int, seed: int) -> np.nd
     return out
 
 
-def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral: list[int], iterations: int, seed: int, column: str = "anchor_t", blocks: int = 64) -> DataFrame:
+def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral: list[int], iterations: int, seed: int, column: str = "anchor_t", cells_a_block: int = 1024) -> DataFrame:
     """mc_test() for large pools: each block of cells is one matrix (anchors x cells), and draws x anchors times it gives all null means.
 
-    The lists of anchors (hundreds of years at most) and the draw matrix go to every task; the pool is shuffled once, by
-    block. A block's memory is anchors x cells of the block; raise `blocks` with the number of cells.
+    The lists of anchors (hundreds of years at most) and the draw matrix go to every task; the pool is shuffled once, by block. There
+    are as many blocks as cells ask for, and draws are taken `DRAWS` at a time, so a task holds DRAWS x cells_a_block means at once.
     """
     neutral = sorted(set(neutral))
-    if len(neutral) < len(set(events)):
+    events = sorted(r[0] for r in pool.where(F.col(column).isin(*set(events))).select(column).distinct().collect())  # no more than were given
+    if not events:
+        raise ValueError("no event is in the pool")
+    if len(neutral) < len(events):
         raise ValueError("fewer neutral anchors than events")
-    draws = draw_matrix(neutral, len(set(events)), iterations, seed)
+    draws = draw_matrix(neutral, len(events), iterations, seed)
+    blocks = pool.select(*keys).distinct().count() // cells_a_block + 1
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "composite double, p_value double, null_mean double, null_std double"])
 
     def test(table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
         cells, cell = np.unique(frame["_cell"].to_numpy(), return_inverse=True)
-        at = {a: k for k, a in enumerate(neutral)}
         values = frame["value"].to_numpy(float)
         anchor = frame[column].to_numpy()
 
-        def block(of: dict) -> tuple[np.ndarray, np.ndarray]:
-            v, m = np.zeros((len(of), len(cells))), np.zeros((len(of), len(cells)))
+        def block(anchors: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            v, m = np.zeros((len(anchors), len(cells))), np.zeros((len(anchors), len(cells)))
+            of = {a: k for k, a in enumerate(anchors)}
             row = np.array([of.get(a, -1) for a in anchor])
             ok = (row >= 0) & np.isfinite(values)
             v[row[ok], cell[ok]] = values[ok]
@@ -108,22 +115,27 @@ def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral
         def mean(a: np.ndarray, n: np.ndarray) -> np.ndarray:
             return np.divide(a, n, out=np.full(a.shape, np.nan), where=n > 0)
 
-        v, m = block({a: k for k, a in enumerate(sorted(set(events)))})
+        v, m = block(events)
         observed = mean(v.sum(0), m.sum(0))
-        v, m = block(at)
-        null = mean(draws @ v, draws @ m)
-        valid = np.isfinite(null)
-        far = (np.abs(null) >= np.abs(observed)).sum(0)
-        count = valid.sum(0)
-        total = np.where(valid, null, 0).sum(0)
-        centre = mean(total, count.astype(float))
-        spread = np.sqrt(mean(np.where(valid, (null - centre) ** 2, 0).sum(0), count.astype(float)))
+        v, m = block(neutral)
+        parts = [draws[i : i + DRAWS] for i in range(0, iterations, DRAWS)]
+        far, count, total, squares = (np.zeros(len(cells)) for _ in range(4))
+        for d in parts:
+            null = mean(d @ v, d @ m)
+            far += (np.abs(null) >= np.abs(observed)).sum(0)
+            count += np.isfinite(null).sum(0)
+            total += np.nansum(null, 0)
+        centre = mean(total, count)
+        for d in parts:
+            squares += np.nansum((mean(d @ v, d @ m) - centre) ** 2, 0)
         first = frame.drop_duplicates("_cell").set_index("_cell").loc[cells]
         columns = {k: pa.array(first[k], type=table.schema.field(k).type) for k in keys}
         nan = lambda x: pa.array(x, pa.float64(), from_pandas=True)
-        return pa.table(columns | {"composite": nan(observed), "p_value": nan((far + 1) / (count + 1)), "null_mean": nan(centre), "null_std": nan(spread)})
+        return pa.table(columns | {"composite": nan(observed), "p_value": nan((far + 1) / (count + 1)), "null_mean": nan(centre), "null_std": nan(np.sqrt(mean(squares, count)))})
 
     wanted = pool.where(F.col(column).isin(*neutral, *events)) if len(neutral) + len(events) <= 1000 else pool
+    # A cell has a row even where it has no value at any of these anchors.
+    wanted = wanted.select(*keys, column, "value").unionByName(pool.select(*keys).distinct().withColumns({column: F.lit(None).cast(kinds[column]), "value": F.lit(None).cast("double")}))
     dealt = wanted.withColumn("_cell", F.xxhash64(*keys)).withColumn("_block", F.pmod(F.col("_cell"), F.lit(blocks)))
     return dealt.groupBy("_block").applyInArrow(lambda t: test(t), schema)
 

@@ -99,12 +99,12 @@ def amplification(responses: DataFrame, by: list[str], strong: str = "super", re
 
 def band_join(df: DataFrame, bands: DataFrame) -> DataFrame:
     """Rows with each band that holds their latitude, both ends included. bands: (band, low, high), a handful of rows."""
-    return df.join(F.broadcast(bands), F.col("lat").between(F.col("low"), F.col("high")))
+    return df.join(small(bands), F.col("lat").between(F.col("low"), F.col("high")))
 
 
 def box_join(df: DataFrame, boxes: DataFrame) -> DataFrame:
     """As band_join, for boxes (box, south, north, west, east)."""
-    return df.join(F.broadcast(boxes), F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+    return df.join(small(boxes), F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
 
 
 def land_mask(df: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def exposure_pivot(exposed: DataFrame, by: list[str], classes: list[str]) -> Dat
 def nearest_year(events: DataFrame, years: DataFrame, event: str = "event_year") -> DataFrame:
     """(event, year): the available year nearest to each event, the earlier of equals. Both tables are short."""
     gap = F.abs(F.col("year") - F.col(event))
-    return events.select(event).distinct().crossJoin(F.broadcast(years.select("year").distinct())).groupBy(event).agg(F.min_by("year", F.struct(gap, F.col("year"))).alias("year"))
+    return events.select(event).distinct().crossJoin(small(years.select("year").distinct())).groupBy(event).agg(F.min_by("year", F.struct(gap, F.col("year"))).alias("year"))
 
 
 def density_to_count(density: Column | str, area: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.model import in_time
+from lagwise.operators.epochs import small
 
 
 def excess_over_scaled(strong: DataFrame, reference: DataFrame, keys: list[str], strong_amplitude: float | Column, reference_amplitude: float | Column) -> DataFrame:
@@ -45,79 +46,75 @@ def quadratic_fit(df: DataFrame, keys: list[str], y: str = "value", x: str = "in
     )
 
 
-HINGE_FIELDS = "b0 double, slope double, warm double, cold double, ratio double, excess double, excess_frac double, p_value double, n long, n_draws long"
+HINGE_FIELDS = "b0 double, slope double, warm double, cold double, ratio double, excess double, excess_frac double, p_value double, steepening boolean, n long, n_draws long"
 
 
 def _hinge_design(x: np.ndarray, knot: float) -> np.ndarray:
     return np.stack([np.ones(len(x)), x, np.maximum(x - knot, 0), np.minimum(x + knot, 0)], 1)
 
 
+def _least_squares(design: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The coefficients (terms x cells), null where the design does not determine them."""
+    if len(design) < design.shape[1] or np.linalg.matrix_rank(design) < design.shape[1]:
+        return np.full((design.shape[1], y.shape[1]), np.nan)
+    return np.linalg.lstsq(design, y, rcond=None)[0]
+
+
 def hinge_fit(
     df: DataFrame, keys: list[str], item: str = "anchor_t", y: str = "value", x: str = "index", knot: float = 1.5, iterations: int = 200, seed: int = 1,
-    evaluate_at: float = 2.3, coverage: float = 0.5, min_rows: int = 20, blocks: int = 64,
+    evaluate_at: float = 2.3, coverage: float = 0.5, min_rows: int = 20, cells_a_block: int = 1024,
 ) -> DataFrame:
     """(keys): least-squares fit of 1, x, max(x - k, 0), min(x + k, 0), with a bootstrap over items.
 
-    ratio = warm / slope where |slope| > 1e-6; excess is the warm hinge's part at evaluate_at, excess_frac that part as a
-    share of the linear one; p_value = 2 (1 - share of draws whose hinge has the fit's sign), null without draws. Items
-    covered by fewer than `coverage` of the best covered one's cells are dropped; a key needs max(min_rows, 24) rows
-    if it lacks any item. Draws with fewer than 3 items beyond the knot or within it are skipped.
+    ratio = warm / slope where |slope| > 1e-6; excess is the warm hinge's part at evaluate_at (0 below the knot), excess_frac that part
+    as a share of the linear one, where that is above 1e-6 in size; steepening: slope and warm hinge have one sign. Items covered by
+    fewer than `coverage` of the best covered one's cells are dropped; x belongs to the item. Cells that have every item are fitted
+    whatever their number of items, others with max(min_rows, 24) items; coefficients that the items do not determine are null.
 
-    Cells of a block are one matrix: complete ones are solved together, ragged ones apart.
+    p_value = 2 (1 - share of draws whose hinge has the fit's sign), at most 1. Draws resample all items; those with fewer than 3 items
+    above the knot or 3 below its negative are skipped. Cells that lack an item are fitted but not resampled: their p_value is 1.
+    Cells of a block are one matrix and are solved together.
     """
     df = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, F.col(item).alias("_item"), F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
-    cover = df.groupBy("_item").agg(F.count(F.lit(1)).alias("_c")).withColumn("_most", F.max("_c").over(Window.partitionBy()))
-    df = df.join(F.broadcast(cover.where(F.col("_c") >= coverage * F.col("_most")).select("_item")), "_item")
+    cover = df.groupBy("_item").agg(F.count(F.lit(1)).alias("c"), F.max("_x").alias("x")).collect()  # one row for each year or month
+    most = max((r["c"] for r in cover), default=0)
+    chosen = sorted((r["_item"], r["x"]) for r in cover if r["c"] >= coverage * most)
+    at, xs = {k: i for i, (k, _) in enumerate(chosen)}, np.array([v for _, v in chosen])
+    design = _hinge_design(xs, knot)
+    picks = [[int(hashlib.md5(f"{seed}:{i}:{s}".encode()).hexdigest()[:8], 16) % len(xs) for s in range(len(xs))] for i in range(iterations)] if len(xs) else []
+    draws = [np.array(p) for p in picks if (xs[p] > knot).sum() >= 3 and (xs[p] < -knot).sum() >= 3]
+    least = max(min_rows, 6 * design.shape[1])
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    blocks = df.select(*keys).distinct().count() // cells_a_block + 1
 
     def fit(table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
         cells, cell = np.unique(frame["_cell"].to_numpy(), return_inverse=True)
-        items, at = np.unique(frame["_item"].to_numpy(), return_inverse=True)
-        xs = np.zeros(len(items))
-        xs[at] = frame["_x"].to_numpy()
-        ys = np.full((len(items), len(cells)), np.nan)
-        ys[at, cell] = frame["_y"].to_numpy()
-        design = _hinge_design(xs, knot)
-        picks = [[int(hashlib.md5(f"{seed}:{i}:{s}".encode()).hexdigest()[:8], 16) % len(items) for s in range(len(items))] for i in range(iterations)]
-
-        def solve(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-            return np.linalg.lstsq(design[rows], y, rcond=None)[0]
-
-        def enough(rows: np.ndarray) -> bool:
-            beyond = (xs[rows] > knot).sum()
-            return beyond >= 3 and len(rows) - beyond >= 3
-
-        full = np.isfinite(ys).all(0)
-        beta, same, used = np.full((4, len(cells)), np.nan), np.zeros(len(cells)), np.zeros(len(cells), int)
-        if full.any() and len(items) >= min_rows:
-            beta[:, full] = solve(np.arange(len(items)), ys[:, full])
-            for p in picks:
-                rows = np.array(p)
-                if enough(rows):
-                    h = solve(rows, ys[np.ix_(rows, np.flatnonzero(full))])[2]
-                    same[full] += np.sign(h) == np.sign(beta[2, full])
-                    used[full] += 1
-        for k in np.flatnonzero(~full):
-            there = np.flatnonzero(np.isfinite(ys[:, k]))
-            if len(there) < max(min_rows, 24):
-                continue
-            beta[:, k] = solve(there, ys[there, k])
-            for p in picks:
-                rows = np.array([r for r in p if np.isfinite(ys[r, k])], int)
-                if len(rows) and enough(rows):
-                    same[k] += np.sign(solve(rows, ys[rows, k])[2]) == np.sign(beta[2, k])
-                    used[k] += 1
+        row = np.array([at.get(k, -1) for k in frame["_item"]])
+        ys = np.full((len(xs), len(cells)), np.nan)
+        ys[row[row >= 0], cell[row >= 0]] = frame["_y"].to_numpy()[row >= 0]
+        there = np.isfinite(ys)
+        full = there.all(0)
+        beta = np.full((4, len(cells)), np.nan)
+        beta[:, full] = _least_squares(design, ys[:, full])
+        # Cells that lack the same items share a design.
+        ragged = np.flatnonzero(~full & (there.sum(0) >= least))
+        for pattern in np.unique(there[:, ragged], axis=1).T if len(ragged) else []:
+            own = ragged[(there[:, ragged] == pattern[:, None]).all(0)]
+            beta[:, own] = _least_squares(design[pattern], ys[np.ix_(pattern, own)])
+        same = np.zeros(len(cells))
+        for p in draws:
+            same[full] += np.sign(_least_squares(design[p], ys[p][:, full])[2]) == np.sign(beta[2, full])
         b0, slope, warm, cold = beta
-        ratio = np.divide(warm, slope, out=np.full(len(cells), np.nan), where=np.abs(slope) > 1e-6)
-        excess = warm * (evaluate_at - knot)
-        share = np.divide(excess, slope * evaluate_at, out=np.full(len(cells), np.nan), where=np.abs(slope) > 1e-6)
-        p = np.divide(2 * (used - same), used, out=np.full(len(cells), np.nan), where=used > 0)
+        over = lambda a, b: np.divide(a, b, out=np.full(len(cells), np.nan), where=np.abs(b) > 1e-6)
+        excess = warm * max(evaluate_at - knot, 0)
+        p = np.where(np.isfinite(warm), np.clip(2 * (1 - same / max(len(draws), 1)), 0, 1), np.nan)
         first = frame.drop_duplicates("_cell").set_index("_cell").loc[cells]
         out = {k: pa.array(first[k], type=table.schema.field(k).type) for k in keys}
-        for name, v in (("b0", b0), ("slope", slope), ("warm", warm), ("cold", cold), ("ratio", ratio), ("excess", excess), ("excess_frac", share), ("p_value", np.minimum(p, 1))):
+        for name, v in (("b0", b0), ("slope", slope), ("warm", warm), ("cold", cold), ("ratio", over(warm, slope)), ("excess", excess), ("excess_frac", over(excess, slope * evaluate_at)), ("p_value", p)):
             out[name] = pa.array(v, pa.float64(), from_pandas=True)
-        return pa.table(out | {"n": pa.array(np.isfinite(ys).sum(0), pa.int64()), "n_draws": pa.array(used, pa.int64())})
+        steep = pa.array(np.sign(slope) == np.sign(warm), mask=~np.isfinite(warm))
+        return pa.table(out | {"steepening": steep, "n": pa.array(there.sum(0), pa.int64()), "n_draws": pa.array(np.full(len(cells), len(draws)), pa.int64())})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), HINGE_FIELDS])
     dealt = df.withColumn("_cell", F.xxhash64(*keys)).withColumn("_block", F.pmod(F.col("_cell"), F.lit(blocks)))
@@ -125,9 +122,12 @@ def hinge_fit(
 
 
 def collinearity(df: DataFrame, x: str = "index", knot: float = 1.5) -> DataFrame:
-    """One row: the correlation of x with its hinge beyond the knot, and how many rows lie beyond it."""
-    hinge = F.greatest(F.col(x) - knot, F.lit(0.0))
-    return df.agg(F.corr(F.col(x), hinge).alias("corr_hinge"), F.count_if(F.col(x) > knot).alias("n_beyond"), F.count(x).alias("n"))
+    """One row: the correlation of x with its hinge beyond the knot, the largest of any two of x and both hinges, and the rows beyond either knot."""
+    warm, cold = F.greatest(F.col(x) - knot, F.lit(0.0)), F.least(F.col(x) + knot, F.lit(0.0))
+    most = F.greatest(F.abs(F.corr(F.col(x), warm)), F.abs(F.corr(F.col(x), cold)), F.abs(F.corr(warm, cold)))
+    return df.agg(
+        F.corr(F.col(x), warm).alias("corr_hinge"), most.alias("max_collinearity"), F.count_if(F.col(x) > knot).alias("n_beyond"), F.count_if(F.col(x) < -knot).alias("n_below"), F.count(x).alias("n")
+    )
 
 
 def variance_partition(df: DataFrame, keys: list[str], member: str = "model", event: str = "event_year") -> DataFrame:
@@ -158,7 +158,7 @@ def leave_one_out(df: DataFrame, by: str, cell: list[str], weight: Column, flag:
     parts = df.groupBy(*cell, by).agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.first(weight).alias("w"))
     whole = parts.groupBy(*cell).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"), F.first("w").alias("tw"))
     items = parts.select(F.col(by).alias("left_out")).distinct()
-    grid = whole.crossJoin(F.broadcast(items))  # items are the members or events of an ensemble
+    grid = whole.crossJoin(small(items))  # items are the members or events of an ensemble
     own = parts.select(*cell, F.col(by).alias("left_out"), "s", "n")
     rest = grid.join(own, [*cell, "left_out"], "left").withColumn("k", F.col("tn") - F.coalesce("n", F.lit(0)))
     rest = rest.withColumn("v", (F.coalesce("ts", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))) / F.when(F.col("k") > 0, F.col("k")))
@@ -205,7 +205,7 @@ def cross_correlation(df: DataFrame, keys: list[str], index: DataFrame, lag_min:
     Months are taken as they follow each other among the joined rows, so the shift is by row: the index side is unfolded
     to one row for each lag and joined on the row number.
     """
-    both = df.where("value is not null").select(*keys, "t", "value").join(F.broadcast(index.where("value is not null").select("t", F.col("value").alias("x"))), "t")
+    both = df.where("value is not null").select(*keys, "t", "value").join(small(index.where("value is not null").select("t", F.col("value").alias("x"))), "t")
     both = both.withColumn("rn", F.row_number().over(in_time(keys)))
     shifted = both.select(*keys, "x", F.explode(F.sequence(F.lit(lag_min), F.lit(lag_max))).alias("lag"), F.col("rn").alias("_rn")).withColumn("rn", F.col("_rn") + F.col("lag"))
     pairs = both.select(*keys, "rn", "value").join(shifted.select(*keys, "rn", "lag", "x"), [*keys, "rn"])

@@ -331,7 +331,7 @@ def mc_composite_test(spark: SparkSession, d: str) -> DataFrame:
 def mc_test_blocked(spark: SparkSession, d: str) -> DataFrame:
     pool, warm, neutral = anchor_sets(spark, d)
     months = lambda df: sorted(r[0] for r in df.distinct().collect())  # noqa: E731  anchors: months of the record
-    return _mc_columns(inference.mc_test_blocked(pool, CELL, months(warm), months(neutral), ITERATIONS, SEED, blocks=8))
+    return _mc_columns(inference.mc_test_blocked(pool, CELL, months(warm), months(neutral), ITERATIONS, SEED, cells_a_block=8))
 
 
 @query("q20_fdr_mask", f"SELECT cell_id, {s6('p_value')} AS p_value, {s6('threshold')} AS threshold, significant FROM masked")
@@ -381,10 +381,10 @@ def _boot(items: str, seed: int, value: str = "value") -> str:
 _TWO_SIDED = "least(1.0, 2.0 * (count(*) FILTER (CASE WHEN obs >= 0 THEN draw <= 0 ELSE draw >= 0 END) + 1) / (count(draw) + 1))"
 
 
-@query(
-    "q24_excess_bootstrap",
-    f"SELECT cell_id, {s6('obs')} AS excess, {s6(_TWO_SIDED)} AS p_value, {s6('stddev_pop(draw)')} AS sd FROM (SELECT a.cell_id, a.m - 0.5 * b.m AS draw, o.obs FROM ({_boot('resp', SEED)}) a JOIN ({_boot('cresp', SEED + 1)}) b ON a.cell_id = b.cell_id AND a.iteration = b.iteration JOIN (SELECT x.cell_id, x.v - 0.5 * y.v AS obs FROM (SELECT cell_id, avg(value) AS v FROM resp GROUP BY ALL) x JOIN (SELECT cell_id, avg(value) AS v FROM cresp GROUP BY ALL) y ON x.cell_id = y.cell_id) o ON o.cell_id = a.cell_id) GROUP BY cell_id, obs",
-)
+_EXCESS = f"SELECT cell_id, obs AS excess, {_TWO_SIDED} AS p_value, stddev_pop(draw) AS sd FROM (SELECT a.cell_id, a.m - 0.5 * b.m AS draw, o.obs FROM ({_boot('resp', SEED)}) a JOIN ({_boot('cresp', SEED + 1)}) b ON a.cell_id = b.cell_id AND a.iteration = b.iteration JOIN (SELECT x.cell_id, x.v - 0.5 * y.v AS obs FROM (SELECT cell_id, avg(value) AS v FROM resp GROUP BY ALL) x JOIN (SELECT cell_id, avg(value) AS v FROM cresp GROUP BY ALL) y ON x.cell_id = y.cell_id) o ON o.cell_id = a.cell_id) GROUP BY cell_id, obs"
+
+
+@query("q24_excess_bootstrap", f"SELECT cell_id, {s6('excess')} AS excess, {s6('p_value')} AS p_value, {s6('sd')} AS sd FROM ({_EXCESS})")
 def excess_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     df = inference.bootstrap_difference(responses(spark, d), responses(spark, d, phase="cold"), CELL, ITERATIONS, SEED, 0.5)
     return out(df, "cell_id", excess="excess", p_value="p_value", sd="sd")
@@ -444,7 +444,7 @@ ctes.CTES["onidx"] = "SELECT a.cell_id, a.t, a.value AS y, i.value AS x FROM ano
 
 
 def on_index(spark: SparkSession, d: str) -> DataFrame:
-    return anom(spark, d).join(F.broadcast(index_series(spark, d).select("t", F.col("value").alias("index"))), "t")
+    return anom(spark, d).join(epochs.small(index_series(spark, d).select("t", F.col("value").alias("index"))), "t")
 
 
 @query(
@@ -457,13 +457,13 @@ def quadratic_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q29_hinge_fit")
 def hinge_fit(spark: SparkSession, d: str) -> DataFrame:
-    df = response.hinge_fit(on_index(spark, d), CELL, "t", knot=0.3, iterations=100, evaluate_at=1.0, blocks=8)
-    return out(df, "cell_id", "n", "n_draws", **{c: c for c in ("b0", "slope", "warm", "cold", "ratio", "excess", "excess_frac", "p_value")})
+    df = response.hinge_fit(on_index(spark, d), CELL, "t", knot=0.3, iterations=100, evaluate_at=1.0, cells_a_block=8)
+    return out(df, "cell_id", "n", "n_draws", "steepening", **{c: c for c in ("b0", "slope", "warm", "cold", "ratio", "excess", "excess_frac", "p_value")})
 
 
-@query("q29b_collinearity", f"SELECT {s6('corr(value, greatest(value - 0.3, 0))')} AS corr_hinge, count(*) FILTER (value > 0.3) AS n_beyond, count(value) AS n FROM oni")
+@query("q29b_collinearity", f"SELECT {s6('corr(value, greatest(value - 0.3, 0))')} AS corr_hinge, {s6('greatest(abs(corr(value, greatest(value - 0.3, 0))), abs(corr(value, least(value + 0.3, 0))), abs(corr(greatest(value - 0.3, 0), least(value + 0.3, 0))))')} AS max_collinearity, count(*) FILTER (value > 0.3) AS n_beyond, count(*) FILTER (value < -0.3) AS n_below, count(value) AS n FROM oni")
 def collinearity(spark: SparkSession, d: str) -> DataFrame:
-    return out(response.collinearity(index_series(spark, d), "value", 0.3), "n_beyond", "n", corr_hinge="corr_hinge")
+    return out(response.collinearity(index_series(spark, d), "value", 0.3), "n_beyond", "n_below", "n", corr_hinge="corr_hinge", max_collinearity="max_collinearity")
 
 
 ctes.CTES["peak"] = "SELECT cell_id, lag AS peak_lag, value AS peak_value FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY abs(value) DESC, lag) AS k FROM comp WHERE value IS NOT NULL) WHERE k = 1"
@@ -608,6 +608,35 @@ def odds_ratio(spark: SparkSession, d: str) -> DataFrame:
     return out(extremes.odds_ratio(share("warm"), share("cold"), CELL), "cell_id", odds_ratio="odds_ratio")
 
 
+_NEUTRAL_DRY = "SELECT a.cell_id, n.anchor_t, count(*) FILTER (a.value < -0.5) AS dry, count(*) FILTER (a.value > 0.5) AS wet FROM neutral n CROSS JOIN lags l JOIN anom a ON a.t = n.anchor_t + l.lag WHERE l.lag BETWEEN 0 AND 5 AND (SELECT count(DISTINCT c.t) FROM cal c WHERE c.t BETWEEN n.anchor_t AND n.anchor_t + 5) >= 3 GROUP BY ALL"
+
+
+@query(
+    "q39e_neutral_interval",
+    f"SELECT {s6('avg(share)')} AS mean, {s6('quantile_cont(share, 0.05)')} AS ci_low, {s6('quantile_cont(share, 0.95)')} AS ci_high FROM (SELECT iteration, sum(least(greatest(p, 1e-4), 1 - 1e-4) * area) / sum(area) AS share FROM (SELECT d.iteration, c.cell_id, avg(c.dry) / 6 AS p FROM draws d JOIN ({_NEUTRAL_DRY}) c ON c.anchor_t = d.anchor_t GROUP BY ALL) JOIN geo USING (cell_id) GROUP BY iteration)",
+)
+def neutral_interval(spark: SparkSession, d: str) -> DataFrame:
+    pool, warm, neutral = anchor_sets(spark, d)
+    df = anom(spark, d).join(geography(spark, d).select("cell_id", "area"), "cell_id")
+    inside = pool.select("anchor_t").distinct().join(warm, "anchor_t", "left_semi").count()
+    found = extremes.neutral_interval(df, CELL, [r[0] for r in neutral.distinct().collect()], inside, 0, 5, ITERATIONS, SEED, -0.5, cells_a_block=8)
+    return out(found, mean="mean", ci_low="ci_low", ci_high="ci_high")
+
+
+_ODDS = "least(greatest({0} / 6, 1e-4), 1 - 1e-4) / (1 - least(greatest({0} / 6, 1e-4), 1 - 1e-4))"
+
+
+@query(
+    "q39f_extremes_table",
+    f"SELECT max(n) AS n_events, {s6('sum(e * area) / sum(area)')} AS dry_event, {s6('sum(q * area) / sum(area)')} AS dry_neutral, {s6('sum(we * area) / sum(area)')} AS wet_event, {s6('sum(wq * area) / sum(area)')} AS wet_neutral, {s6('sum(least(greatest(e / 6, 1e-4), 1 - 1e-4) * area) / sum(area)')} AS dry_share, {s6('quantile_cont(CASE WHEN e > 0 OR q > 0 THEN (' + _ODDS.format('e') + ') / (' + _ODDS.format('q') + ') END, 0.5)')} AS median_odds_ratio, {s6('avg((e > 0 OR q > 0)::INT)')} AS frac_cells_dry, {s6('coalesce(sum(area) FILTER (e > q + 1), 0) / 1e12')} AS area_drier FROM (SELECT a.cell_id, a.dry AS e, a.wet AS we, a.n, b.q, b.wq FROM ({_counts('warm')}) a JOIN (SELECT cell_id, avg(dry) AS q, avg(wet) AS wq FROM ({_NEUTRAL_DRY}) GROUP BY ALL) b ON a.cell_id = b.cell_id) JOIN geo USING (cell_id)",
+)
+def extremes_table(spark: SparkSession, d: str) -> DataFrame:
+    neutral = anchor_sets(spark, d)[2].distinct().withColumn("event_year", F.col("anchor_t"))
+    base = extremes.window_counts(anom(spark, d), CELL, neutral, 0, 5, -0.5, 0.5)
+    df = extremes.extremes_table(counts(spark, d, "warm"), base, CELL, geography(spark, d).select("cell_id", "area"), 6).withColumn("area_drier", F.col("area_drier") / 1e12)
+    return out(df, "n_events", **{c: c for c in df.columns if c != "n_events"})
+
+
 @query("q39d_yearly_change", f"SELECT cell_id, {s6('avg(n) FILTER (year IN (SELECT event_year FROM catalogue)) - avg(n)')} AS change FROM (SELECT cell_id, year, (count(*) FILTER (value > 0.5))::DOUBLE AS n FROM anom GROUP BY ALL) GROUP BY cell_id")
 def yearly_change(spark: SparkSession, d: str) -> DataFrame:
     return out(extremes.event_year_change(extremes.yearly_months(anom(spark, d), CELL), CELL, event_table(spark, d)), "cell_id", change="change")
@@ -652,20 +681,17 @@ def availability_matrix(spark: SparkSession, d: str) -> DataFrame:
     return manifest.availability(o, ("model", "scenario"))
 
 
-@query("q42b_required_gaps", "SELECT n_nationkey AS cell_id, p.model FROM nation CROSS JOIN (SELECT DISTINCT o_orderpriority AS model FROM orders) p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.cell_id = n_nationkey AND o.model = p.model AND o.t = 23945)")
+@query("q42b_required_gaps", "SELECT n_nationkey AS cell_id, p.model, m.t::INT AS t FROM nation CROSS JOIN (SELECT DISTINCT o_orderpriority AS model FROM orders) p CROSS JOIN (SELECT DISTINCT t FROM o) m WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.cell_id = n_nationkey AND o.model = p.model AND o.t = m.t)")
 def required_gaps(spark: SparkSession, d: str) -> DataFrame:
     o = orders(spark, d)
-    wanted = table(spark, d, "nation").select(F.col("n_nationkey").alias("cell_id")).crossJoin(F.broadcast(o.select("model").distinct()))
-    return manifest.gaps(wanted, o.where("t = 23945"), ["cell_id", "model"])
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").alias("cell_id"))
+    for column in ("model", "t"):  # what is required: every cell, member and month
+        wanted = wanted.crossJoin(epochs.small(o.select(column).distinct()))
+    return manifest.gaps(wanted, o, ["cell_id", "model", "t"])
 
 
-@query("q42c_manifest_flatten", "SELECT 'set' || o_orderkey AS dataset, o_orderpriority AS model, o_orderstatus AS climate_scenario, CASE WHEN k IS NOT NULL THEN 'f' || o_orderkey || '_' || k END AS file_name, coalesce(o_custkey + k, -1) AS size FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber::BIGINT AS k FROM lineitem WHERE l_linenumber <= 2) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+@query("q42c_manifest_flatten", "SELECT 'set' || o_orderkey AS dataset, o_orderpriority AS model, o_orderstatus AS climate_scenario, CASE WHEN k IS NOT NULL THEN 'f' || o_orderkey || '_' || k END AS file_name, coalesce(o_custkey + k, -1) AS size FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber::BIGINT AS k FROM lineitem) ON l_orderkey = o_orderkey")
 def manifest_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return flattened(table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "lineitem").where("l_linenumber <= 2"))
-
-
-@query("q42e_manifest_flatten_all", "SELECT 'set' || o_orderkey AS dataset, o_orderpriority AS model, o_orderstatus AS climate_scenario, CASE WHEN k IS NOT NULL THEN 'f' || o_orderkey || '_' || k END AS file_name, coalesce(o_custkey + k, -1) AS size FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber::BIGINT AS k FROM lineitem) ON l_orderkey = o_orderkey")
-def manifest_flatten_all(spark: SparkSession, d: str) -> DataFrame:
     return flattened(table(spark, d, "orders"), table(spark, d, "lineitem"))
 
 
@@ -724,9 +750,9 @@ def composite_agreement(spark: SparkSession, d: str) -> DataFrame:
     return out(df, "cell_id", "n_lags", "same_sign", r="r", peak_observed="peak_observed", peak_simulated="peak_simulated")
 
 
-@query("q45_station_nearest", "SELECT cell_id AS station, cell_id FROM cells WHERE cell_id % 2 = 0")
+@query("q45_station_nearest", "SELECT cell_id AS station, cell_id FROM cells")
 def station_nearest(spark: SparkSession, d: str) -> DataFrame:
-    stations = cells(spark, d).where("cell_id % 2 = 0").select(F.col("cell_id").alias("station"), (F.col("lat") + 1.1).alias("lat"), (F.col("lon") - 0.9).alias("lon"))
+    stations = cells(spark, d).select(F.col("cell_id").alias("station"), (F.col("lat") + 1.1).alias("lat"), (F.col("lon") - 0.9).alias("lon"))
     return regions.nearest_cell(stations, cells(spark, d), "station", 2.0)
 
 
@@ -757,9 +783,11 @@ def value_histogram(spark: SparkSession, d: str) -> DataFrame:
     return anom(spark, d).where("value is not null").groupBy(F.floor(F.col("value") / 0.5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q50_common_events", "SELECT event_year::INT AS event_year FROM resp WHERE cell_id < 12 INTERSECT SELECT event_year::INT FROM cresp WHERE cell_id >= 12")
+@query("q50_common_events", "SELECT event_year::INT AS event_year, cell_id FROM sresp WHERE scenario = 'F' AND value > 0 INTERSECT SELECT event_year::INT, cell_id FROM sresp WHERE scenario = 'O' AND value > 0")
 def common_events(spark: SparkSession, d: str) -> DataFrame:
-    return responses(spark, d).where("cell_id < 12").select("event_year").intersect(responses(spark, d, phase="cold").where("cell_id >= 12").select("event_year"))
+    """The events and cells that answer upwards in both scenarios."""
+    a, b = (x.where("value > 0").select("event_year", "cell_id") for x in scenario_pairs(spark, d))
+    return a.intersect(b)
 
 
 @query(
@@ -773,7 +801,13 @@ def long_record_runs(spark: SparkSession, d: str) -> DataFrame:
     return found.where("n >= 2").drop("run")
 
 
-@query("q52_region_nonlinearity", None)
+_SHARE = "sum({0}) FILTER (excess IS NOT NULL) / sum(area) FILTER (excess IS NOT NULL)"
+
+
+@query(
+    "q52_region_nonlinearity",
+    f"SELECT region, {s6(_SHARE.format('excess * area'))} AS mean_excess, {s6(_SHARE.format('abs(excess) * area'))} AS mean_abs_excess, {s6(_SHARE.format('CASE WHEN p_value < 0.1 THEN area ELSE 0 END'))} AS area_frac_significant, {s6('quantile_cont(excess, 0.5)')} AS median_excess FROM ({_EXCESS}) JOIN geo USING (cell_id) GROUP BY region",
+)
 def region_nonlinearity(spark: SparkSession, d: str) -> DataFrame:
     df = inference.bootstrap_difference(responses(spark, d), responses(spark, d, phase="cold"), CELL, ITERATIONS, SEED, 0.5).join(geography(spark, d), "cell_id")
     df = response.nonlinearity_summary(df, ["region"])

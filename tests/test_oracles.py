@@ -36,9 +36,3 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
-
-
-def test_manifest_of_all_orders_and_lineitems(spark, duck):
-    df = QUERIES["q42e_manifest_flatten_all"](spark, DIR)
-    orders, items = (duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("orders", "lineitem"))
-    assert df.select("dataset").distinct().count() == orders and df.where("file_name IS NOT NULL").count() == items
