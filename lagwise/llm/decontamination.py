@@ -3,14 +3,16 @@
 Every `window` consecutive words of a benchmark item are a pattern (a shorter item is one pattern). Patterns of one
 length m share a shift table over blocks of two words: how far the search may move on when it sees a block at the end of
 its view. A block in no pattern moves it by m - 1 words, so clean text is looked at once in m - 1 words. Where the shift
-is 0, the block is a pattern's end: the bucket of that suffix has the patterns that may stand here, and comparing their
-words directly confirms them.
+is 0, the block is a pattern's end: the bucket of that suffix, told apart by the hash of the whole view, has the patterns that
+may stand here, and comparing their words directly confirms them.
 
-The benchmark is sent to executors in slices of at most `slice_bytes` of text. One slice is one pass over the documents;
-a larger benchmark takes several, whose hits are joined per document.
+Words are 64-bit hashes in numpy arrays, and so are the tables: a sorted array of blocks with their shifts, and one of
+patterns. The views of a batch of documents move on together, each through `STRIDE` words of a document, so a very long document
+is as many views. Tables take some 15 bytes for each byte of the benchmark; it is sent to executors in slices of at
+most `slice_bytes` of text, each a pass over the documents in which every row keeps what it has found so far.
 
-Defined results: a null text has no words; an item whose id is null marks words but is not listed; rows that share an id
-are reported one by one (together where the benchmark takes several slices); an empty benchmark marks nothing.
+Defined results: a null text has no words; an item whose id is null marks words but is not listed; rows are searched one by one,
+whatever their ids, and alike in one slice or several; an empty benchmark marks nothing. `clean` passes rows on as they are.
 """
 
 from __future__ import annotations
@@ -18,131 +20,216 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded, bounded_batches, materialise, text_of
+from lagwise.llm.common import discard, small_batches, materialise, text_of
+from lagwise.llm.hashing import U, mix, run_hashes, slices, word_hashes
 
 #: Words are runs of ASCII letters and digits, lower-cased, and of all bytes beyond ASCII.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
+STRIDE = 256
 
 
-def text_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+def text_bytes(text: str | None) -> bytes:
+    """The words in lower case, parted by spaces."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+
+
+def _blocks(h: np.ndarray, b: int) -> np.ndarray:
+    """The hash of each run of b words; the last b - 1 places have none."""
+    return h if b == 1 else run_hashes(h, b)
 
 
 class _Length:
-    """The tables for the patterns of one length."""
+    """The tables for the patterns of one length m, whose first words stand at `at` in the items' words."""
 
-    def __init__(self, m: int, patterns: dict[tuple[bytes, ...], set]) -> None:
+    def __init__(self, m: int, h: np.ndarray, at: np.ndarray) -> None:
         self.m, self.b = m, min(2, m)
         self.default = m - self.b + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], set]]] = {}
-        for p, items in patterns.items():
-            for end in range(self.b, m + 1):
-                block = p[end - self.b : end]
-                self.shift[block] = min(self.shift.get(block, self.default), m - end)
-            self.bucket.setdefault(p[m - self.b :], []).append((p, items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
-        """(start, items) of every occurrence."""
-        m, b, shift, default, bucket, n = self.m, self.b, self.shift, self.default, self.bucket, len(words)
-        end = m
-        while end <= n:
-            block = (words[end - 2], words[end - 1]) if b == 2 else (words[end - 1],)
-            step = shift.get(block, default)
-            if step:
-                end += step
-                continue
-            view = tuple(words[end - m : end])
-            for pattern, items in bucket.get(block, ()):
-                if pattern == view:
-                    yield end - m, items
-                    break
-            end += 1
+        blocks = _blocks(h, self.b)
+        ends = np.arange(self.default - 1, -1, -1)  # the shift of the block that starts at each place of a pattern
+        seen = blocks[(at[:, None] + np.arange(self.default)).reshape(-1)]
+        order = np.lexsort((np.tile(ends, len(at)), seen))
+        first = np.flatnonzero(np.append(True, seen[order][1:] != seen[order][:-1]))
+        self.block, self.shift = seen[order][first], np.tile(ends, len(at))[order][first].astype(np.int32)
+        views = run_hashes(h, m)[at]
+        order = np.argsort(views, kind="stable")
+        self.view, self.at = views[order], at[order]
+
+    def shifts(self, blocks: np.ndarray) -> np.ndarray:
+        slot = np.minimum(np.searchsorted(self.block, blocks), len(self.block) - 1)
+        return np.where(self.block[slot] == blocks, self.shift[slot], self.default)
+
+    def search(self, h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The places in h where the view of some pattern stands, of texts that stand end to end."""
+        views = np.maximum(counts - self.m + 1, 0)
+        parts = -(-views // STRIDE)
+        text = np.repeat(np.arange(len(counts)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = starts[text] + nth * STRIDE
+        stop = starts[text] + np.minimum(views[text], (nth + 1) * STRIDE)
+        blocks, found = _blocks(h, self.b), []
+        while len(at):
+            step = self.shifts(blocks[at + self.m - self.b])
+            found.append(at[step == 0])
+            at = at + np.maximum(step, 1)
+            going = at < stop
+            at, stop = at[going], stop[going]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 class Matcher:
+    """The patterns of a slice of the benchmark."""
+
     def __init__(self, items: list[tuple[object, str | None]], window: int) -> None:
-        patterns: dict[int, dict[tuple[bytes, ...], set]] = {}
-        for item, text in items:
-            w = text_words(text)
-            m = min(window, len(w))
-            for i in range(len(w) - m + 1 if m else 0):
-                patterns.setdefault(m, {}).setdefault(tuple(w[i : i + m]), set()).add(item)
-        self.lengths = [_Length(m, p) for m, p in sorted(patterns.items())]
-
-    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """The word ranges (from, to) that occurrences cover, joined where they touch, and the items."""
-        found, items = [], set()
+        self.names = [name for name, _ in items]
+        words = [text_bytes(text).split() for _, text in items]
+        self.data = [b" ".join(w) for w in words]
+        self.h, counts = word_hashes(self.data)
+        self.starts = np.cumsum(counts) - counts
+        lengths = np.array([len(x) + 1 for w in words for x in w], np.int64)
+        # Where each word begins in its item, for comparing.
+        self.begin = np.cumsum(lengths) - lengths
+        self.begin -= np.repeat(self.begin[np.minimum(self.starts, max(len(lengths) - 1, 0))], counts) if len(lengths) else 0
+        self.lengths = []
+        m = np.minimum(window, counts)
+        for size in np.unique(m[m > 0]).tolist():
+            own = np.flatnonzero(m == size)
+            n = counts[own] - size + 1
+            at = np.repeat(self.starts[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            self.lengths.append(_Length(size, self.h, at))
+
+    def nbytes(self) -> int:
+        arrays = [self.h, self.begin, *(a for x in self.lengths for a in (x.block, x.shift, x.view, x.at))]
+        return sum(a.nbytes for a in arrays) + sum(map(len, self.data))
+
+    def _words(self, at: int, m: int) -> tuple[int, bytes]:
+        """The item that a pattern is of, and its words."""
+        item = int(np.searchsorted(self.starts, at, side="right")) - 1
+        data, last = self.data[item], at + m
+        end = int(self.begin[last]) - 1 if last < len(self.begin) and self.begin[last] else len(data)
+        return item, data[int(self.begin[at]) : end]
+
+    def spans(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
+        """Of each text (as text_bytes gives it): the number of words, the word ranges that occurrences cover, joined where they touch, and the items."""
+        h, counts = word_hashes(texts)
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        change, items, split = np.zeros(len(h) + 1, np.int64), [set() for _ in texts], {}
         for x in self.lengths:
-            for start, which in x.search(words):
-                found.append((start, start + x.m))
-                items |= which
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
-            else:
-                out.append((a, b))
-        return out, items
+            places = x.search(h, starts, counts)
+            if not len(places):
+                continue
+            views = run_hashes(h, x.m)[places]
+            low, high = np.searchsorted(x.view, views), np.searchsorted(x.view, views, side="right")
+            for k in np.flatnonzero(high > low).tolist():
+                text = int(np.searchsorted(ends, places[k], side="right"))
+                if text not in split:
+                    split[text] = texts[text].split()
+                a = int(places[k] - starts[text])
+                view, hit = b" ".join(split[text][a : a + x.m]), False
+                for p in range(int(low[k]), int(high[k])):
+                    item, pattern = self._words(int(x.at[p]), x.m)
+                    if pattern == view:
+                        hit = True
+                        items[text].add(self.names[item])
+                if hit:
+                    change[places[k]] += 1
+                    change[places[k] + x.m] -= 1
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        covered = (np.cumsum(change) > 0).astype(np.int8)
+        for text in split:
+            edge = np.flatnonzero(np.diff(covered[starts[text] : ends[text]], prepend=0, append=0))
+            out[text] = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+        return counts, out, items
+
+
+def _joined(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted([*a, *b]):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _search(matcher: Matcher, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
+    """(words, ranges, items) of each text."""
+    for a, b in slices([len(t or "") for t in texts]):
+        yield from zip(*matcher.spans([text_bytes(t) for t in texts[a:b]]), strict=True)
+
+
+_LONGS = pa.list_(pa.int64())
 
 
 def _finder(matcher):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher.value
-        for batch in batches:
-            n, starts, ends, items = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                w = text_words(text)
-                spans, which = m.spans(w)
-                n.append(len(w))
-                starts.append([a for a, _ in spans])
-                ends.append([b for _, b in spans])
-                items.append(sorted(str(x) for x in which if x is not None))
-            ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "starts", "ends", "items"])
+        for batch in small_batches(batches):
+            rows = list(_search(matcher.value, batch.column("text").to_pylist()))
+            spans, items = [r[1] for r in rows], [{str(x) for x in r[2] if x is not None} for r in rows]
+            if "starts" in batch.schema.names:  # a later slice
+                before = zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                for k, (s, e, names) in enumerate(before):
+                    spans[k] = _joined(spans[k], list(zip(s, e, strict=True)))
+                    items[k] |= set(names)
+            found = [pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([[a for a, _ in s] for s in spans], _LONGS), pa.array([[b for _, b in s] for s in spans], _LONGS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *found], ["doc_id", "text", "n_words", "starts", "ends", "items"])
 
     return find
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, n_words, the hit word ranges (starts, ends; not overlapping), and the items with occurring windows, sorted as strings."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    slim = docs.select(docs[id_col].alias("doc_id"), text_of(docs[text_col]).alias("text"))
+def _cleaner(matcher, column: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, column):
+            free = [not spans for _, spans, _ in _search(matcher.value, batch.column(column).to_pylist())]
+            yield batch.filter(pa.array(free, pa.bool_()))
+
+    return clean
+
+
+def _matchers(spark, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, slice_bytes: int) -> Iterator:
+    """A broadcast Matcher for each slice of the benchmark; slices are dealt by hash and hold about slice_bytes of text."""
     items = benchmark.select(benchmark[item_col].alias("item"), text_of(benchmark[item_text_col]).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.lit(16)).alias("b")).first()[0] or 0
-    slices = int(size // slice_bytes) + 1
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("doc_id", slim.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("starts", longs), T.StructField("ends", longs), T.StructField("items", T.ArrayType(T.StringType()))])
-    if slices == 1:
-        return slim.mapInArrow(_finder(spark.sparkContext.broadcast(Matcher([tuple(r) for r in items.collect()], window))), schema)
-    parts = None
-    for k in range(slices):  # hashed slices: each about slice_bytes
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).collect()
-        part = materialise(slim.mapInArrow(_finder(spark.sparkContext.broadcast(Matcher([tuple(r) for r in own], window))), schema), "hits")
-        parts = part if parts is None else parts.union(part)
-    span = F.arrays_zip("starts", "ends")
-    every = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(span))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # Joined where they touch: a span opens a new range if it starts beyond all ends before it.
-    joined = F.expr(
-        "aggregate(spans, cast(array() as array<struct<starts:bigint,ends:bigint>>), (done, s) -> "
-        "if(size(done) = 0 or s.starts > element_at(done, -1).ends, concat(done, array(s)), "
-        "concat(slice(done, 1, size(done) - 1), array(named_struct('starts', element_at(done, -1).starts, 'ends', greatest(element_at(done, -1).ends, s.ends))))))"
-    )
-    every = every.withColumn("spans", joined)
-    return every.select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
-    """The documents without a benchmark window, with their columns; a row with a null id stays only if no such row is hit."""
-    hit = materialise(find(docs, benchmark, window, id_col, text_col).where(F.size("starts") > 0).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    return docs.join(bounded(hit), docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    n = int(size // slice_bytes) + 1
+    for k in range(n):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
+        yield spark.sparkContext.broadcast(Matcher([tuple(r) for r in own], window))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, n_words, the hit word ranges (starts, ends; not overlapping), and the items with occurring windows, sorted as strings."""
+    spark, longs = docs.sparkSession, T.ArrayType(T.LongType())
+    out = docs.select(docs[id_col].alias("doc_id"), text_of(docs[text_col]).alias("text"))
+    schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("starts", longs), T.StructField("ends", longs), T.StructField("items", T.ArrayType(T.StringType()))])
+    before = None
+    for k, matcher in enumerate(_matchers(spark, benchmark, window, item_col, item_text_col, slice_bytes)):
+        if k:  # what the slices so far have found travels with the rows
+            out = materialise(out, "hits")
+            if before is not None:
+                discard(before)
+            before = out
+        out = out.mapInArrow(_finder(matcher), schema)
+    return out.drop("text")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents without a benchmark window, with their columns: rows pass the search as they are, so ids do not matter."""
+    out, before = docs, None
+    for k, matcher in enumerate(_matchers(docs.sparkSession, benchmark, window, item_col, item_text_col, slice_bytes)):
+        if k:
+            out = materialise(out, "clean")
+            if before is not None:
+                discard(before)
+            before = out
+        out = out.mapInArrow(_cleaner(matcher, docs.columns.index(text_col)), docs.schema)
+    return out
 
 
 def items_digest(items: list[str]) -> str:
