@@ -1,18 +1,23 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
-Patterns give the base spans. Novelty adds to them: a candidate is a run of 16 or more characters of
-`[A-Za-z0-9+/_.=-]` with a digit and a letter, which begins at most `reach` characters after a sensitive word. The
-compressor is primed with a dictionary of identifiers and everyday words of code, and sees the text around the
-candidate first; the candidate's marginal bytes are those by which the compressed size grows when it follows. Names,
-paths and words that the dictionary or the surroundings hold cost little; a random string costs almost a byte for each
-character. One whose marginal bytes reach `least` of its length is reported as `novel`, unless a base span overlaps it.
+Patterns give the base spans. Novelty adds to them: a candidate is a run of `LEAST_RUN` or more characters of
+`[A-Za-z0-9+/_.=-]` that begins or ends at most `reach` characters from a sensitive word, on either side. The compressor is
+primed with a dictionary of identifiers and everyday words of code, and sees the text around the candidate first; the
+candidate's marginal bytes are those by which the compressed size grows when it follows. Names, paths and words that the
+dictionary or the surroundings hold cost little; but how much a random string costs depends on its alphabet and on what
+stands around it. So the marginal bytes are held against those of random strings of the same length and alphabet, drawn by a
+hash of the candidate, in the same place: one that costs at least `least` of their mean (a little less for a short one) is reported as `novel`, unless a base
+span overlaps it. Runs without a letter are numbers, and runs without digits of under `LEAST_LETTERS` letters, or
+in which a third are vowels, are words: their compressed size does not tell them from secrets, and they are not reported.
 
 Defined results: a null text counts as empty and has no spans; other columns are not read; rows are scanned one by one.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded_batches, text_of
+from lagwise.llm.common import small_batches, text_of
 
 # The patterns of the base kinds, and the least lengths of their values.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -32,8 +37,15 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|credential|api.?key|private.?key|access.?key|auth|bearer|signature", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}", re.A)
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+LEAST_RUN, LEAST_LETTERS = 10, 16
+#: Random strings cost more or less than their mean by whole bytes, so short ones may fall short of `least` by this over their length.
+SPREAD = 1.5
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_RUN},}}", re.A)
+_DIGIT, _RUN, _OTHER = re.compile("[0-9]"), re.compile("[A-Za-z0-9+/_.=-]"), re.compile("[^A-Za-z]")
+_VOWELS = frozenset("aeiouyAEIOUY")
+#: Sets of characters that strings are drawn from; a candidate's alphabet is the first that holds it, or all of its own kinds.
+_HEX = ("0123456789abcdef", "0123456789ABCDEF")
+_SETS = tuple(map(frozenset, ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")))
 IDENTIFIERS = (
     b"import from return function class public private static const void string number boolean config settings "
     b"environment variable username password secret_key access_token refresh_token api_key client_id client_secret "
@@ -44,15 +56,36 @@ IDENTIFIERS = (
 )
 
 
+def alphabet(candidate: str) -> str:
+    """The characters that a random string like this one would be drawn from."""
+    own = set(candidate)
+    for digits in _HEX:
+        if own <= set(digits) and not own <= _SETS[2] and len(own & _SETS[2]) > 1:
+            return digits
+    kinds = [k for k in _SETS if own & k]
+    return "".join(sorted(own.union(*kinds)))
+
+
+def wordlike(run: str) -> bool:
+    """A run without digits whose letters may spell a word or a few, by their number or their share of vowels."""
+    letters = _OTHER.sub("", run)
+    return not _DIGIT.search(run) and (len(letters) < LEAST_LETTERS or 3 * sum(c in _VOWELS for c in letters) > len(letters))
+
+
 class Novelty:
-    def __init__(self, level: int = 6) -> None:
+    def __init__(self, level: int = 6, draws: int = 8) -> None:
         words = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.z = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False)
+        self.draws = draws
 
     def share(self, around: str, candidate: str) -> float:
-        """Marginal compressed bytes of the candidate after its surroundings, for each of its bytes."""
-        a, c = around.encode("utf-8", "surrogatepass"), candidate.encode()
-        return (len(self.z.compress(a + c)) - len(self.z.compress(a))) / len(c)
+        """The candidate's marginal compressed bytes after its surroundings, over the mean of random strings like it."""
+        a = around.encode("utf-8", "surrogatepass")
+        alone = len(self.z.compress(a))
+        cost = lambda s: len(self.z.compress(a + s.encode())) - alone
+        rng, letters = random.Random(candidate), alphabet(candidate)
+        expected = sum(cost("".join(rng.choices(letters, k=len(candidate)))) for _ in range(self.draws)) / self.draws
+        return cost(candidate) / max(expected, 1.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -66,21 +99,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, reach: int, context: int, least: float) -> list[tuple[int, int, str]]:
-    taken = sorted(base)
-    out, done, k = [], 0, 0
-    for s in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, max(done, s.end()), len(text)):
-            if c.start() > s.end() + reach:
+    words = [(m.start(), m.end()) for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    taken, out, done = sorted(base), [], 0
+    ends = [b for _, b, _ in taken]
+    far = max((b - a for a, b, _ in taken), default=0)
+    for start, end in words:
+        # A run may begin before the reach that it ends in, so each is found from its own start.
+        low = max(done, start - reach)
+        while low > done and _RUN.fullmatch(text[low - 1]):
+            low -= 1
+        for c in CANDIDATE.finditer(text, low):
+            if c.start() > end + reach:
                 break
-            done = c.end()
-            if not (_DIGIT.search(c[0]) and _LETTER.search(c[0])):
+            done = max(done, c.end())
+            run = c[0]
+            if not any(x.isalpha() for x in run) or wordlike(run):
                 continue
-            while k < len(taken) and taken[k][1] <= c.start():
+            k = bisect.bisect_right(ends, c.start())
+            overlaps = False
+            while k < len(taken) and taken[k][0] < c.end() + far:
+                overlaps |= taken[k][0] < c.end() and taken[k][1] > c.start()
                 k += 1
-            if any(a < c.end() and b > c.start() for a, b, _ in taken[max(0, k - 3) :][:8]):
-                continue
             around = text[max(0, c.start() - context) : c.start()] + text[c.end() : c.end() + context] + " "
-            if novelty.share(around, c[0]) >= least:
+            if not overlaps and novelty.share(around, run) >= least - SPREAD / len(run):
                 out.append((c.start(), c.end(), "novel"))
     return out
 
@@ -92,7 +135,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def _scanner(reach: int, context: int, least: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
+        for batch in small_batches(batches):
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             base_sha, spans = [], []
             for text in batch.column(1).to_pylist():
@@ -108,9 +151,8 @@ def _scanner(reach: int, context: int, least: float):
     return scan
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, context: int = 256, least: float = 0.75) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, context: int = 512, least: float = 0.9) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans (kind:start:end by start, code points, end exclusive)."""
-    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), text_of(docs[text_col]).alias("text"))
     schema = T.StructType([T.StructField("doc_id", slim.schema["doc_id"].dataType), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
     return slim.mapInArrow(_scanner(reach, context, least), schema)
