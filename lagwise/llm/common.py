@@ -8,12 +8,17 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of ASCII white space, which part words.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: The temporary folder of each local application.
+_LOCAL: dict[str, str] = {}
+
 #: Frees a query's shuffle files as soon as the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,11 +38,13 @@ def words(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without; it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("lagwise.scratch.dir", None) or "file://" + tempfile.mkdtemp(prefix="lagwise-")
-        spark.conf.set("lagwise.scratch.dir", found)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lagwise-"))
     return found.rstrip("/")
 
 
@@ -86,10 +93,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what Arrow hands to Python at once by bytes as well as by rows, so that very long texts fit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of up to so many rows and bytes of a text column, so that what Python makes of one stays small; a longer text is a part alone."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        a, total = 0, 0
+        for k, n in enumerate(lengths):
+            if k > a and (total + n > size or k - a >= rows):
+                yield batch.slice(a, k - a)
+                a, total = k, 0
+            total += n
+        if a < len(lengths):
+            yield batch.slice(a)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -97,21 +112,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round takes the least label among a node and its neighbours, then follows the label's own label once (pointer
     jumping), so that long chains close in a logarithmic number of rounds. Labels are written to the shared folder
-    every round; only one number a round reaches the driver.
+    every round; only one number a round reaches the driver. Up to the bound of bounded(), labels are broadcast, so that
+    neither a hub's edges nor a large component's members, which share a label, meet in one task; beyond it, AQE splits them.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = materialise(both.union(both.select("v", "u")).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "labels")
+    small = F.broadcast if labels.count() <= BROADCAST_IDS else lambda df: df
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialise(new.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        near = both.join(small(labels), both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        new = labels.join(small(near), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        heads = new.select("label").distinct().join(new.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        new = materialise(new.join(small(heads), "label", "left").select("node", "old", F.least("label", "next").alias("label")), "labels")
         discard(labels)
         labels = new
         if not new.where("label <> old").limit(1).count():
             discard(both)
-            return labels.select("node", "label")
+            out = labels.select("node", "label")
+            out._scratch = labels._scratch
+            return out
 
 
 def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:

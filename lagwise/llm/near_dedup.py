@@ -35,9 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded, bounded_batches, components, discard, joined, materialise, text_of
+from lagwise.llm.common import bounded, small_batches, components, discard, joined, materialise, text_of
 from lagwise.llm.hashing import U, mix, run_hashes, word_hashes
 
+
 def _sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
     """The distinct shingles of each text, sorted."""
     h, counts = word_hashes(texts, lower=True)
@@ -59,7 +60,7 @@ def _signer(shingle: int, chunks: int, symbols: int, errors: int):
     tag = rng.integers(1, 1 << 63, (len(masks), chunks), dtype=U)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
             n, digests, least = [], [], np.full((len(texts), len(a)), ~U(0))
             for k, s in enumerate(_sets(texts, shingle)):
@@ -77,7 +78,7 @@ def _signer(shingle: int, chunks: int, symbols: int, errors: int):
 
 def _set_maker(shingle: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = list(_sets([x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()], shingle))
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
@@ -133,13 +134,12 @@ def _across(stars: DataFrame, labels: DataFrame, light: DataFrame, percent: int)
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunks: int = 12, symbols: int = 6, errors: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach) and kept (doc_id = component_id), for every row."""
-    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
     id_field = T.StructField("id", slim.schema["id"].dataType)
     fields = [id_field, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     full = materialise(slim.mapInArrow(_signer(shingle, chunks, symbols, errors), T.StructType(fields)), "signatures")
     signed = materialise(full.drop("keys"), "digests")
-    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
 
     firsts = full.join(classes, [full.digest == classes.digest, full.id == classes.rep], "left_semi")
     keyed = firsts.select("id", F.explode("keys").alias("key"))
@@ -170,12 +170,36 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         labels = joined(labels, more)
     discard(wanted, members, light, stars, pairs, sets, more)
 
-    out = signed.select("id", "n", "digest").join(classes, "digest", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    part = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "rep"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), part.alias("component_id"), F.col("id").eqNullSafe(part).alias("kept"))
-
-
-def keep(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """One document of each group, with its columns: the one with the least id. Rows without an id all stay."""
-    gone = materialise(groups(docs, id_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(bounded(gone), docs[id_col] == gone["_gone"], "left_anti")
+    # Only texts that stand twice or are linked are looked up, not all; a text that a third of all rows copy stays spread while these fit a broadcast.
+    parts = classes.join(labels, F.col("rep") == F.col("node"), "left").where("c > 1 or label is not null").select("digest", F.coalesce("label", "rep").alias("part"))
+    parts = bounded(materialise(parts, "parts"))
+    out = signed.where("n > 0").join(parts, "digest", "left").select("id", "n", F.coalesce("part", "id").alias("part"))
+    out = out.unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("part")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("part").alias("component_id"), F.col("id").eqNullSafe(F.col("part")).alias("kept"))
+
+
+def _row_number(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A number for each pair of id and text, in order of the ids, null last; rows alike in both share it."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    by_id = F.coalesce(wide(docs[id_col].cast("long")) + wide(F.lit(str(1 << 63))), wide(F.lit(str(1 << 64))))
+    told = F.shiftrightunsigned(F.xxhash64(docs[text_col]), 3)
+    return (by_id * F.lit(1 << 61).cast("decimal(19,0)") + wide(told)).cast("decimal(38,0)")
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """One document of each group, with its columns: the one with the least id. Rows without words all stay.
+
+    Every row is a document here, whatever its id: rows that share an id, or have none, are grouped by their own texts. Of rows alike
+    in id and text one stays, that with the least hash of all columns.
+    """
+    number = _row_number(docs, id_col, text_col)
+    rows = docs.select(number.alias("doc_id"), docs[text_col].alias("text"))
+    found = materialise(groups(rows, **options).where("n_shingles > 0").groupBy("doc_id", "kept").agg(F.count(F.lit(1)).alias("c")).where("not kept or c > 1"), "found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_row"))
+    twice = found.where("kept").select(F.col("doc_id").alias("_row"))
+    out = docs.join(bounded(gone), number == gone["_row"], "left_anti")
+    if not twice.limit(1).count():
+        return out
+    repeated = out.join(bounded(twice), number == twice["_row"]).select("_row", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    one = repeated.groupBy("_row").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return out.join(bounded(twice), number == twice["_row"], "left_anti").unionAll(one)
