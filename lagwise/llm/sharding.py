@@ -6,9 +6,10 @@ partitions, and narrows each range to the bin that holds its target. A splitter
 edge lie within the tolerance of its target. Edges lie between different texts, so equal texts stay together, unless the
 copies of one text hold more than the tolerance: their range is refined further by the hash of the id.
 
-Only bins (at most `fanout` for each open range) reach the driver, never keys. The rows are then exchanged once, by
-range of (shard, key); a hot text is spread over ranges by the id. A row's slot comes from its place in its range and
-the number of the shard's rows in earlier ranges.
+Only bins (at most `fanout` for each open range, with the least and largest key of each) reach the driver. The rows are then
+exchanged once, straight to where the splitters put them: a shard is cut into equal pieces of its range of text hashes (of id
+hashes for a text that is split), as many as its rows and bytes ask for, and `repartitionById` sends each piece to a partition of
+its own, without sampling keys. A row's slot comes from its place in its piece and the rows of the shard's earlier pieces.
 
 Defined results: a null text counts as empty; rows of equal text and id cannot be told apart and stay in one shard; an
 empty table gives an empty result; input columns named `shard`, `slot`, `size`, `text_crc32` are replaced.
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import materialise, text_of
+from lagwise.llm.common import discard, materialise, text_of
 
 TOP = (1 << 63) - 1
 ADDED = ("size", "text_crc32", "shard", "slot")
@@ -85,7 +86,9 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.02, fanout: i
     return sorted(found[t] for t in targets if t in found)
 
 
-def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.02, rows_a_range: int = 500_000, carry: bool = True) -> DataFrame:
+def shard(
+    docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.02, piece_rows: int = 500_000, piece_bytes: int = 256 << 20, carry: bool = True,
+) -> DataFrame:
     """The documents (carry: with all their columns; otherwise their ids alone, as doc_id) with size, text_crc32, shard and slot."""
     half = lambda c: F.shiftrightunsigned(c, 1)
     text = text_of(docs[text_col])
@@ -96,12 +99,28 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     place = F.lit(0)
     for k, (a, b) in enumerate(bounds):
         place = F.when((F.col("_h") < a) | (F.col("_h") == a) & (F.col("_t") <= b), place).otherwise(F.lit(k + 1))
-    n_ranges = max(n_shards, keys.count() // rows_a_range)
-    moved = (keyed if carry else keys).withColumn("shard", place.cast("int")).repartitionByRange(n_ranges, "shard", "_h", "_t").sortWithinPartitions("shard", "_h", "_t")
-    moved = materialise(moved.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "sharded")
+    rows, size = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
+    pieces = int(max(1, -(-rows // (n_shards * piece_rows)), -(-(size or 0) // (n_shards * piece_bytes)) if carry else 1))
+    moved = (keyed if carry else keys).withColumn("shard", place.cast("int"))
+    moved = moved.withColumn("_p", F.col("shard") * pieces + _piece(bounds, pieces)).repartitionById(n_shards * pieces, "_p").sortWithinPartitions("_p", "_h", "_t")
+    moved = materialise(moved.withColumn("_i", F.monotonically_increasing_id()), "sharded")
+    discard(keys)
     runs = moved.groupBy("_p", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("first"))
     ahead = F.sum("n").over(Window.partitionBy("shard").orderBy("_p")) - F.col("n")
-    # One row for each range and shard in it: at most n_ranges + n_shards rows, a range's share of the rows apart.
+    # One row for each piece: a piece's share of the rows apart.
     runs = runs.select("_p", "shard", "first", ahead.alias("ahead"))
-    out = moved.join(F.broadcast(runs) if n_ranges <= 100_000 else runs, ["_p", "shard"]).withColumn("slot", (F.col("_i") - F.col("first") + F.col("ahead")).cast("long"))
+    out = moved.join(F.broadcast(runs) if n_shards * pieces <= 100_000 else runs, ["_p", "shard"]).withColumn("slot", (F.col("_i") - F.col("first") + F.col("ahead")).cast("long"))
     return out.select("_row.*" if carry else "doc_id", *ADDED)
+
+
+def _piece(bounds: list[tuple[int, int]], pieces: int) -> Column:
+    """Which of its shard's pieces a row falls into."""
+    if pieces == 1:
+        return F.lit(0)
+    low, high = ([0, *(a for a, _ in bounds)], [*(a for a, _ in bounds), TOP])
+    at = lambda edges: F.element_at(F.array(*[F.lit(float(x)) for x in edges]), F.col("shard") + 1)
+    share = (F.col("_h").cast("double") - at(low)) / F.greatest(at(high) - at(low), F.lit(1.0))
+    split = sorted({a for a, b in bounds if b < TOP})
+    if split:  # texts whose copies lie on both sides of a boundary
+        share = F.when(F.col("_h").isin(*split), F.col("_t").cast("double") / float(TOP)).otherwise(share)
+    return F.least(F.greatest(F.floor(share * pieces), F.lit(0)), F.lit(pieces - 1)).cast("int")
