@@ -15,11 +15,12 @@ unpacked by numpy without reading any other block; Parquet's own statistics and
 safe against lost executors. Blocks close at `block_ids` ids; a longer document has a block of its own.
 
 Defined results: a null text counts as empty; every document ends with the end id; null ids come first; rows that share
-an id stand in order of their texts; an empty table gives an empty file.
+an id stand in order of a hash of their texts; an empty table gives an empty file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import bounded_batches, text_of
+from lagwise.llm.common import BROADCAST_IDS, small_batches, text_of
 from lagwise.llm.hashing import piece_hashes, slices
 
 FILE = "stream int, block long, width int, n_ids long, doc_ids array<long>, offsets array<long>, payload binary"
@@ -82,6 +83,25 @@ def cuts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def splits_ahead_of_space(tokenizer) -> bool:
+    """Whether a tokenizer normalises nothing and splits as PieceEncoder takes it to: byte-level, by the usual pattern, no space put in front."""
+    parts = json.loads(tokenizer.to_str())
+    split = parts["pre_tokenizer"] or {}
+    plain = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    marks = [x for x in parts["added_tokens"] if x.get("lstrip") or x.get("rstrip") or x.get("normalized") or any(c.isspace() or c in ".,;:!?" for c in x["content"])]
+    return bool(plain and parts["model"]["type"] == "BPE" and not marks)
+
+
+class WholeEncoder:
+    """Ids of texts by any tokenizer, each text as a whole."""
+
+    def __init__(self, tokenizer) -> None:
+        self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.batch(texts, add_special_tokens=False)]
+
+
 class PieceEncoder:
     """Ids of texts, from the tokenizers library, by pieces of which the common ones are kept.
 
@@ -176,15 +196,16 @@ class PieceEncoder:
         return parts
 
 
-_KEPT: dict[str, PieceEncoder] = {}
+_KEPT: dict[str, PieceEncoder | WholeEncoder] = {}
 
 
-def encoder_of(tokenizer_path: str) -> PieceEncoder:
+def encoder_of(tokenizer_path: str) -> PieceEncoder | WholeEncoder:
     """One encoder for each worker process, so that its pieces serve all tasks there."""
     if tokenizer_path not in _KEPT:
         from tokenizers import Tokenizer
 
-        _KEPT[tokenizer_path] = PieceEncoder(Tokenizer.from_file(tokenizer_path))
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        _KEPT[tokenizer_path] = (PieceEncoder if splits_ahead_of_space(tokenizer) else WholeEncoder)(tokenizer)
     return _KEPT[tokenizer_path]
 
 
@@ -204,7 +225,7 @@ def _encoder(tokenizer_path: str, end_id: int, width: int, block_ids: int):
             row = {"stream": [stream], "block": [block], "width": [width], "n_ids": [size], "doc_ids": [docs], "offsets": [offsets.tolist()], "payload": [pack(np.concatenate(parts), width)]}
             return pa.RecordBatch.from_pydict(row, schema=_FILE)
 
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t) for t in texts]):
                 for doc, x in zip(ids[a:b], encoder(texts[a:b]), strict=True):
@@ -222,14 +243,15 @@ def _encoder(tokenizer_path: str, end_id: int, width: int, block_ids: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 65_536, partition_bytes: int = 16 << 20) -> None:
-    """Encode the texts and write the file to path: one exchange, by range of the id."""
+    """Encode the texts and write the file to path: one exchange, by range of the id and a hash of the text."""
     from tokenizers import Tokenizer
 
-    bounded_batches(docs.sparkSession)
     width = width_for(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1))
     slim = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs[text_col]).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text")).alias("b")).first()[0] or 0
-    ordered = slim.repartitionByRange(int(total // partition_bytes) + 1, "id").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # Rows that share an id, or have none, may be any number, so a hash of the text parts them further.
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = slim.repartitionByRange(int(total // partition_bytes) + 1, *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(_encoder(tokenizer_path, end_id, width, block_ids), FILE).write.mode("overwrite").parquet(path)
 
 
@@ -239,25 +261,23 @@ def open_file(spark: SparkSession, path: str) -> DataFrame:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = {"stream": [], "block": [], "place": [], "doc_id": [], "n_tokens": [], "ids_crc32": []}
+        rows = {"stream": [], "block": [], "inside": [], "doc_id": [], "n_tokens": [], "ids_crc32": []}
         for r in batch.to_pylist():
             ids = unpack(r["payload"], r["width"], 0, r["n_ids"]).astype("<u4")
-            for k, (doc, a, b) in enumerate(zip(r["doc_ids"], r["offsets"], r["offsets"][1:], strict=False)):
-                for key, x in zip(rows, (r["stream"], r["block"], k, doc, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
+            for doc, a, b in zip(r["doc_ids"], r["offsets"], r["offsets"][1:], strict=False):
+                for key, x in zip(rows, (r["stream"], r["block"], a, doc, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
                     rows[key].append(x)
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("stream", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("stream", pa.int32()), ("block", pa.int64()), ("inside", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the file: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     file = open_file(spark, path)
-    docs = file.mapInArrow(_digests, "stream int, block long, place int, doc_id long, n_tokens long, ids_crc32 long")
+    docs = file.mapInArrow(_digests, "stream int, block long, inside long, doc_id long, n_tokens long, ids_crc32 long")
     # Ids ahead of a stream and of a block: sums over the small columns of the file, a row for each block.
     blocks = file.select("stream", "block", "n_ids")
     streams = blocks.groupBy("stream").agg(F.sum("n_ids").alias("n"))
     streams = streams.select(F.col("stream").alias("s"), (F.sum("n").over(Window.orderBy("stream")) - F.col("n")).alias("before"))
-    inside = F.sum("n_ids").over(Window.partitionBy("stream").orderBy("block")) - F.col("n_ids")
-    blocks = blocks.select("stream", "block", inside.alias("inside")).join(streams, F.col("stream") == F.col("s")).select("stream", "block", (F.col("before") + F.col("inside")).alias("base"))
-    place = F.sum("n_tokens").over(Window.partitionBy("stream", "block").orderBy("place")) - F.col("n_tokens")
-    docs = docs.withColumn("place", place)
-    return docs.join(blocks, ["stream", "block"]).select("doc_id", (F.col("base") + F.col("place")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    ahead = F.sum("n_ids").over(Window.partitionBy("stream").orderBy("block")) - F.col("n_ids")
+    blocks = blocks.select("stream", "block", ahead.alias("ahead")).join(streams, F.col("stream") == F.col("s")).select("stream", "block", (F.col("before") + F.col("ahead")).alias("base"))
+    return docs.join(F.broadcast(blocks) if file.count() <= BROADCAST_IDS else blocks, ["stream", "block"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
