@@ -3,9 +3,8 @@
 A document is a bag of passages of `passage` words. Each passage is encoded on its own: shares of byte classes, word
 shape and variety, and a signed hash of its words. A layer turns encodings into instances, gated attention (tanh times
 sigmoid) weighs the instances of a bag, and the weighted mean is scored by a logistic unit; labels exist for documents
-only. The model is learned by Adam in numpy on the driver, from at most `train_rows` labelled documents (those with the
-least hash of the id) with at most `train_passages` evenly spaced passages of each; scoring reads every passage of every
-document and nothing but its text.
+only. The model is learned by Adam in numpy on the driver, from every passage of at most `train_rows` labelled documents (those with
+the least hash of the id); scoring reads every passage of every document and nothing but its text.
 
 Defined results: a null or empty text is one passage of zeros and gets a score; labels that are null, or whose document
 is missing, are not used; a document labelled twice counts twice; without labels every score is 0.5.
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import bounded_batches, text_of
+from lagwise.llm.common import small_batches, text_of
 from lagwise.llm.hashing import U, word_hashes
 
 PASSAGE = 64
@@ -112,6 +111,23 @@ class Model:
         bag = np.repeat(np.arange(len(passages)), passages)
         return self._forward((x - self.mean) / self.scale, np.cumsum(passages) - passages, bag)["y"]
 
+    def gradients(self, x: np.ndarray, passages: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss of bags of standardised passages, by parameter."""
+        p, bag, starts = self.p, np.repeat(np.arange(len(y)), passages), np.cumsum(passages) - passages
+        f = self._forward(x, starts, bag)
+        d = ((f["y"] - y) / len(y)).astype(x.dtype)
+        g = {"o": f["z"].T @ d[:, None], "c": np.array([d.sum()], x.dtype)}
+        dz = (d[:, None] * p["o"].T)[bag]
+        da = (dz * f["h"]).sum(1)
+        de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[bag])
+        g["w"] = (f["v"] * f["u"]).T @ de[:, None]
+        dg = de[:, None] * p["w"].T
+        dv, du = dg * f["u"] * (1 - f["v"] ** 2), dg * f["v"] * f["u"] * (1 - f["u"])
+        g["V"], g["G"] = f["h"].T @ dv, f["h"].T @ du
+        dh = (dz * f["a"][:, None] + dv @ p["V"].T + du @ p["G"].T) * (1 - f["h"] ** 2)
+        g["W"], g["b"] = x.T @ dh, dh.sum(0)
+        return g
+
     def fit(self, x: np.ndarray, passages: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x = (x - self.mean) / self.scale
@@ -123,20 +139,7 @@ class Model:
                 own = order[i : i + batch]
                 n = passages[own]
                 rows = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                bag, starts, xb = np.repeat(np.arange(len(own)), n), np.cumsum(n) - n, x[rows]
-                f = self._forward(xb, starts, bag)
-                d = ((f["y"] - y[own]) / len(own)).astype(np.float32)
-                g = {"o": f["z"].T @ d[:, None], "c": np.array([d.sum()], np.float32)}
-                dz = (d[:, None] * p["o"].T)[bag]
-                da = (dz * f["h"]).sum(1)
-                de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[bag])
-                gate = f["v"] * f["u"]
-                g["w"] = gate.T @ de[:, None]
-                dg = de[:, None] * p["w"].T
-                dv, du = dg * f["u"] * (1 - f["v"] ** 2), dg * f["v"] * f["u"] * (1 - f["u"])
-                g["V"], g["G"] = f["h"].T @ dv, f["h"].T @ du
-                dh = (dz * f["a"][:, None] + dv @ p["V"].T + du @ p["G"].T) * (1 - f["h"] ** 2)
-                g["W"], g["b"] = xb.T @ dh, dh.sum(0)
+                g = self.gradients(x[rows], n, y[own])
                 t += 1
                 for k in p:
                     grad = g[k] + decay * p[k]
@@ -161,26 +164,25 @@ def _pieces(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]
         yield a, len(texts)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 8000, train_passages: int = 32) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 8000) -> Model | None:
     """A model from at most train_rows labelled documents, or None without labels."""
     picked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null")
     picked = picked.orderBy(F.xxhash64("id"), "id", "y").limit(train_rows)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             texts = _bytes(batch, 2)
             rows = []
             for a, b in _pieces(texts):
                 x, passages = encode(texts[a:b])
                 at = 0
                 for n in passages.tolist():
-                    own = np.unique(np.linspace(0, n - 1, min(n, train_passages)).astype(int))
-                    rows.append(x[at + own].tobytes())
+                    rows.append(x[at : at + n].tobytes())
                     at += n
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(rows, pa.binary())], ["id", "y", "x"])
 
     sample = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
-    found = sample.mapInArrow(bags, "id string, y int, x binary").collect()  # bounded: train_rows * train_passages * WIDTH floats
+    found = sample.mapInArrow(bags, "id string, y int, x binary").collect()  # bounded: train_rows documents, 3 bytes for each of their words
     if not found:
         return None
     found.sort(key=lambda r: (r["id"], r["y"], bytes(r["x"])))
@@ -192,10 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score, from 0 to 1."""
-    bounded_batches(docs.sparkSession)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, out = _bytes(batch, 1), []
             for a, b in _pieces(texts):
                 out += [0.5] * (b - a) if model is None else model.score(*encode(texts[a:b])).tolist()

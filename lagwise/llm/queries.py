@@ -53,7 +53,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    fifth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # a null id is not held out, but has no label either
     model = quality_classifier.train(docs, labels.where(~fifth))
     out = quality_classifier.score(docs, model)
     return out.select("doc_id", fifth.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
