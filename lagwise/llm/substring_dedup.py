@@ -4,7 +4,7 @@ A window of `window` words holds a whole block of `block` = (window + 1) // 2 wo
 wherever the window lies. So each document's non-overlapping blocks are its reference index, every rolling run of
 `block` words is a probe, and a window repeats in another document only where a probe hits a block of that document.
 
-Documents are dealt into units by a hash of the id; texts are exchanged once for each of two phases:
+Documents are dealt into units by a hash of id and text; texts are exchanged once for each of two phases:
 
 1. Anchors. For each unit the distinct probes travel, as 32-bit prints within a bucket of the hash space, with a bit for
    those that are blocks of the index. A bucket answers with a bit for each probe: another unit has it as a block, or it
@@ -14,7 +14,8 @@ Documents are dealt into units by a hash of the id; texts are exchanged once for
    Runs of removed windows are the maximal exact repeats.
 
 A unit sends a window once however often its documents hold it, so a passage that a third of all documents share reaches
-a bucket once for each unit. Buckets and units grow in number with the input, not in size.
+a bucket once for each unit. Buckets and units grow in number with the input, not in size. A message holds what one unit has for
+one bucket and is sent only if that is something, so there are never more messages than distinct probes.
 
 Defined results: null and empty texts have no words; ids are compared as 64-bit integers and a null id counts as larger
 than all; rows that share an id do not remove each other's words; other columns are not read.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import materialise, text_of
+from lagwise.llm.common import discard, materialise, text_of
 from lagwise.llm.hashing import U, run_hashes, word_hashes
 
 UNIT_BYTES = 8 << 20
@@ -229,11 +230,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     total = slim.agg(F.sum(F.octet_length("text")).alias("b")).first()[0] or 0
     units, buckets = total // unit_bytes + 1, total // bucket_bytes + 1
     job = Repeats(window, int(buckets))  # methods go in lambdas: Spark tells a group's key argument by the count of arguments
-    dealt = slim.withColumn("unit", F.pmod(F.xxhash64("id"), F.lit(units)))
+    dealt = slim.withColumn("unit", F.pmod(F.xxhash64("id", "text"), F.lit(units)))  # by the text too: any number of rows may share an id or have none
 
     anchors = dealt.groupBy("unit").applyInArrow(lambda t: job.send_anchors(t), _ANCHORS).groupBy("bucket").applyInArrow(lambda t: job.answer_anchors(t), _ANSWERS)
     anchors = materialise(anchors, "anchors")
     windows = dealt.groupBy("unit").cogroup(anchors.groupBy("unit")).applyInArrow(lambda t, a: job.send_windows(t, a), _WINDOWS).groupBy("bucket").applyInArrow(lambda t: job.answer_windows(t), _ANSWERS)
     answers = materialise(anchors.unionByName(windows), "answers")
+    discard(anchors)
     last, schema = (job.digests, "kept_sha256 string") if digest else (job.cleaned, "kept binary")
     return dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(lambda t, a: last(t, a), f"doc_id long, n_words long, n_removed long, {schema}")
