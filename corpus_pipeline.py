@@ -5,6 +5,11 @@
 3. decontamination: documents that hold a 10-word window of a benchmark item go.
 4. mixing: documents are repeated or left out to meet the sources' weights.
 5. sharding: what is left is dealt into 24 shards of near equal bytes, with a gapless slot in each.
+
+Rows are documents in every stage, whatever their ids: rows that share an id or have none are judged by their own texts, and of rows
+alike in id and text near_dedup keeps one. A null or empty text fails the quality rules. Stages read id, text and source only and
+pass all columns on; the last adds size, text_crc32, shard and slot, in place of columns of these names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
