@@ -152,19 +152,19 @@ def gamma_index(df: DataFrame, keys: list[str], scale: int = 1, least: int = 10,
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).drop("_n", "_k", "_mean", "_log", "_lo", "_hi")
 
 
-def standardized_index(df: DataFrame, keys: list[str], scale: int = 1, distribution: str = "gamma") -> DataFrame:
-    return {"gamma": gamma_index, "empirical": empirical_index}[distribution](df, keys, scale)
+def standardized_index(df: DataFrame, keys: list[str], scale: int = 1, distribution: str = "gamma", least: int = 10) -> DataFrame:
+    return {"gamma": gamma_index, "empirical": empirical_index}[distribution](df, keys, scale, least)
 
 
 # Which standardised index belongs to which variable.
 INDEX_OF = {"dis": "ssi", "qtot": "sri", "qr": "sgri", "groundwstor": "sgi", "rootmoist": "ssmi"}
 
 
-def index_set(df: DataFrame, keys: list[str], scales: tuple[int, ...] = (1, 3, 12), distribution: str = "gamma") -> DataFrame:
+def index_set(df: DataFrame, keys: list[str], scales: tuple[int, ...] = (1, 3, 12), distribution: str = "gamma", least: int = 10) -> DataFrame:
     """Every scale's index of each variable that has one, stacked: adds `index` and `scale`. df has a column `variable`."""
     name = F.create_map(*[F.lit(x) for pair in INDEX_OF.items() for x in pair])
     df = df.where(F.col("variable").isin(*INDEX_OF))
-    parts = [standardized_index(df, ["variable", *keys], s, distribution).withColumn("scale", F.lit(s)) for s in scales]
+    parts = [standardized_index(df, ["variable", *keys], s, distribution, least).withColumn("scale", F.lit(s)) for s in scales]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -46,6 +46,17 @@ def composite(epoch: DataFrame, keys: list[str]) -> DataFrame:
     return epoch.groupBy(*keys, "lag").agg(F.avg("value").alias("value"), F.count("value").alias("n_events"))
 
 
+def class_composites(df: DataFrame, keys: list[str], events: DataFrame, lag_min: int, lag_max: int, by: str = "event_class") -> DataFrame:
+    """(by, keys, lag): the composite of each class of events, with its events' number and mean absolute peak. events has `by`, event_year, anchor_t, peak.
+
+    Events of all classes are aligned in one pass, so a field is read once however many classes there are; an event may be in several.
+    """
+    peaks = events.groupBy(by).agg(F.avg(F.abs("peak")).alias("mean_peak"), F.countDistinct("event_year").alias("n_class_events"))
+    epoch = epochs(df, events.select(by, "event_year", "anchor_t"), lag_min, lag_max)
+    out = epoch.groupBy(by, *keys, "lag").agg(F.avg("value").alias("value"), F.count("value").alias("n_events"))
+    return out.join(small(peaks), by)
+
+
 def season_means(epoch: DataFrame, keys: list[str], seasons: DataFrame, event: str = "event_year") -> DataFrame:
     """Mean over the available lags of each season, for each key and event. seasons has (season, lag)."""
     return epoch.join(small(seasons), "lag").groupBy(*keys, event, "season").agg(F.avg("value").alias("value"))

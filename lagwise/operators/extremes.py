@@ -101,3 +101,10 @@ def event_year_change(yearly: DataFrame, keys: list[str], years: DataFrame) -> D
     """(keys): mean over the event years minus the mean over all years."""
     flagged = yearly.join(small(years.select(F.col("event_year").alias("year"), F.lit(True).alias("_e")).distinct()), "year", "left")
     return flagged.groupBy(*keys).agg((F.avg(F.when(F.col("_e"), F.col("value"))) - F.avg("value")).alias("change"))
+
+
+def change_summary(change: DataFrame, cells: DataFrame, by: list[str] | None = None, weight: str = "area") -> DataFrame:
+    """(by): of event_year_change(): the weighted mean change, the least one, and the share of cells where it is below 0."""
+    df = change.join(cells.select("cell_id", F.col(weight).alias("_w")), "cell_id")
+    below = (F.col("change") < 0).cast("double")
+    return df.groupBy(*(by or [])).agg(weighted_mean("change", "_w").alias("mean_change"), F.min("change").alias("least_change"), F.avg(F.coalesce(below, F.lit(0.0))).alias("frac_less"))

@@ -96,6 +96,7 @@ def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral
     blocks = pool.select(*keys).distinct().count() // cells_a_block + 1
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "composite double, p_value double, null_mean double, null_std double"])
+    numbers = {"n_events": F.lit(len(events)), "n_iterations": F.lit(iterations)}
 
     def test(table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
@@ -137,7 +138,7 @@ def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral
     # A cell has a row even where it has no value at any of these anchors.
     wanted = wanted.select(*keys, column, "value").unionByName(pool.select(*keys).distinct().withColumns({column: F.lit(None).cast(kinds[column]), "value": F.lit(None).cast("double")}))
     dealt = wanted.withColumn("_cell", F.xxhash64(*keys)).withColumn("_block", F.pmod(F.col("_cell"), F.lit(blocks)))
-    return dealt.groupBy("_block").applyInArrow(lambda t: test(t), schema)
+    return dealt.groupBy("_block").applyInArrow(lambda t: test(t), schema).withColumns(numbers)
 
 
 def bootstrap_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: int, seed: int, scale: Column | float = 1.0, event: str = "event_year") -> DataFrame:
@@ -210,14 +211,18 @@ def sign_agreement(df: DataFrame, keys: list[str], member: str = "model") -> Dat
 
 def robust_mask(agreement: DataFrame, test: DataFrame, keys: list[str], least: float = 0.66, min_models: int = 3, alpha: float = 0.1, fdr: bool = True) -> DataFrame:
     """Join a test with the members' agreement; robust: enough members, enough agreement, and significant (FDR, or p < alpha)."""
-    test = fdr_mask(test, alpha=alpha) if fdr else test.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
+    test = fdr_mask(test, alpha=alpha) if fdr else test.withColumns({"threshold": F.lit(float(alpha)), "significant": F.coalesce(F.col("p_value") < alpha, F.lit(False))})
     both = test.join(agreement, keys)
     robust = (F.col("n_models") >= min_models) & (F.col("agreement") >= least) & F.col("significant")
     return both.withColumn("robust", F.coalesce(robust, F.lit(False)))
 
 
-def significance_summary(masked: DataFrame, by: list[str]) -> DataFrame:
-    """(by): share of cells that are significant and robust, largest absolute composite; cells without a value count as not significant."""
-    return masked.groupBy(*by).agg(
-        F.avg(F.col("significant").cast("double")).alias("frac_significant"), F.avg(F.col("robust").cast("double")).alias("frac_robust"), F.max(F.abs("composite")).alias("max_abs_composite"), F.count(F.lit(1)).alias("n_cells")
+def significance_summary(masked: DataFrame, by: list[str], least_events: int = 2) -> DataFrame:
+    """(by), of robust_mask(): shares of cells that are significant and robust, largest absolute composite, events, members, threshold.
+
+    Cells without a value count as not significant; what was tested with fewer than least_events events is left out.
+    """
+    return masked.where(F.col("n_events") >= least_events).groupBy(*by).agg(
+        F.avg(F.col("significant").cast("double")).alias("frac_significant"), F.avg(F.col("robust").cast("double")).alias("frac_robust"), F.max(F.abs("composite")).alias("max_abs_composite"),
+        F.count(F.lit(1)).alias("n_cells"), F.max("n_events").alias("n_events"), F.max("n_models").alias("n_models"), F.max("threshold").alias("threshold"),
     )

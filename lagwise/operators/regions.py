@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.operators.epochs import small
+from lagwise.operators.inference import bootstrap_ci
 
 
 def weighted_mean(value: Column | str = "value", weight: Column | str = "area") -> Column:
@@ -90,6 +91,27 @@ def region_response(seasonal: DataFrame, by: list[str]) -> DataFrame:
     return events.groupBy(*by).agg(F.first("_mean").alias("mean"), F.count("value").alias("n_events"), consistent.alias("sign_consistent"))
 
 
+def region_table(seasonal: DataFrame, by: list[str], iterations: int, seed: int) -> DataFrame:
+    """(by): region_response() with the 90% interval of the mean over resampled events."""
+    events = seasonal.groupBy(*by, "event_year").agg(F.avg("value").alias("value"))
+    return region_response(seasonal, by).join(bootstrap_ci(events, by, iterations, seed).drop("mean"), by)
+
+
+def band_table(composite: DataFrame, seasonal: DataFrame, agreement: DataFrame, cells: DataFrame, bands: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(band): mean response with its 90% interval over resampled events, the lag and value of the largest mean composite, and the mean agreement.
+
+    composite has (cell_id, lag, value), seasonal (cell_id, event_year, value), agreement (cell_id, agreement, n_models), cells (cell_id, lat, area).
+    Means over cells are weighted by area, but for the agreement's, as the cells of a map are.
+    """
+    dealt = band_join(cells.select("cell_id", "lat", "area"), bands).select("band", "cell_id", "area")
+    profile = composite.join(small(dealt), "cell_id").groupBy("band", "lag").agg(weighted_mean().alias("value"))
+    order = F.when(F.col("value").isNotNull(), F.struct(F.abs("value"), -F.col("lag")))
+    peaks = profile.groupBy("band").agg(F.max_by("lag", order).alias("peak_lag"), F.max_by("value", order).alias("peak_amplitude"))
+    events = seasonal.join(small(dealt), "cell_id").groupBy("band", "event_year").agg(weighted_mean().alias("value"))
+    agreed = agreement.join(small(dealt), "cell_id").groupBy("band").agg(F.avg("agreement").alias("mean_agreement"), F.max("n_models").alias("n_models"))
+    return bootstrap_ci(events, ["band"], iterations, seed).join(peaks, "band").join(agreed, "band")
+
+
 def amplification(responses: DataFrame, by: list[str], strong: str = "super", reference: str = "reference", least: float = 0.05) -> DataFrame:
     """(by): one column for each class, and strong / reference where the reference exceeds `least` in size."""
     wide = responses.groupBy(*by).pivot("event_class", [strong, reference]).agg(F.first("value"))

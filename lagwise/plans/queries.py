@@ -89,13 +89,19 @@ def mc(spark: SparkSession, d: str) -> DataFrame:
     return inference.mc_test(pool, CELL, warm, neutral, ITERATIONS, SEED)
 
 
+def mc_blocked(spark: SparkSession, d: str) -> DataFrame:
+    pool, warm, neutral = anchor_sets(spark, d)
+    months = lambda df: sorted(r[0] for r in df.distinct().collect())  # noqa: E731  anchors: months of the record
+    return inference.mc_test_blocked(pool, CELL, months(warm), months(neutral), ITERATIONS, SEED, cells_a_block=8)
+
+
 def agreement(spark: SparkSession, d: str) -> DataFrame:
     means = responses(spark, d, "model").groupBy("cell_id", "model").agg(F.avg("value").alias("value"))
     return inference.sign_agreement(means, CELL)
 
 
 def robust(spark: SparkSession, d: str) -> DataFrame:
-    return inference.robust_mask(agreement(spark, d), mc(spark, d), CELL)
+    return inference.robust_mask(agreement(spark, d), mc_blocked(spark, d), CELL)
 
 
 # --- projections and scalar normalisation -----------------------------------------------------------------------------
@@ -171,6 +177,20 @@ def anom_percent(spark: SparkSession, d: str) -> DataFrame:
     return out(climatology.anomalies(field(spark, d), CELL, "percent", "fixed", base=(1996, 1999)), "cell_id", "t", value="value")
 
 
+_DIFF = f"SELECT *, CASE WHEN n >= {MIN_YEARS} THEN value - m END AS diff, (row_number() OVER (PARTITION BY cell_id ORDER BY t) - 1)::DOUBLE AS x FROM (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_samp(value) OVER w AS sd, stddev_pop(value) OVER (PARTITION BY cell_id) AS whole FROM field WINDOW w AS (PARTITION BY cell_id, month ORDER BY year RANGE BETWEEN {WINDOW // 2} PRECEDING AND {WINDOW - WINDOW // 2 - 1} FOLLOWING))"
+
+
+@query("q05d_anom_detrended", f"SELECT cell_id, t::INT AS t, {s6('CASE WHEN sd > 1e-6 * whole THEN (diff - (regr_intercept(diff, x) OVER c + regr_slope(diff, x) OVER c * x)) / sd END')} AS value FROM ({_DIFF}) WINDOW c AS (PARTITION BY cell_id)")
+def anom_detrended(spark: SparkSession, d: str) -> DataFrame:
+    return out(climatology.anomalies(field(spark, d), CELL, "standardized", "moving", WINDOW, MIN_YEARS, detrend=True), "cell_id", "t", value="value")
+
+
+@query("q05e_anom_without_climatology", f"SELECT cell_id, t::INT AS t, {s4('value - (regr_intercept(value, x) OVER w + regr_slope(value, x) OVER w * x)')} AS value FROM (SELECT *, (row_number() OVER (PARTITION BY cell_id ORDER BY t) - 1)::DOUBLE AS x FROM field) WINDOW w AS (PARTITION BY cell_id)")
+def anom_without_climatology(spark: SparkSession, d: str) -> DataFrame:
+    df = climatology.anomalies(field(spark, d), CELL, "standardized", "none", detrend=True)
+    return df.select("cell_id", "t", r4("value").alias("value"))
+
+
 @query("q06_linear_detrend", f"SELECT cell_id, t::INT AS t, {s4('value - (regr_intercept(value, x) OVER w + regr_slope(value, x) OVER w * x)')} AS value FROM (SELECT *, (row_number() OVER (PARTITION BY cell_id ORDER BY t) - 1)::DOUBLE AS x FROM field) WINDOW w AS (PARTITION BY cell_id)")
 def linear_detrend(spark: SparkSession, d: str) -> DataFrame:
     return climatology.linear_detrend(field(spark, d), CELL).select("cell_id", "t", r4("value").alias("value"))
@@ -186,7 +206,12 @@ def plotting_position(spark: SparkSession, d: str) -> DataFrame:
     return out(climatology.plotting_position(field(spark, d), CELL, 5), "cell_id", "t", p="p")
 
 
-@query("q08b_empirical_index")
+_RANKED = "SELECT {0}, t, CASE WHEN v IS NOT NULL AND n >= {1} THEN (k + (ties - 1) / 2 - 0.44) / (n + 0.12) END AS p FROM (SELECT *, count(v) OVER (PARTITION BY {0}, month) AS n, rank() OVER (PARTITION BY {0}, month ORDER BY v NULLS LAST) AS k, count(v) OVER (PARTITION BY {0}, month, v) AS ties FROM ({2}))"
+_TRAILING = "SELECT cell_id, t, month, CASE WHEN count(value) OVER w = 3 THEN avg(value) OVER w END AS v FROM field WINDOW w AS (PARTITION BY cell_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+_PLAIN = "SELECT cell_id, t, month, value AS v FROM field"
+
+
+@query("q08b_empirical_index", f"SELECT cell_id, t::INT AS t, {s6(ctes.normal_quantile('p'))} AS value FROM ({_RANKED.format('cell_id', 5, _TRAILING)})")
 def empirical_index(spark: SparkSession, d: str) -> DataFrame:
     return out(climatology.empirical_index(field(spark, d), CELL, 3, 5), "cell_id", "t", value="value")
 
@@ -196,10 +221,13 @@ def gamma_index(spark: SparkSession, d: str) -> DataFrame:
     return out(climatology.gamma_index(field(spark, d), CELL, 3, 5, 5), "cell_id", "t", value="value")
 
 
-@query("q09b_index_set")
+_INDEX_SETS = " UNION ALL ".join(f"SELECT '{v}' AS variable, '{i}' AS index, {n} AS scale, cell_id, t::INT AS t, {s6(ctes.normal_quantile('p'))} AS value FROM ({_RANKED.format('cell_id', 5, source)})" for v, i in (("qtot", "sri"), ("dis", "ssi")) for n, source in ((1, _PLAIN), (3, _TRAILING)))
+
+
+@query("q09b_index_set", _INDEX_SETS)
 def index_set(spark: SparkSession, d: str) -> DataFrame:
     both = field(spark, d).withColumn("variable", F.explode(F.array(F.lit("qtot"), F.lit("dis"))))
-    return out(climatology.index_set(both, CELL, (1, 3), "empirical"), "variable", "index", "scale", "cell_id", "t", value="value")
+    return out(climatology.index_set(both, CELL, (1, 3), "empirical", 5), "variable", "index", "scale", "cell_id", "t", value="value")
 
 
 @query("q09c_threshold_counts", "SELECT cell_id, CASE WHEN count(value) > 0 THEN count(*) FILTER (value < -1) END AS n_months FROM anom GROUP BY cell_id")
@@ -287,6 +315,13 @@ def epoch_composite(spark: SparkSession, d: str) -> DataFrame:
     return out(epochs.composite(epoch(spark, d), CELL), "cell_id", "lag", "n_events", value="value")
 
 
+@query("q16d_class_composites", f"SELECT c.amplitude, c.cell_id, c.lag, {s6('c.value')} AS value, c.n_events, {s6('p.mean_peak')} AS mean_peak, p.n_class_events FROM (SELECT e.amplitude, a.cell_id, l.lag, avg(a.value) AS value, count(a.value) AS n_events FROM catalogue e CROSS JOIN lags l JOIN anom a ON a.t = e.peak_t + l.lag GROUP BY ALL) c JOIN (SELECT amplitude, avg(abs(peak)) AS mean_peak, count(DISTINCT event_year) AS n_class_events FROM catalogue GROUP BY ALL) p ON p.amplitude = c.amplitude")
+def class_composites(spark: SparkSession, d: str) -> DataFrame:
+    found = event_table(spark, d).select("amplitude", "event_year", F.col("peak_t").alias("anchor_t"), "peak")
+    df = epochs.class_composites(anom(spark, d), CELL, found, LAG_MIN, LAG_MAX, "amplitude")
+    return out(df, "amplitude", "cell_id", "lag", "n_events", "n_class_events", value="value", mean_peak="mean_peak")
+
+
 @query("q16b_gather_epochs", f"SELECT c.cell_id, e.event_year::INT AS event_year, l.lag, {s6('a.value')} AS value FROM (SELECT DISTINCT cell_id FROM o) c CROSS JOIN catalogue e CROSS JOIN lags l LEFT JOIN anom a ON a.cell_id = c.cell_id AND a.t = e.peak_t + l.lag WHERE e.phase = 'warm'")
 def gather_epochs(spark: SparkSession, d: str) -> DataFrame:
     return out(epochs.gather(anom(spark, d), CELL, anchors(event_table(spark, d, "warm")), LAG_MIN, LAG_MAX), "cell_id", "event_year", "lag", value="value")
@@ -329,14 +364,12 @@ def mc_composite_test(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q19b_mc_test_blocked", _MC)
 def mc_test_blocked(spark: SparkSession, d: str) -> DataFrame:
-    pool, warm, neutral = anchor_sets(spark, d)
-    months = lambda df: sorted(r[0] for r in df.distinct().collect())  # noqa: E731  anchors: months of the record
-    return _mc_columns(inference.mc_test_blocked(pool, CELL, months(warm), months(neutral), ITERATIONS, SEED, cells_a_block=8))
+    return _mc_columns(mc_blocked(spark, d))
 
 
 @query("q20_fdr_mask", f"SELECT cell_id, {s6('p_value')} AS p_value, {s6('threshold')} AS threshold, significant FROM masked")
 def fdr_mask(spark: SparkSession, d: str) -> DataFrame:
-    return out(inference.fdr_mask(mc(spark, d)), "cell_id", "significant", p_value="p_value", threshold="threshold")
+    return out(inference.fdr_mask(mc_blocked(spark, d)), "cell_id", "significant", p_value="p_value", threshold="threshold")
 
 
 @query("q21_sign_agreement", f"SELECT cell_id, {s6('agreement')} AS agreement, n_models, {s6('ensemble_mean')} AS ensemble_mean FROM agree")
@@ -349,10 +382,10 @@ def robust_mask(spark: SparkSession, d: str) -> DataFrame:
     return robust(spark, d).select("cell_id", "significant", "robust", "n_models")
 
 
-@query("q22b_significance_summary", f"SELECT region, {s6('avg(significant::INT)')} AS frac_significant, {s6('avg(robust::INT)')} AS frac_robust, {s6('max(abs(composite))')} AS max_abs_composite, count(*) AS n_cells FROM robust JOIN cells USING (cell_id) GROUP BY region")
+@query("q22b_significance_summary", f"SELECT region, {s6('avg(significant::INT)')} AS frac_significant, {s6('avg(robust::INT)')} AS frac_robust, {s6('max(abs(composite))')} AS max_abs_composite, count(*) AS n_cells, any_value((SELECT n FROM n_events)) AS n_events, max(n_models) AS n_models, {s6('max(threshold)')} AS threshold FROM robust JOIN cells USING (cell_id) WHERE (SELECT n FROM n_events) >= 2 GROUP BY region")
 def significance_summary(spark: SparkSession, d: str) -> DataFrame:
     df = inference.significance_summary(robust(spark, d).join(cells(spark, d).select("cell_id", "region"), "cell_id"), ["region"])
-    return out(df, "region", "n_cells", frac_significant="frac_significant", frac_robust="frac_robust", max_abs_composite="max_abs_composite")
+    return out(df, "region", "n_cells", "n_events", "n_models", frac_significant="frac_significant", frac_robust="frac_robust", max_abs_composite="max_abs_composite", threshold="threshold")
 
 
 _AMPS = "(SELECT avg(abs(peak)) FROM catalogue WHERE phase = 'warm') / nullif((SELECT avg(abs(peak)) FROM catalogue WHERE phase = 'cold'), 0)"
@@ -567,6 +600,18 @@ def region_response(spark: SparkSession, d: str) -> DataFrame:
     return out(regions.region_response(df, ["region"]), "region", "n_events", "sign_consistent", mean="mean")
 
 
+ctes.CTES["rresp"] = "SELECT region AS cell_id, event_year, avg(value) AS value FROM mresp JOIN cells USING (cell_id) GROUP BY ALL"
+
+
+@query(
+    "q37c_region_table",
+    f"SELECT a.region, {s6('a.mean')} AS mean, a.n_events, a.sign_consistent, {s6('b.lo')} AS ci_low, {s6('b.hi')} AS ci_high FROM (SELECT cell_id AS region, any_value(m) AS mean, count(value) AS n_events, bool_and(sign(value) = sign(m)) AS sign_consistent FROM (SELECT *, avg(value) OVER (PARTITION BY cell_id) AS m FROM rresp) GROUP BY cell_id) a JOIN (SELECT cell_id, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM ({_boot('rresp', SEED)}) GROUP BY cell_id) b ON a.region = b.cell_id",
+)
+def region_table(spark: SparkSession, d: str) -> DataFrame:
+    df = responses(spark, d, "model").join(cells(spark, d).select("cell_id", "region"), "cell_id")
+    return out(regions.region_table(df, ["region"], ITERATIONS, SEED), "region", "n_events", "sign_consistent", mean="mean", ci_low="ci_low", ci_high="ci_high")
+
+
 _BANDS = "(VALUES ('south', -60.0, -20.0), ('tropics', -20.0, 20.0), ('north', 20.0, 60.0)) b(band, low, high)"
 
 
@@ -577,6 +622,19 @@ def band_response(spark: SparkSession, d: str) -> DataFrame:
     return out(regions.band_join(df, bands).groupBy("band", "lag").agg(regions.weighted_mean().alias("value")), "band", "lag", value="value")
 
 
+ctes.CTES["bresp"] = f"SELECT band AS cell_id, event_year, sum(value * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0) AS value FROM resp JOIN geo USING (cell_id) JOIN {_BANDS} ON lat BETWEEN low AND high GROUP BY ALL"
+
+
+@query(
+    "q38c_band_table",
+    f"SELECT a.band, {s6('a.mean')} AS mean, {s6('b.lo')} AS ci_low, {s6('b.hi')} AS ci_high, p.lag AS peak_lag, {s6('p.value')} AS peak_amplitude, {s6('g.agreement')} AS mean_agreement, g.n_models FROM (SELECT cell_id AS band, avg(value) AS mean FROM bresp GROUP BY ALL) a JOIN (SELECT cell_id AS band, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM ({_boot('bresp', SEED)}) GROUP BY ALL) b ON a.band = b.band JOIN (SELECT band, lag, value FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY abs(value) DESC, lag) AS k FROM (SELECT band, lag, sum(value * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0) AS value FROM comp JOIN geo USING (cell_id) JOIN {_BANDS} ON lat BETWEEN low AND high GROUP BY ALL) WHERE value IS NOT NULL) WHERE k = 1) p ON p.band = a.band JOIN (SELECT band, avg(agreement) AS agreement, max(n_models) AS n_models FROM agree JOIN cells USING (cell_id) JOIN {_BANDS} ON lat BETWEEN low AND high GROUP BY ALL) g ON g.band = a.band",
+)
+def band_table(spark: SparkSession, d: str) -> DataFrame:
+    bands = spark.createDataFrame([("south", -60.0, -20.0), ("tropics", -20.0, 20.0), ("north", 20.0, 60.0)], "band string, low double, high double")
+    df = regions.band_table(epochs.composite(epoch(spark, d), CELL), responses(spark, d), agreement(spark, d), geography(spark, d), bands, ITERATIONS, SEED)
+    return out(df, "band", "peak_lag", "n_models", **{c: c for c in ("mean", "ci_low", "ci_high", "peak_amplitude", "mean_agreement")})
+
+
 @query("q38b_box_means", f"SELECT box, event_year::INT AS event_year, {s6('avg(value)')} AS value FROM resp JOIN cells USING (cell_id) JOIN (VALUES ('a', -60.0, -10.0, -180.0, 0.0), ('b', -10.0, 60.0, -40.0, 180.0)) b(box, south, north, west, east) ON lat BETWEEN south AND north AND lon BETWEEN west AND east GROUP BY ALL")
 def box_means(spark: SparkSession, d: str) -> DataFrame:
     boxes = spark.createDataFrame([("a", -60.0, -10.0, -180.0, 0.0), ("b", -10.0, 60.0, -40.0, 180.0)], "box string, south double, north double, west double, east double")
@@ -642,6 +700,12 @@ def yearly_change(spark: SparkSession, d: str) -> DataFrame:
     return out(extremes.event_year_change(extremes.yearly_months(anom(spark, d), CELL), CELL, event_table(spark, d)), "cell_id", change="change")
 
 
+@query("q39g_change_summary", f"SELECT {s6('sum(change * area) / sum(area) FILTER (change IS NOT NULL)')} AS mean_change, {s6('min(change)')} AS least_change, {s6('avg(coalesce((change < 0)::INT, 0))')} AS frac_less FROM (SELECT cell_id, avg(n) FILTER (year IN (SELECT event_year FROM catalogue)) - avg(n) AS change FROM (SELECT cell_id, year, (count(*) FILTER (value > 0.5))::DOUBLE AS n FROM anom GROUP BY ALL) GROUP BY cell_id) JOIN geo USING (cell_id)")
+def change_summary(spark: SparkSession, d: str) -> DataFrame:
+    change = extremes.event_year_change(extremes.yearly_months(anom(spark, d), CELL), CELL, event_table(spark, d))
+    return out(extremes.change_summary(change, geography(spark, d)), mean_change="mean_change", least_change="least_change", frac_less="frac_less")
+
+
 _EXPOSED = "SELECT region, phase, value, area, population, agreement >= 0.6 AS robust FROM (SELECT cell_id, 'warm' AS phase, avg(value) AS value FROM resp GROUP BY ALL UNION ALL SELECT cell_id, 'cold', avg(value) FROM cresp GROUP BY ALL) JOIN geo USING (cell_id) JOIN agree USING (cell_id)"
 
 
