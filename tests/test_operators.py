@@ -320,3 +320,40 @@ def test_evaluation(spark):
     lag = lambda f: spark.createDataFrame([(1, k, float(f(k))) for k in range(8)], "s int, lag int, value double")
     r = evaluation.composite_agreement(lag(lambda k: k), lag(lambda k: 2 * k + 1), ["s"]).first()
     assert r.r == pytest.approx(1.0) and r.peak_observed == 7 and r.same_sign
+
+
+def test_anomalies_detrend_before_scaling_and_refuse_short_records(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=30 * 12) * (1 + np.arange(360) % 12) + 0.05 * np.arange(360)
+    df = series(spark, x, k=1)
+    got = [r[1] for r in values(climatology.anomalies(df, ["k"], "standardized", "fixed", base=(1950, 1979), detrend=True), "t", "value")]
+    month = np.arange(360) % 12
+    diff = x - np.array([x[month == m].mean() for m in month])
+    t = np.arange(360.0)
+    line = np.polyval(np.polyfit(t, diff, 1), t)
+    assert got == pytest.approx((diff - line) / np.array([x[month == m].std() for m in month]))
+    plain = [r[1] for r in values(climatology.anomalies(df, ["k"], "standardized", "none"), "t", "value")]
+    assert plain == pytest.approx(x)
+    assert {r[1] for r in values(climatology.anomalies(df, ["k"], "percent", "none"), "t", "value")} == {None}
+    with pytest.raises(Exception, match="at least 40 are needed"):
+        climatology.anomalies(df, ["k"], window_years=40, min_years=40).collect()
+
+
+def test_blocked_test_counts_the_events_in_the_pool(spark):
+    pool, ev, neutral = pool_of(spark)
+    years, rest = [r[0] for r in ev.collect()], [r[0] for r in neutral.collect()]
+    a = inference.mc_test(pool, ["cell_id"], ev.unionAll(spark.createDataFrame([(999_999,)], ev.schema)), neutral, 40, 7).orderBy("cell_id").collect()
+    b = inference.mc_test_blocked(pool, ["cell_id"], [*years, 999_999], rest, 40, 7).orderBy("cell_id").collect()
+    assert [(x.p_value, x.n_events) for x in a] == [(y.p_value, y.n_events) for y in b]
+    with pytest.raises(ValueError):
+        inference.mc_test_blocked(pool, ["cell_id"], [999_999], rest, 40, 7)
+
+
+def test_hinge_draws_need_items_beyond_both_knots(spark):
+    x = [0.1 * k for k in range(-10, 21)]  # two above 1.8, none below -1.8
+    rows = [(1, k, v, 2 * v) for k, v in enumerate(x)]
+    h = response.hinge_fit(spark.createDataFrame(rows, "cell_id int, anchor_t int, index double, value double"), ["cell_id"], knot=1.8, iterations=20).first()
+    assert h.n_draws == 0 and h.b0 is None and h.p_value is None  # the cold hinge is nowhere: the design has no full rank
+    short = [(1, k, float(v), 1 + float(v)) for k, v in enumerate((-3, -2.5, -2, -1, 0, 0.5, 1, 2, 2.5, 3))]
+    h = response.hinge_fit(spark.createDataFrame(short, "cell_id int, anchor_t int, index double, value double"), ["cell_id"], iterations=20, evaluate_at=1.0).first()
+    assert (h.b0, h.slope, h.excess) == pytest.approx((1, 1, 0)) and h.n == 10  # complete cells are fitted whatever their number of items
