@@ -51,27 +51,29 @@ def regions_of_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.where(F.col("n") % 2 == 1).groupBy("cell_id").agg(F.min("region").alias("region"))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, point: str, step: float) -> DataFrame:
-    """(point, cell_id): the nearest cell of a regular grid of `step` degrees, ties to the least id.
+def nearest_cell(points: DataFrame, cells: DataFrame, point: str, step: float, rings: int = 1) -> DataFrame:
+    """(point, cell_id): the nearest cell of a grid of `step` degrees, ties to the least id; null where none is near.
 
-    Points and cells are dealt into tiles of the step's size and each point looks into its own and the eight around it:
-    an equi-join instead of all distances.
+    Points and cells are dealt into tiles of the step's size and each point looks into its own and `rings` rings around it: an
+    equi-join instead of all distances. One ring is right for a full grid; points off a grid with holes, such as land
+    alone, need as many rings as the widest hole has tiles, and keep a row without a cell beyond that.
     """
     tile = lambda c: F.floor(F.col(c) / step).cast("int")
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)])).alias("d")
     p = points.select(point, F.col("lat").alias("plat"), F.col("lon").alias("plon"), tile("lat").alias("i"), tile("lon").alias("j"), around)
     p = p.select(point, "plat", "plon", (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j"))
     c = cells.select("cell_id", "lat", "lon", tile("lat").alias("i"), tile("lon").alias("j"))
     gap = (F.col("plat") - F.col("lat")) * (F.col("plat") - F.col("lat")) + (F.col("plon") - F.col("lon")) * (F.col("plon") - F.col("lon"))
-    return p.join(c, ["i", "j"]).groupBy(point).agg(F.min_by("cell_id", F.struct(gap, F.col("cell_id"))).alias("cell_id"))
+    near = F.when(F.col("cell_id").isNotNull(), F.struct(gap, F.col("cell_id")))
+    return p.join(c, ["i", "j"], "left").groupBy(point).agg(F.min_by("cell_id", near).alias("cell_id"))
 
 
-def regions_of_raster(raster: DataFrame, cells: DataFrame, step: float) -> DataFrame:
-    """(cell_id, region): the region of the nearest raster point; NaN and null mean none."""
+def regions_of_raster(raster: DataFrame, cells: DataFrame, step: float, rings: int = 1) -> DataFrame:
+    """(cell_id, region): the region of the nearest raster point; NaN and null mean none, and so does no raster point near."""
     points = cells.select(F.col("cell_id").alias("point"), "lat", "lon")
     raster = raster.withColumn("cell_id", F.xxhash64("lat", "lon"))
     region = F.when(~F.isnan(F.col("region").cast("double")), F.col("region").cast("int"))
-    found = nearest_cell(points, raster, "point", step).join(raster.select("cell_id", region.alias("region")), "cell_id")
+    found = nearest_cell(points, raster, "point", step, rings).join(raster.select("cell_id", region.alias("region")), "cell_id", "left")
     return found.select(F.col("point").alias("cell_id"), "region")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.model import clean
+from lagwise.sources.sinks import provenance, write_json
 
 # The ten parts of a field file's name, in order.
 PARTS = ("model", "forcing", "climate_scenario", "soc_scenario", "sens_scenario", "variable", "region", "timestep", "start", "end")
@@ -60,11 +61,16 @@ def read_field(spark: SparkSession, root: str, period: tuple[int, int] | None =
     return df.withColumn("value", clean("value"))
 
 
-def write_field(df: DataFrame, root: str, partitions: tuple[str, ...] = ("variable", "climate_scenario", "soc_scenario"), mode: str = "overwrite") -> None:
-    """Write partitioned and clustered by cell, values as floats, so that readers prune and each cell's series lies together."""
+def write_field(df: DataFrame, root: str, partitions: tuple[str, ...] = ("variable", "climate_scenario", "soc_scenario"), mode: str = "overwrite", step: str | None = None, settings: dict | None = None) -> None:
+    """Write partitioned and clustered by cell, values as floats, so that readers prune and each cell's series lies together.
+
+    With a step, who made the field is written beside it, as root/_provenance.json, which readers of the field pass over.
+    """
     order = [c for c in ("cell_id", "t") if c in df.columns]
     df = df.withColumn("value", F.col("value").cast("float"))
     df.repartition(*partitions, *order[:1]).sortWithinPartitions(*partitions, *order).write.mode(mode).partitionBy(*partitions).parquet(root)
+    if step:
+        write_json(df.sparkSession, f"{root}/_provenance.json", provenance(step, settings or {}))
 
 
 def ensemble_mean(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import time
+import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -54,11 +60,53 @@ def verify(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     return both.select("file_name", "size", F.coalesce((F.col("have_size") == F.col("size")) & right, F.lit(False)).alias("ok"))
 
 
+def fetch(manifest: DataFrame, root: str, retries: int = 4, backoff: float = 2.0, timeout: int = 300) -> DataFrame:
+    """(file_name, path, state): download every file of a manifest into root, a folder that all executors share.
+
+    state is `there` (a file of the manifest's size exists and is not fetched), `fetched`, or what went wrong after the last attempt;
+    attempts wait backoff ** attempt seconds. A download goes to a name of its own first and is moved when it is whole, so a lost
+    executor leaves no half file under the final name, and a repeated task fetches only what is missing.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, url, size in zip(batch["file_name"], batch["file_url"], batch["size"], strict=True):
+                path = os.path.join(root, os.path.basename(name))  # a name cannot lead out of root
+                rows.append((name, path, _download(url, path, None if pd.isna(size) else int(size), retries, backoff, timeout)))
+            yield pd.DataFrame(rows, columns=["file_name", "path", "state"])
+
+    files = manifest.where("file_name is not null and file_url is not null").select("file_name", "file_url", "size").dropDuplicates(["file_name"])
+    return files.mapInPandas(run, "file_name string, path string, state string")
+
+
+def _download(url: str, path: str, size: int | None, retries: int, backoff: float, timeout: int) -> str:
+    if size and os.path.exists(path) and os.path.getsize(path) == size:
+        return "there"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part, error = f"{path}.{uuid.uuid4().hex}.part", ""
+    for attempt in range(retries):
+        if attempt:
+            time.sleep(backoff**attempt)
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as source, open(part, "wb") as target:
+                shutil.copyfileobj(source, target, 1 << 20)
+            if size and os.path.getsize(part) != size:
+                raise OSError(f"{os.path.getsize(part)} bytes instead of {size}")
+            os.replace(part, path)
+            return "fetched"
+        except OSError as e:  # URLError and time-outs are OSErrors
+            error = f"failed: {e}"
+    if os.path.exists(part):
+        os.remove(part)
+    return error
+
+
 class PagedSearch(DataSource):
-    """A batch source over a paged search: spark.read.format("paged_search").options(pages=..., module=...).load().
+    """A batch source over a paged search: spark.read.format("paged_search").options(module=..., pages=...).load().
 
     `module` names "package.module:function"; function(page, options) returns that page's result documents, or none past
-    the last page. Each page is one partition, so pages are fetched side by side and retried apart.
+    the last page. With `pages` each page is one partition, so pages are fetched side by side and retried apart; without, one
+    partition asks for page after page until one is empty, for `max_pages` (100) at most.
     """
 
     @classmethod
@@ -77,11 +125,17 @@ class _PageReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(1, int(self.options.get("pages", "1")) + 1)]
+        return [InputPartition(k) for k in range(1, int(self.options["pages"]) + 1)] if "pages" in self.options else [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
         import importlib
 
         module, function = self.options["module"].split(":")
-        for doc in getattr(importlib.import_module(module), function)(partition.value, self.options):
-            yield partition.value, json.dumps(doc)
+        search = getattr(importlib.import_module(module), function)
+        pages = range(1, int(self.options.get("max_pages", "100")) + 1) if partition.value is None else [partition.value]
+        for page in pages:
+            found = list(search(page, self.options))
+            for doc in found:
+                yield page, json.dumps(doc)
+            if not found:
+                return

@@ -357,3 +357,10 @@ def test_hinge_draws_need_items_beyond_both_knots(spark):
     short = [(1, k, float(v), 1 + float(v)) for k, v in enumerate((-3, -2.5, -2, -1, 0, 0.5, 1, 2, 2.5, 3))]
     h = response.hinge_fit(spark.createDataFrame(short, "cell_id int, anchor_t int, index double, value double"), ["cell_id"], iterations=20, evaluate_at=1.0).first()
     assert (h.b0, h.slope, h.excess) == pytest.approx((1, 1, 0)) and h.n == 10  # complete cells are fitted whatever their number of items
+
+
+def test_points_without_a_cell_near_keep_their_row(spark):
+    cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 5.0)], "cell_id int, lat double, lon double")
+    points = spark.createDataFrame([("a", 0.2, 0.1), ("b", 0.0, 2.9), ("c", 40.0, 40.0)], "station string, lat double, lon double")
+    assert values(regions.nearest_cell(points, cells, "station", 1.0), "station", "cell_id") == [("a", 1), ("b", None), ("c", None)]
+    assert values(regions.nearest_cell(points, cells, "station", 1.0, rings=3), "station", "cell_id") == [("a", 1), ("b", 2), ("c", None)]

@@ -45,7 +45,8 @@ def test_names(spark, tmp_path):
 
 def test_fields_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("qtot", "o", "h", 1, 1950, 1, 23400, 1.5), ("qtot", "o", "h", 1, 1951, 1, 23412, float("nan")), ("dis", "o", "h", 1, 1950, 1, 23400, 2.0)], "variable string, climate_scenario string, soc_scenario string, cell_id int, year int, month int, t int, value double")
-    fields.write_field(df, str(tmp_path / "f"))
+    fields.write_field(df, str(tmp_path / "f"), step="harmonise", settings={"a": 1})
+    assert json.loads((tmp_path / "f" / "_provenance.json").read_text())["step"] == "harmonise"
     got = fields.read_field(spark, str(tmp_path / "f"), (1950, 1951), variable="qtot").orderBy("t").collect()
     assert [r.value for r in got] == [1.5, None]
     land = spark.createDataFrame([(1, False)], "cell_id int, land boolean")
@@ -76,6 +77,32 @@ def test_paged_source(spark):
     assert list(reader.read(reader.partitions()[1])) == [(2, '{"name": "p2"}')]
 
 
+def pages_until_empty(number, options):
+    return [{"name": f"p{number}"}] if number < 4 else []
+
+
+def test_paged_source_stops_at_an_empty_page():
+    reader = manifest.PagedSearch({"module": "tests.test_sources:pages_until_empty"}).reader(None)
+    (only,) = reader.partitions()
+    assert [p for p, _ in reader.read(only)] == [1, 2, 3]
+    short = manifest.PagedSearch({"module": "tests.test_sources:page", "max_pages": "2"}).reader(None)
+    assert [p for p, _ in short.read(short.partitions()[0])] == [1, 2]
+
+
+def test_downloads_skip_what_is_there_and_say_what_failed(spark, tmp_path):
+    source, root = tmp_path / "source", tmp_path / "root"
+    source.mkdir()
+    root.mkdir()
+    for name in ("a", "b", "c"):
+        (source / name).write_text(name * 5)
+    (root / "b").write_text("older")
+    rows = [("a", f"file://{source}/a", 5), ("b", f"file://{source}/missing", 5), ("c", f"file://{source}/c", 7), ("d", f"file://{source}/none", None), ("../e", f"file://{source}/a", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "file_name string, file_url string, size long")
+    got = {r.file_name: r.state for r in manifest.fetch(df, str(root), retries=2, backoff=0.01).collect()}
+    assert got["a"] == got["../e"] == "fetched" and got["b"] == "there" and "5 bytes instead of 7" in got["c"] and got["d"].startswith("failed")
+    assert sorted(p.name for p in root.iterdir()) == ["a", "b", "e"] and (root / "a").read_text() == "aaaaa"
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.23456), ("b", None)], "k string, v double")
     sinks.write_table(df, str(tmp_path / "t"), "step", {"x": 1})
