@@ -1,10 +1,12 @@
-"""Evaluation of fields against station series and gridded observations."""
+"""Evaluation of fields against station series and gridded observations, and tables of contrasts between scenarios."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.operators.regions import weighted_mean
+
 
 def good_stations(df: DataFrame, station: str = "station", least: int = 480, most_missing: float = 0.10) -> DataFrame:
     """Rows of stations with at least `least` values and at most that share of rows missing."""
@@ -44,3 +46,22 @@ def pattern_comparison(observed: DataFrame, simulated: DataFrame, on: list[str],
     sd = F.stddev_pop("_o")
     out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_o", "_s").alias("r"), (F.stddev_pop("_s") / F.when(sd > 0, sd)).alias("std_ratio"), F.avg((F.signum("_o") == F.signum("_s")).cast("double")).alias("sign_agreement"))
     return out.where(F.col("n") >= least)
+
+
+def station_table(agreement: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by), of composite_agreement(): number of stations, median correlation over lags, and the share whose largest values have one sign."""
+    same = F.coalesce(F.col("same_sign"), F.lit(False)).cast("double")
+    return agreement.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_stations"), F.percentile("r", 0.5).alias("median_r"), F.avg(same).alias("frac_same_sign"))
+
+
+def contrast_table(contrast: DataFrame, response: DataFrame, cells: DataFrame, by: list[str] | None = None, weight: str = "area") -> DataFrame:
+    """(by), of paired_difference() with a column `significant`: weighted mean and mean absolute difference, the latter over the mean size of the
+    response (its plain mean over cells; null where that is 0), and the share of cells that are significant. response has (by, cell_id, value)."""
+    by = by or []
+    df = contrast.join(cells.select("cell_id", F.col(weight).alias("_w")), "cell_id").join(response.select(*by, "cell_id", F.abs("value").alias("_size")), [*by, "cell_id"], "left")
+    size = F.avg("_size")
+    out = df.groupBy(*by).agg(
+        weighted_mean("difference", "_w").alias("mean_difference"), weighted_mean(F.abs("difference"), F.col("_w")).alias("mean_abs_difference"), size.alias("_size"),
+        F.avg(F.coalesce(F.col("significant"), F.lit(False)).cast("double")).alias("frac_significant"),
+    )
+    return out.withColumn("relative_to_response", F.col("mean_abs_difference") / F.when(F.col("_size") > 0, F.col("_size"))).drop("_size")

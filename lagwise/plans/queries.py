@@ -431,15 +431,29 @@ def scenario_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 ctes.CTES["pairs"] = "SELECT a.cell_id, a.event_year, a.value - b.value AS value FROM sresp a JOIN sresp b ON a.cell_id = b.cell_id AND a.event_year = b.event_year WHERE a.scenario = 'F' AND b.scenario = 'O'"
 
 
-@query(
-    "q25_paired_contrast",
-    f"SELECT cell_id, {s6('obs')} AS difference, n_events, {s6(_TWO_SIDED)} AS p_value, {s6('stddev_pop(draw)')} AS sd FROM (SELECT o.cell_id, obs, n_events, b.m AS draw FROM (SELECT cell_id, avg(value) AS obs, count(value) AS n_events FROM pairs GROUP BY ALL) o LEFT JOIN ({_boot('pairs', SEED)}) b USING (cell_id)) GROUP BY cell_id, obs, n_events",
-)
+_PAIRED = f"SELECT cell_id, obs AS difference, n_events, {_TWO_SIDED} AS p_value, stddev_pop(draw) AS sd FROM (SELECT o.cell_id, obs, n_events, b.m AS draw FROM (SELECT cell_id, avg(value) AS obs, count(value) AS n_events FROM pairs GROUP BY ALL) o LEFT JOIN ({_boot('pairs', SEED)}) b USING (cell_id)) GROUP BY cell_id, obs, n_events"
+
+
+@query("q25_paired_contrast", f"SELECT cell_id, {s6('difference')} AS difference, n_events, {s6('p_value')} AS p_value, {s6('sd')} AS sd FROM ({_PAIRED})")
 def paired_contrast(spark: SparkSession, d: str) -> DataFrame:
     df = inference.paired_difference(*scenario_pairs(spark, d), CELL, ITERATIONS, SEED)
     return out(df, "cell_id", "n_events", difference="difference", p_value="p_value", sd="sd")
 
 
+_MASKED = f"SELECT *, p_value <= threshold AND threshold > 0 AS significant FROM (SELECT *, coalesce(max(CASE WHEN p_value <= 0.1 * i / m THEN p_value END) OVER (), 0) AS threshold FROM (SELECT *, count(p_value) OVER (ORDER BY p_value) AS i, count(p_value) OVER () AS m FROM ({_PAIRED})))"
+
+
+@query(
+    "q25c_contrast_table",
+    f"SELECT {s6('sum(difference * area) / sum(area) FILTER (difference IS NOT NULL)')} AS mean_difference, {s6('sum(abs(difference) * area) / sum(area) FILTER (difference IS NOT NULL)')} AS mean_abs_difference, {s6('sum(abs(difference) * area) / sum(area) FILTER (difference IS NOT NULL) / nullif(avg(size), 0)')} AS relative_to_response, {s6('avg(coalesce(significant, false)::INT)')} AS frac_significant FROM ({_MASKED}) JOIN geo USING (cell_id) LEFT JOIN (SELECT cell_id, abs(avg(value)) AS size FROM sresp WHERE scenario = 'F' GROUP BY ALL) USING (cell_id)",
+)
+def contrast_table(spark: SparkSession, d: str) -> DataFrame:
+    a, b = scenario_pairs(spark, d)
+    contrast = inference.fdr_mask(inference.paired_difference(a, b, CELL, ITERATIONS, SEED))
+    df = evaluation.contrast_table(contrast, a.groupBy("cell_id").agg(F.avg("value").alias("value")), geography(spark, d))
+    return out(df, **{c: c for c in df.columns})
+
+
 ctes.CTES["regional"] = "SELECT region AS cell_id, event_year, sum(value * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0) AS value FROM resp JOIN geo USING (cell_id) GROUP BY ALL"
 
 
@@ -803,10 +817,10 @@ def bilinear(spark: SparkSession, d: str) -> DataFrame:
 _FC = "SELECT cell_id, scenario, lag, avg(value) AS v FROM sepoch GROUP BY ALL"
 
 
-@query(
-    "q44c_composite_agreement",
-    f"SELECT cell_id, count(*) AS n_lags, {s6('CASE WHEN count(*) >= 6 THEN corr(o, s) END')} AS r, {s6('arg_max(o, abs(o))')} AS peak_observed, {s6('arg_max(s, abs(s))')} AS peak_simulated, sign(arg_max(o, abs(o))) = sign(arg_max(s, abs(s))) AS same_sign FROM (SELECT a.cell_id, a.lag, a.v AS o, b.v AS s FROM ({_FC}) a JOIN ({_FC}) b ON a.cell_id = b.cell_id AND a.lag = b.lag WHERE a.scenario = 'F' AND b.scenario = 'O' AND a.v IS NOT NULL AND b.v IS NOT NULL) GROUP BY cell_id",
-)
+_AGREEMENT = f"SELECT cell_id, count(*) AS n_lags, {s6('CASE WHEN count(*) >= 6 THEN corr(o, s) END')} AS r, {s6('arg_max(o, abs(o))')} AS peak_observed, {s6('arg_max(s, abs(s))')} AS peak_simulated, sign(arg_max(o, abs(o))) = sign(arg_max(s, abs(s))) AS same_sign FROM (SELECT a.cell_id, a.lag, a.v AS o, b.v AS s FROM ({_FC}) a JOIN ({_FC}) b ON a.cell_id = b.cell_id AND a.lag = b.lag WHERE a.scenario = 'F' AND b.scenario = 'O' AND a.v IS NOT NULL AND b.v IS NOT NULL) GROUP BY cell_id"
+
+
+@query("q44c_composite_agreement", _AGREEMENT)
 def composite_agreement(spark: SparkSession, d: str) -> DataFrame:
     comp = epochs.composite(epoch(spark, d, "scenario"), ["cell_id", "scenario"])
     one = lambda s: comp.where(F.col("scenario") == s)
@@ -814,6 +828,14 @@ def composite_agreement(spark: SparkSession, d: str) -> DataFrame:
     return out(df, "cell_id", "n_lags", "same_sign", r="r", peak_observed="peak_observed", peak_simulated="peak_simulated")
 
 
+@query("q44d_station_table", f"SELECT count(*) AS n_stations, {s4('quantile_cont(r, 0.5)')} AS median_r, {s6('avg(coalesce(same_sign, false)::INT)')} AS frac_same_sign FROM ({_AGREEMENT})")
+def station_table(spark: SparkSession, d: str) -> DataFrame:
+    comp = epochs.composite(epoch(spark, d, "scenario"), ["cell_id", "scenario"])
+    one = lambda s: comp.where(F.col("scenario") == s)
+    df = evaluation.station_table(evaluation.composite_agreement(one("F"), one("O"), CELL))
+    return df.select("n_stations", r4("median_r").alias("median_r"), fixed("frac_same_sign").alias("frac_same_sign"))
+
+
 @query("q45_station_nearest", "SELECT cell_id AS station, cell_id FROM cells")
 def station_nearest(spark: SparkSession, d: str) -> DataFrame:
     stations = cells(spark, d).select(F.col("cell_id").alias("station"), (F.col("lat") + 1.1).alias("lat"), (F.col("lon") - 0.9).alias("lon"))
