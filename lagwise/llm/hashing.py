@@ -12,7 +12,7 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE, _WORD = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_BYTE, _WORD, _CHECK = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA24BAED4963EE407)
 _CHUNK = 1 << 20
 
 
@@ -95,3 +95,11 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for j, p in enumerate(_powers(_WORD, k)):
         out += h[j : j + n] * p
     return mix(out + U(k))
+
+
+def run_checks(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of the runs of k words that start at `at`, independent of run_hashes(): both together are 128 bits."""
+    out = np.zeros(len(at), U)
+    for j in range(k):
+        out = (out ^ mix(h[at + j] + U(j))) * _CHECK
+    return mix(out)

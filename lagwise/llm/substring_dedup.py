@@ -9,7 +9,7 @@ Documents are dealt into units by a hash of id and text; texts are exchanged onc
 1. Anchors. For each unit the distinct probes travel, as 32-bit prints within a bucket of the hash space, with a bit for
    those that are blocks of the index. A bucket answers with a bit for each probe: another unit has it as a block, or it
    is a block and another unit has it as a probe. Prints may collide; they only choose candidates.
-2. Repeats. Around the hits (and those found inside the unit) every window is hashed to 64 bits; a unit sends each
+2. Repeats. Around the hits (and those found inside the unit) every window is hashed to 128 bits; a unit sends each
    distinct one with the least id that holds it, and a bucket answers which of them a smaller id of another unit holds.
    Runs of removed windows are the maximal exact repeats.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.llm.common import discard, materialise, text_of
-from lagwise.llm.hashing import U, run_hashes, word_hashes
+from lagwise.llm.hashing import U, run_checks, run_hashes, word_hashes
 
 UNIT_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -66,6 +66,15 @@ def _by_value(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, s[first] if len(s) else s
 
 
+def _by_both(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts pairs of h and check by h, and the starts of its groups of equal pairs."""
+    order = np.argsort(h, kind="stable")
+    if len(order) and ((h[order][1:] == h[order][:-1]) & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((check, h))
+    a, b = h[order], check[order]
+    return order, np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(order) else np.zeros(0, np.int64)
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(40)) * U(n)) >> U(24)
 
@@ -133,7 +142,7 @@ class Repeats:
         return pa.table({"unit": units, "bucket": table.column("bucket"), "phase": [1] * len(units), "flags": [_bits(x) for x in out]}, schema=ANSWERS)
 
     def _windows(self, unit: _Unit, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, ...]:
-        """Of the windows around hits: position, document, order by hash, group starts and hashes."""
+        """Of the windows around hits: position, document, order by hash, group starts, and both hashes of each group."""
         p = self._probes(unit)
         hit = np.zeros(len(p["value"]), bool)
         for b, part, prints, inverse in self._prints(p):
@@ -148,29 +157,31 @@ class Repeats:
         pos, doc, h = unit.runs(self.window)
         near = at[pos + self.window - self.block + 1] > at[pos]
         pos, doc, h = pos[near], doc[near], h[near]
-        return pos, doc, *_by_value(h)
+        check = run_checks(unit.h, pos, self.window)
+        order, first = _by_both(h, check)
+        return pos, doc, order, first, h[order][first], check[order][first]
 
     @staticmethod
     def _answers(table: pa.Table) -> dict[tuple[int, int], bytes]:
         return dict(zip(zip(table.column("phase").to_pylist(), table.column("bucket").to_pylist(), strict=True), table.column("flags").to_pylist(), strict=True))
 
     def send_windows(self, table: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = {"bucket": [], "unit": [], "hashes": [], "ids": []}
+        rows = {"bucket": [], "unit": [], "hashes": [], "checks": [], "ids": []}
         if table.num_rows and answers.num_rows:
             unit = _Unit(table)
-            _, doc, order, first, value = self._windows(unit, self._answers(answers))
+            _, doc, order, first, value, check = self._windows(unit, self._answers(answers))
             least = np.minimum.reduceat(unit.ids[doc][order], first) if len(first) else np.zeros(0, np.int64)
             cut = _cut(value, self.buckets)
             for b in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[b], cut[b + 1])
-                for key, x in zip(rows, (int(b), table.column("unit")[0].as_py(), value[part].tobytes(), least[part].tobytes()), strict=True):
+                for key, x in zip(rows, (int(b), table.column("unit")[0].as_py(), value[part].tobytes(), check[part].tobytes(), least[part].tobytes()), strict=True):
                     rows[key].append(x)
         return pa.table(rows, schema=WINDOWS)
 
     def answer_windows(self, table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        order, first, _ = _by_value(np.concatenate(hashes))
+        ids, checks = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("checks", U)))
+        order, first = _by_both(np.concatenate(hashes), checks)
         low = np.minimum.reduceat(ids[order], first)
         smaller = np.zeros(len(ids), bool)
         smaller[order] = np.repeat(low, np.diff(np.append(first, len(ids)))) < ids[order]
@@ -179,7 +190,7 @@ class Repeats:
 
     def _removed(self, unit: _Unit, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
         """Whether each word of the unit is removed."""
-        pos, doc, order, first, value = self._windows(unit, answers)
+        pos, doc, order, first, value, _ = self._windows(unit, answers)
         if not len(value):
             return np.zeros(len(unit.h), bool)
         cut, smaller = _cut(value, self.buckets), np.zeros(len(value), bool)
@@ -214,10 +225,10 @@ class Repeats:
 
 
 ANCHORS = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("prints", pa.binary()), ("flags", pa.binary())])
-WINDOWS = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary())])
+WINDOWS = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary())])
 ANSWERS = pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("phase", pa.int32()), ("flags", pa.binary())])
 _ANCHORS = "bucket int, unit long, prints binary, flags binary"
-_WINDOWS = "bucket int, unit long, hashes binary, ids binary"
+_WINDOWS = "bucket int, unit long, hashes binary, checks binary, ids binary"
 _ANSWERS = "unit long, bucket int, phase int, flags binary"
 
 
