@@ -65,10 +65,17 @@ def epoch(spark: SparkSession, d: str, *keys: str, phase: str = "warm") -> DataF
 
 def responses(spark: SparkSession, d: str, *keys: str, phase: str = "warm") -> DataFrame:
     """The mean over lags 0 to 2 of each event."""
-    df = epoch(spark, d, *keys, phase=phase).where(F.col("lag").between(0, 2))
+    df = epochs.epochs(anom(spark, d, *keys), anchors(event_table(spark, d, phase)), 0, 2)
     return df.groupBy("cell_id", *keys, "event_year").agg(F.avg("value").alias("value"))
 
 
+def phase_means(spark: SparkSession, d: str) -> DataFrame:
+    """(cell_id, event_class): the mean response to the events of either phase, from one pass over the field."""
+    found = event_table(spark, d).select("phase", "event_year", F.col("peak_t").alias("anchor_t"))
+    each = epochs.epochs(anom(spark, d), found, 0, 2).groupBy("cell_id", "phase", "event_year").agg(F.avg("value").alias("value"))
+    return each.groupBy("cell_id", F.col("phase").alias("event_class")).agg(F.avg("value").alias("value"))
+
+
 def geography(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).withColumn("area", units.cell_area(F.col("lat"), 5.0, 14.0))
 
@@ -603,8 +610,7 @@ def raster_regions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q37_amplification_pivot", f"SELECT cell_id, {s6('s')} AS warm, {s6('r')} AS cold, {s6('CASE WHEN abs(r) > 0.05 THEN s / r END')} AS amplification FROM (SELECT cell_id, avg(value) AS s FROM resp GROUP BY ALL) FULL JOIN (SELECT cell_id, avg(value) AS r FROM cresp GROUP BY ALL) USING (cell_id)")
 def amplification_pivot(spark: SparkSession, d: str) -> DataFrame:
-    mean = lambda phase: responses(spark, d, phase=phase).groupBy("cell_id").agg(F.avg("value").alias("value")).withColumn("event_class", F.lit(phase))
-    df = regions.amplification(mean("warm").unionByName(mean("cold")), CELL, "warm", "cold")
+    df = regions.amplification(phase_means(spark, d), CELL, "warm", "cold")
     return out(df, "cell_id", warm="warm", cold="cold", amplification="amplification")
 
 
@@ -724,8 +730,7 @@ _EXPOSED = "SELECT region, phase, value, area, population, agreement >= 0.6 AS r
 
 
 def exposed(spark: SparkSession, d: str) -> DataFrame:
-    mean = lambda phase: responses(spark, d, phase=phase).groupBy("cell_id").agg(F.avg("value").alias("value")).withColumn("event_class", F.lit(phase))
-    df = mean("warm").unionByName(mean("cold")).join(geography(spark, d), "cell_id").join(agreement(spark, d).select("cell_id", "agreement"), "cell_id")
+    df = phase_means(spark, d).join(geography(spark, d), "cell_id").join(agreement(spark, d).select("cell_id", "agreement"), "cell_id")
     return df.withColumn("robust", F.col("agreement") >= 0.6)
 
 
