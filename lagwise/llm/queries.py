@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwise.llm import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from lagwise.llm import decontamination, hard_negatives, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_output, topk_search
 from lagwise.llm.common import shared_dir, table
 
 
@@ -67,6 +67,15 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, path)
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, 5, 3, 50, 95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -78,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_output": op10_token_output,
+    "op11_topk_search": op11_topk_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -116,4 +127,23 @@ WITH t AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, len(list_distinc
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN epochs < 3 AND before < budget AND before + size - budget <= budget - before THEN 1 ELSE 0 END))::BIGINT AS taken FROM b
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_mixing": OP4_SQL}
+VECTORS = "SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11_SQL = f"""
+WITH v AS ({VECTORS}),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP12_SQL = f"""
+WITH v AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({VECTORS}) WHERE label IS NOT NULL),
+     s AS (SELECT q.vec_id AS anchor_id, c.vec_id, c.label = q.label AS same, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 50 = 0),
+     p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5),
+     n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.anchor_id, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST)::INT AS rank
+           FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_mixing": OP4_SQL, "op11_topk_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
