@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The months' initials twice over: a season's letters stand where its first month does.
-_INITIALS = 2 * "JFMAMJJASOND"
-#: Three-month seasons by their central month, January first.
-CENTRED = tuple(_INITIALS[k + 11 : k + 14] if k == 0 else _INITIALS[k - 1 : k + 2] for k in range(12))
+# Three-month seasons by their central month, January first.
+CENTRED = ("DJF", "JFM", "FMA", "MAM", "AMJ", "MJJ", "JJA", "JAS", "ASO", "SON", "OND", "NDJ")
 
 #: Amplitude classes: name -> (least, below) of the absolute peak.
 CLASSES: dict[str, tuple[float, float]] = {"weak": (0.5, 1.0), "moderate": (1.0, 1.5), "strong": (1.5, 2.0), "super": (2.0, float("inf"))}
@@ -27,10 +25,11 @@ def season_lags(code: str) -> tuple[int, ...]:
     season that crosses into the next year, says nothing more.
     """
     letters, years = code[:3], code[3:]
-    months_ahead = _INITIALS.find(letters) - _INITIALS.find("DJF")
     if letters not in CENTRED or not years.isdecimal() or len(years) > 2:
         raise ValueError(f"not a season: {code!r}")
-    return tuple(months_ahead + 12 * int(years[0]) + k for k in range(3))
+    # A season starts in the month before its central one; lags count from December, so January's season starts at lag 0 of the year before.
+    start = CENTRED.index(letters) - 12 if letters != "DJF" else 0
+    return tuple(start + 12 * int(years[0]) + k for k in range(3))
 
 
 def season_table(spark: SparkSession, codes: list[str]) -> DataFrame:
