@@ -27,8 +27,7 @@ def season_lags(code: str) -> tuple[int, ...]:
     letters, years = code[:3], code[3:]
     if letters not in CENTRED or not years.isdecimal() or len(years) > 2:
         raise ValueError(f"not a season: {code!r}")
-    # A season starts in the month before its central one; lags count from December, so January's season starts at lag 0 of the year before.
-    start = CENTRED.index(letters) - 12 if letters != "DJF" else 0
+    start = CENTRED.index(letters) - 12 if letters != "DJF" else 0  # the first month's lag; DJF starts in December itself
     return tuple(start + 12 * int(years[0]) + k for k in range(3))
 
 

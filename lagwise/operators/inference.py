@@ -1,16 +1,19 @@
 """Resampling tests, false-discovery control and ensemble agreement.
 
 Draws are deterministic and independent of the engine: they come from md5 digests of 'seed:iteration:item', so a rerun,
-another cluster and a SQL engine draw the same samples. Every test has a relational form, a join of draws with the pool,
-whose size is iterations x events x cells; and `mc_test_blocked`, which holds a block of cells in one Arrow batch and
-turns the draws into a matrix product, for pools where the join would be too large.
+another cluster and a SQL engine draw the same samples. A block of cells is one matrix in a task, and all its draws are
+products with it, so cells x draws never become rows. `mc_test` is the relational form of `mc_test_blocked`, a join of draws
+with the pool, whose size is iterations x events x cells; for small pools only.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +28,6 @@ def digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
 
 
-def digest_number(*parts: Column | str | int) -> Column:
-    """The first 8 hexadecimal digits of the digest, as a number."""
-    return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("long")
-
-
 def draws_without_replacement(candidates: DataFrame, n: int, iterations: int, seed: int, column: str = "anchor_t") -> DataFrame:
     """(iteration, column): the n candidates of least digest, for each iteration."""
     every = candidates.select(column).distinct().select(column, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
@@ -37,16 +35,6 @@ def draws_without_replacement(candidates: DataFrame, n: int, iterations: int, se
     return every.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).select("iteration", column)
 
 
-def draws_with_replacement(items: DataFrame, iterations: int, seed: int, column: str = "event_year") -> DataFrame:
-    """(iteration, column, weight): as many picks as there are items, by ordinal; weight counts repeated picks."""
-    items = items.select(column).distinct()
-    ordered = items.withColumn("_k", F.row_number().over(Window.orderBy(column)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    slots = ordered.select(F.col("_k").alias("slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    picks = slots.select("iteration", F.pmod(digest_number(seed, F.col("iteration"), F.col("slot")), F.col("_n")).alias("_k"))
-    picks = picks.groupBy("iteration", "_k").agg(F.count(F.lit(1)).alias("weight"))
-    return picks.join(small(ordered.select("_k", column)), "_k").select("iteration", column, "weight")
-
-
 def mc_test(pool: DataFrame, keys: list[str], events: DataFrame, neutral: DataFrame, iterations: int, seed: int, column: str = "anchor_t") -> DataFrame:
     """(keys): composite over the events, p_value, null_mean, null_std (population), n_events, n_iterations.
 
@@ -141,64 +129,170 @@ def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral
     return dealt.groupBy("_block").applyInArrow(lambda t: test(t), schema).withColumns(numbers)
 
 
-def bootstrap_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: int, seed: int, scale: Column | float = 1.0, event: str = "event_year") -> DataFrame:
-    """(keys): excess = mean(a) - scale * mean(b) over events, with p_value and sd from resampling the events of both.
+def in_blocks(df: DataFrame, keys: list[str], cells_a_block: int, work: Callable[[pd.DataFrame, np.ndarray, int], dict[str, np.ndarray]], fields: dict[str, str]) -> DataFrame:
+    """(keys, fields): work(rows, cell of each row, number of cells) for one block of about cells_a_block keys after another, a task each.
 
-    p = clip(2 * (cross + 1) / (n + 1), 0, 1), cross counting draws on the other side of zero.
+    Blocks are dealt by a hash of the keys; a key's rows (items of a record) are few, so blocks are alike in size. What work() returns has
+    an entry for each cell; numbers that are not finite become null.
     """
-    def mean(df: DataFrame, name: str, salt: int) -> tuple[DataFrame, DataFrame]:
-        draws = draws_with_replacement(df, iterations, seed + salt, event)
-        weight = F.sum(F.when(F.col("value").isNotNull(), F.col("weight")))
-        boot = df.join(draws, event).groupBy(*keys, "iteration").agg((F.sum(F.col("value") * F.col("weight")) / F.when(weight > 0, weight)).alias(name))
-        return df.groupBy(*keys).agg(F.avg("value").alias(name)), boot
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    numbers = {"double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
 
-    (ma, ba), (mb, bb) = mean(a, "a", 0), mean(b, "b", 1)
-    factor = scale if isinstance(scale, Column) else F.lit(float(scale))
-    observed = ma.join(mb, keys).withColumn("excess", F.col("a") - factor * F.col("b"))
-    boot = ba.join(bb, [*keys, "iteration"]).withColumn("draw", F.col("a") - factor * F.col("b")).select(*keys, "draw")
-    return _two_sided(observed.select(*keys, "excess"), boot, keys, "excess")
+    def block(table: pa.Table) -> pa.Table:
+        frame = table.to_pandas()
+        cell = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        first = np.unique(cell, return_index=True)[1]
+        out = {k: table[k].combine_chunks().take(pa.array(first)) for k in keys}
+        for name, values in work(frame, cell, len(first)).items():
+            values = np.asarray(values)
+            out[name] = pa.array(values, numbers[fields[name]], mask=~np.isfinite(values)) if fields[name] == "double" else pa.array(values, numbers[fields[name]])
+        return pa.table(out)
 
+    blocks = df.select(*keys).distinct().count() // cells_a_block + 1
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{name} {kind}" for name, kind in fields.items())])
+    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
+    return dealt.groupBy("_block").applyInArrow(lambda t: block(t), schema)
 
-def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: int, seed: int, event: str = "event_year") -> DataFrame:
-    """(keys): mean over common events of a - b, with p_value and sd from resampling those events together."""
-    pairs = a.select(*keys, event, F.col("value").alias("x")).join(b.select(*keys, event, F.col("value").alias("y")), [*keys, event])
-    pairs = pairs.select(*keys, event, (F.col("x") - F.col("y")).alias("value"))
-    draws = draws_with_replacement(pairs, iterations, seed, event)
-    weight = F.sum(F.when(F.col("value").isNotNull(), F.col("weight")))
-    boot = pairs.join(draws, event).groupBy(*keys, "iteration").agg((F.sum(F.col("value") * F.col("weight")) / F.when(weight > 0, weight)).alias("draw"))
-    observed = pairs.groupBy(*keys).agg(F.avg("value").alias("difference"), F.count("value").alias("n_events"))
-    return _two_sided(observed, boot.select(*keys, "draw"), keys, "difference")
 
+def pick(seed: int, iteration: int, slot: int, n: int) -> int:
+    """The place, of n, that a slot of a draw with replacement takes: the first 8 hexadecimal digits of the digest, modulo n."""
+    return int(hashlib.md5(f"{seed}:{iteration}:{slot}".encode()).hexdigest()[:8], 16) % n
 
-def _two_sided(observed: DataFrame, boot: DataFrame, keys: list[str], name: str) -> DataFrame:
-    rest = [c for c in observed.columns if c not in keys]
-    cross = F.count_if(F.when(F.col(name) >= 0, F.col("draw") <= 0).otherwise(F.col("draw") >= 0))
-    p = F.least(F.lit(1.0), 2.0 * (cross + 1) / (F.count("draw") + 1))
-    return observed.join(boot, keys, "left").groupBy(*keys, *rest).agg(p.alias("p_value"), F.stddev_pop("draw").alias("sd"))
 
+@functools.cache
+def weights(n: int, iterations: int, seed: int) -> np.ndarray:
+    """How often each draw of n places takes each of n items (iterations x n)."""
+    out = np.zeros((iterations, n))
+    for i in range(iterations):
+        for s in range(n):
+            out[i, pick(seed, i, s, n)] += 1
+    return out
 
-def bootstrap_ci(df: DataFrame, keys: list[str], iterations: int, seed: int, low: float = 0.05, high: float = 0.95, item: str = "event_year") -> DataFrame:
-    """(keys): mean of the values and its percentile interval over resampled items; percentiles interpolate linearly."""
-    draws = draws_with_replacement(df.where("value is not null"), iterations, seed, item)
-    boot = df.where("value is not null").join(draws, item).groupBy(*keys, "iteration").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("draw"))
-    ends = boot.groupBy(*keys).agg(F.percentile("draw", low).alias("ci_low"), F.percentile("draw", high).alias("ci_high"))
-    return df.groupBy(*keys).agg(F.avg("value").alias("mean")).join(ends, keys, "left")
 
+def _items(df: DataFrame, column: str) -> list:
+    """The distinct items of a record, in order: its events or years, hundreds at most."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
-def bh_threshold(df: DataFrame, p: str = "p_value", alpha: float = 0.1) -> DataFrame:
-    """One row: the largest p(i) with p(i) <= alpha * i / n over all rows with a p, or 0.
 
-    Ranks over all cells would put them into one task. Only the number of rows up to each distinct p matters, so counts
-    of distinct values are summed; p values of a test with N iterations take at most N + 1 values.
+def _drawn(w: np.ndarray, value: np.ndarray, cell: np.ndarray, row: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Means of each draw over the items that a cell has (draws x cells), DRAWS draws at once; NaN where it has none of them."""
+    v, m = np.zeros((w.shape[1], n)), np.zeros((w.shape[1], n))
+    ok = np.isfinite(value)
+    np.add.at(v, (row[ok], cell[ok]), value[ok])
+    np.add.at(m, (row[ok], cell[ok]), 1)
+    for i in range(0, len(w), DRAWS):
+        count = w[i : i + DRAWS] @ m
+        yield np.divide(w[i : i + DRAWS] @ v, count, out=np.full(count.shape, np.nan), where=count > 0)
+
+
+def _means(value: np.ndarray, cell: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    ok = np.isfinite(value)
+    count = np.bincount(cell[ok], minlength=n)
+    return np.divide(np.bincount(cell[ok], value[ok], n), count, out=np.full(n, np.nan), where=count > 0), count
+
+
+def _two_sided(observed: np.ndarray, draws: Iterator[np.ndarray]) -> dict[str, np.ndarray]:
+    """p = 2 (cross + 1) / (n + 1), at most 1, cross counting draws at zero or on its other side from what was observed; and the draws' deviation."""
+    n, cross, total, squares = (np.zeros(len(observed)) for _ in range(4))
+    for d in draws:
+        ok = np.isfinite(d)
+        n += ok.sum(0)
+        cross += (ok & np.where(observed >= 0, d <= 0, d >= 0)).sum(0)
+        off = np.where(ok, d - observed, 0)  # from what was observed, which the draws lie around: no digits are lost to their mean
+        total += off.sum(0)
+        squares += (off * off).sum(0)
+    mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
+    spread = np.sqrt(np.maximum(np.divide(squares, n, out=np.full(len(n), np.nan), where=n > 0) - mean * mean, 0))
+    return {"p_value": np.minimum(2 * (cross + 1) / (n + 1), 1), "sd": spread}
+
+
+def bootstrap_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: int, seed: int, scale: float = 1.0, event: str = "event_year", cells_a_block: int = 1024) -> DataFrame:
+    """(keys): excess = mean(a) - scale * mean(b) over events, with p_value and sd from resampling the events of both.
+
+    Draws are over all the events of a, and of b, and are the same for all keys; in a draw a key's mean is over those it has. Keys in both
+    a and b have a row. Events (hundreds at most) and draws go to every task as one matrix; a block of keys is one product with it.
+    """
+    ia, ib = _items(a, event), _items(b, event)
+    side = lambda df, k: df.select(*keys, event, F.col("value").cast("double").alias("value"), F.lit(k).alias("_side"))
+    both = side(a, 0).unionByName(side(b, 1))
+    at = [{x: k for k, x in enumerate(items)} for items in (ia, ib)]
+
+    def work(frame: pd.DataFrame, cell: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        means, draws, there = [], [], []
+        for k, items in enumerate((ia, ib)):
+            own = (frame["_side"] == k).to_numpy()
+            there.append(np.bincount(cell[own], minlength=n) > 0)
+            own &= frame[event].notna().to_numpy()
+            value, of, row = frame["value"].to_numpy(float)[own], cell[own], np.array([at[k][e] for e in frame[event][own]], int)
+            means.append(_means(value, of, n)[0])
+            draws.append(_drawn(weights(len(items), iterations, seed + k), value, of, row, n))
+        excess = means[0] - scale * means[1]
+        return {"excess": excess, **_two_sided(excess, (x - scale * y for x, y in zip(*draws, strict=True))), "_both": there[0] & there[1]}
+
+    fields = {"excess": "double", "p_value": "double", "sd": "double", "_both": "boolean"}
+    return in_blocks(both, keys, cells_a_block, work, fields).where("_both").drop("_both")
+
+
+def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: int, seed: int, event: str = "event_year", cells_a_block: int = 1024) -> DataFrame:
+    """(keys): mean over common events of a - b, with p_value and sd from resampling those events together; n_events have both values."""
+    pairs = a.select(*keys, event, F.col("value").alias("x")).join(b.select(*keys, event, F.col("value").alias("y")), [*keys, event])
+    pairs = pairs.select(*keys, event, (F.col("x") - F.col("y")).cast("double").alias("value"))
+    items = _items(pairs, event)
+    at = {x: k for k, x in enumerate(items)}
+
+    def work(frame: pd.DataFrame, cell: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        value = frame["value"].to_numpy(float)
+        mean, count = _means(value, cell, n)
+        draws = _drawn(weights(len(items), iterations, seed), value, cell, np.array([at[e] for e in frame[event]], int), n)
+        return {"difference": mean, "n_events": count, **_two_sided(mean, draws)}
+
+    return in_blocks(pairs, keys, cells_a_block, work, {"difference": "double", "n_events": "long", "p_value": "double", "sd": "double"})
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], iterations: int, seed: int, low: float = 0.05, high: float = 0.95, item: str = "event_year", cells_a_block: int = 1024) -> DataFrame:
+    """(keys): mean of the values and its percentile interval over resampled items; percentiles interpolate linearly.
+
+    A key is resampled over its own values, in the items' order, and nothing else: its interval stays when other keys come or go. Keys
+    with equally many values share their draws, so that a block takes one product for each number of values. Without values: null.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    ranked = counts.select("p", F.sum("c").over(Window.orderBy("p")).alias("i"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    return ranked.agg(F.coalesce(F.max(F.when(F.col("p") <= alpha * F.col("i") / F.col("n"), F.col("p"))), F.lit(0.0)).alias("threshold"))
+    def work(frame: pd.DataFrame, cell: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        value = frame["value"].to_numpy(float)
+        mean, count = _means(value, cell, n)
+        ok = np.isfinite(value)
+        order = np.lexsort((frame[item].to_numpy()[ok], cell[ok]))  # each cell's values side by side, by item
+        value, start, ends = value[ok][order], np.r_[0, np.cumsum(count)], np.full((2, n), np.nan)
+        for size in np.unique(count[count > 0]):
+            own = np.flatnonzero(count == size)
+            drawn = weights(int(size), iterations, seed) @ value[start[own] + np.arange(size)[:, None]] / size
+            ends[:, own] = np.percentile(drawn, [100 * low, 100 * high], axis=0)
+        return {"mean": mean, "ci_low": ends[0], "ci_high": ends[1]}
+
+    rows = df.select(*keys, item, F.col("value").cast("double").alias("value"))
+    return in_blocks(rows, keys, cells_a_block, work, {"mean": "double", "ci_low": "double", "ci_high": "double"})
 
 
-def fdr_mask(df: DataFrame, p: str = "p_value", alpha: float = 0.1) -> DataFrame:
-    """Add significant: p at or below the Benjamini-Hochberg threshold, which is above 0."""
-    both = df.crossJoin(F.broadcast(bh_threshold(df, p, alpha)))
+def bh_threshold(df: DataFrame, p: str = "p_value", alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """(by, threshold): for each family, the largest p(i) with p(i) <= alpha * i / n over its rows with a p, or 0; without `by`, all rows are one family.
+
+    Ranks over all cells would put them into one task. Only the number of rows up to each distinct p matters, so counts
+    of distinct values are summed; p values of a test with N iterations take at most N + 1 values, in any family. Families
+    are sorted side by side in one plan. A family without any p has no row.
+    """
+    by = by or []
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.select(*by, "_p", F.sum("c").over(Window.partitionBy(*by).orderBy("_p")).alias("i"), F.sum("c").over(Window.partitionBy(*by)).alias("n"))
+    return ranked.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_p") <= alpha * F.col("i") / F.col("n"), F.col("_p"))), F.lit(0.0)).alias("threshold"))
+
+
+def fdr_mask(df: DataFrame, p: str = "p_value", alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """Add threshold and significant: p at or below its family's Benjamini-Hochberg threshold, which is above 0."""
+    found = bh_threshold(df, p, alpha, by)
+    if by:
+        found = small(found.select(*[F.col(c).alias(f"_{c}") for c in by], "threshold"))
+        same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        both = df.join(found, same, "left").drop(*[f"_{c}" for c in by]).fillna(0.0, ["threshold"])
+    else:
+        both = df.crossJoin(F.broadcast(found))
     return both.withColumn("significant", F.coalesce((F.col(p) <= F.col("threshold")) & (F.col("threshold") > 0), F.lit(False)))
 
 

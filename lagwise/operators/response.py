@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.model import in_time
 from lagwise.operators.epochs import small
+from lagwise.operators.inference import DRAWS, in_blocks, pick
 
 
 def excess_over_scaled(strong: DataFrame, reference: DataFrame, keys: list[str], strong_amplitude: float | Column, reference_amplitude: float | Column) -> DataFrame:
@@ -46,18 +45,15 @@ def quadratic_fit(df: DataFrame, keys: list[str], y: str = "value", x: str = "in
     )
 
 
-HINGE_FIELDS = "b0 double, slope double, warm double, cold double, ratio double, excess double, excess_frac double, p_value double, steepening boolean, n long, n_draws long"
-
-
 def _hinge_design(x: np.ndarray, knot: float) -> np.ndarray:
     return np.stack([np.ones(len(x)), x, np.maximum(x - knot, 0), np.minimum(x + knot, 0)], 1)
 
 
-def _least_squares(design: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The coefficients (terms x cells), null where the design does not determine them."""
+def _solved(design: np.ndarray) -> np.ndarray:
+    """What turns values into least-squares coefficients (terms x items); NaN where the items do not determine them."""
     if len(design) < design.shape[1] or np.linalg.matrix_rank(design) < design.shape[1]:
-        return np.full((design.shape[1], y.shape[1]), np.nan)
-    return np.linalg.lstsq(design, y, rcond=None)[0]
+        return np.full(design.T.shape, np.nan)
+    return np.linalg.pinv(design)
 
 
 def hinge_fit(
@@ -73,7 +69,9 @@ def hinge_fit(
 
     p_value = 2 (1 - share of draws whose hinge has the fit's sign), at most 1. Draws resample all items; those with fewer than 3 items
     above the knot or 3 below its negative are skipped. Cells that lack an item are fitted but not resampled: their p_value is 1.
-    Cells of a block are one matrix and are solved together.
+
+    A draw's hinge is linear in a cell's values: its coefficients are one row over the items, worked out once for all cells. So all
+    draws are one matrix (draws x items; items are years or months, thousands at most), and a block of cells takes one product with it.
     """
     df = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, F.col(item).alias("_item"), F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
     cover = df.groupBy("_item").agg(F.count(F.lit(1)).alias("c"), F.max("_x").alias("x")).collect()  # one row for each year or month
@@ -81,44 +79,42 @@ def hinge_fit(
     chosen = sorted((r["_item"], r["x"]) for r in cover if r["c"] >= coverage * most)
     at, xs = {k: i for i, (k, _) in enumerate(chosen)}, np.array([v for _, v in chosen])
     design = _hinge_design(xs, knot)
-    picks = [[int(hashlib.md5(f"{seed}:{i}:{s}".encode()).hexdigest()[:8], 16) % len(xs) for s in range(len(xs))] for i in range(iterations)] if len(xs) else []
-    draws = [np.array(p) for p in picks if (xs[p] > knot).sum() >= 3 and (xs[p] < -knot).sum() >= 3]
+    whole, rows = _solved(design), []
+    for i in range(iterations if len(xs) else 0):
+        p = np.array([pick(seed, i, s, len(xs)) for s in range(len(xs))])
+        if (xs[p] > knot).sum() >= 3 and (xs[p] < -knot).sum() >= 3:
+            rows.append(np.bincount(p, _solved(design[p])[2], len(xs)))
+    drawn = np.array(rows).reshape(len(rows), len(xs))
     least = max(min_rows, 6 * design.shape[1])
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    blocks = df.select(*keys).distinct().count() // cells_a_block + 1
-
-    def fit(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        cells, cell = np.unique(frame["_cell"].to_numpy(), return_inverse=True)
-        row = np.array([at.get(k, -1) for k in frame["_item"]])
-        ys = np.full((len(xs), len(cells)), np.nan)
+
+    def fit(frame: pd.DataFrame, cell: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        row = np.array([at.get(k, -1) for k in frame["_item"]], int)
+        ys = np.full((len(xs), n), np.nan)
         ys[row[row >= 0], cell[row >= 0]] = frame["_y"].to_numpy()[row >= 0]
         there = np.isfinite(ys)
         full = there.all(0)
-        beta = np.full((4, len(cells)), np.nan)
-        beta[:, full] = _least_squares(design, ys[:, full])
+        beta = np.full((4, n), np.nan)
+        beta[:, full] = whole @ ys[:, full]
         # Cells that lack the same items share a design.
         ragged = np.flatnonzero(~full & (there.sum(0) >= least))
         for pattern in np.unique(there[:, ragged], axis=1).T if len(ragged) else []:
             own = ragged[(there[:, ragged] == pattern[:, None]).all(0)]
-            beta[:, own] = _least_squares(design[pattern], ys[np.ix_(pattern, own)])
-        same = np.zeros(len(cells))
-        for p in draws:
-            same[full] += np.sign(_least_squares(design[p], ys[p][:, full])[2]) == np.sign(beta[2, full])
+            beta[:, own] = _solved(design[pattern]) @ ys[np.ix_(pattern, own)]
+        same = np.zeros(n)
+        for i in range(0, len(drawn), DRAWS):
+            same[full] += (np.sign(drawn[i : i + DRAWS] @ ys[:, full]) == np.sign(beta[2, full])).sum(0)
         b0, slope, warm, cold = beta
-        over = lambda a, b: np.divide(a, b, out=np.full(len(cells), np.nan), where=np.abs(b) > 1e-6)
+        over = lambda a, b: np.divide(a, b, out=np.full(n, np.nan), where=np.abs(b) > 1e-6)
         excess = warm * max(evaluate_at - knot, 0)
-        p = np.where(np.isfinite(warm), np.clip(2 * (1 - same / max(len(draws), 1)), 0, 1), np.nan)
-        first = frame.drop_duplicates("_cell").set_index("_cell").loc[cells]
-        out = {k: pa.array(first[k], type=table.schema.field(k).type) for k in keys}
-        for name, v in (("b0", b0), ("slope", slope), ("warm", warm), ("cold", cold), ("ratio", over(warm, slope)), ("excess", excess), ("excess_frac", over(excess, slope * evaluate_at)), ("p_value", p)):
-            out[name] = pa.array(v, pa.float64(), from_pandas=True)
-        steep = pa.array(np.sign(slope) == np.sign(warm), mask=~np.isfinite(warm))
-        return pa.table(out | {"steepening": steep, "n": pa.array(there.sum(0), pa.int64()), "n_draws": pa.array(np.full(len(cells), len(draws)), pa.int64())})
+        p = np.where(np.isfinite(warm), np.clip(2 * (1 - same / max(len(drawn), 1)), 0, 1), np.nan)
+        steep = np.where(np.isfinite(warm), (np.sign(slope) == np.sign(warm)).astype(float), np.nan)
+        return {
+            "b0": b0, "slope": slope, "warm": warm, "cold": cold, "ratio": over(warm, slope), "excess": excess, "excess_frac": over(excess, slope * evaluate_at), "p_value": p, "steepening": steep,
+            "n": there.sum(0), "n_draws": np.full(n, len(drawn)),
+        }
 
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), HINGE_FIELDS])
-    dealt = df.withColumn("_cell", F.xxhash64(*keys)).withColumn("_block", F.pmod(F.col("_cell"), F.lit(blocks)))
-    return dealt.groupBy("_block").applyInArrow(lambda t: fit(t), schema)
+    kinds = {f: "double" for f in ("b0", "slope", "warm", "cold", "ratio", "excess", "excess_frac", "p_value", "steepening")} | {"n": "long", "n_draws": "long"}
+    return in_blocks(df, keys, cells_a_block, fit, kinds).withColumn("steepening", F.col("steepening") == 1)
 
 
 def collinearity(df: DataFrame, x: str = "index", knot: float = 1.5) -> DataFrame:
@@ -200,16 +196,17 @@ def ar1_memory(df: DataFrame, keys: list[str], limit: float = 0.99) -> DataFrame
 
 
 def cross_correlation(df: DataFrame, keys: list[str], index: DataFrame, lag_min: int = -6, lag_max: int = 24) -> DataFrame:
-    """(keys, lag): correlation of a series with the index `lag` rows earlier, over the months that both have.
+    """(keys, lag): correlation of a series with the index `lag` rows earlier, over the months that both have, and their number.
 
-    Months are taken as they follow each other among the joined rows, so the shift is by row: the index side is unfolded
-    to one row for each lag and joined on the row number.
+    Months are taken as they follow each other among the joined rows, so the shift is by row. Every lag is a column over one window, so
+    a key is sorted once; one aggregation takes the moments of all of them, and its row is unfolded to one for each lag with pairs.
     """
-    both = df.where("value is not null").select(*keys, "t", "value").join(small(index.where("value is not null").select("t", F.col("value").alias("x"))), "t")
-    both = both.withColumn("rn", F.row_number().over(in_time(keys)))
-    shifted = both.select(*keys, "x", F.explode(F.sequence(F.lit(lag_min), F.lit(lag_max))).alias("lag"), F.col("rn").alias("_rn")).withColumn("rn", F.col("_rn") + F.col("lag"))
-    pairs = both.select(*keys, "rn", "value").join(shifted.select(*keys, "rn", "lag", "x"), [*keys, "rn"])
-    return pairs.groupBy(*keys, "lag").agg(F.corr("value", "x").alias("corr"), F.count(F.lit(1)).alias("n"))
+    both = df.where("value is not null").select(*keys, "t", "value").join(small(index.where("value is not null").select("t", F.col("value").alias("_x"))), "t")
+    lags = range(lag_min, lag_max + 1)
+    shifted = both.withColumns({f"_x{k}": F.lag("_x", lag).over(in_time(keys)) for k, lag in enumerate(lags)})
+    each = [F.struct(F.lit(lag).alias("lag"), F.corr("value", f"_x{k}").alias("corr"), F.count(f"_x{k}").alias("n")) for k, lag in enumerate(lags)]
+    found = shifted.groupBy(*keys).agg(F.array(*each).alias("_each")).select(*keys, F.explode("_each").alias("_e")).select(*keys, "_e.*")
+    return found.where("n > 0")
 
 
 def lag_summary(peaks: DataFrame, by: list[str]) -> DataFrame:

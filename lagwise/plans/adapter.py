@@ -49,6 +49,12 @@ def field(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return complete(orders(spark, sf_dir).groupBy(*by, "t").agg(mean_price()), by)
 
 
+def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two variables of each cell and month: the mean price and the total of prices."""
+    by = orders(spark, sf_dir).groupBy("cell_id", "t").agg(mean_price().alias("price"), (F.sum("cents") / 100).alias("total"))
+    return complete(by.unpivot(["cell_id", "t"], ["price", "total"], "variable", "value"), ["cell_id", "variable"])
+
+
 def monthly(spark: SparkSession, sf_dir: str, scenario: str | None = None) -> DataFrame:
     """The mean price by month, over all cells."""
     df = orders(spark, sf_dir)

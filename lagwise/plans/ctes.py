@@ -54,6 +54,41 @@ def standardised(source: str, keys: str) -> str:
         FROM {source} WINDOW w AS (PARTITION BY {keys}, month ORDER BY year RANGE BETWEEN {_HALF} PRECEDING AND {WINDOW - _HALF - 1} FOLLOWING))"""
 
 
+def hinge(source: str, keys: str, knot: float, iterations: int, seed: int, evaluate_at: float) -> str:
+    """The hinge fit over (keys, item, x, y) without nulls, and its bootstrap, by normal equations."""
+    terms = ("1.0::DOUBLE", "x", f"greatest(x - {knot}, 0)", f"least(x + {knot}, 0)")
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    sums = lambda weight: ", ".join(f"sum({weight} * {terms[i]} * {terms[j]}) AS a{i}{j}" for i, j in pairs)
+    right = lambda weight: ", ".join(f"sum({weight} * {terms[i]} * y) AS b{i}" for i in range(4))
+
+    def solved(rows: str, carried: str) -> str:
+        """Elimination of one term after another from the sums a and b, and substitution back; null where a pivot vanishes."""
+        rows = f"SELECT *, {', '.join(f'a{i}{i} AS d{i}' for i in range(4))} FROM ({rows})"
+        for k in range(4):
+            f = {i: f"a{k}{i} / CASE WHEN a{k}{k} > 1e-10 * d{k} THEN a{k}{k} END" for i in range(k + 1, 4)}
+            out = [f"a{i}{j} - {f[i]} * a{k}{j} AS a{i}{j}" if i > k else f"a{i}{j}" for i, j in pairs] + [f"b{i} - {f[i]} * b{k} AS b{i}" if i > k else f"b{i}" for i in range(4)]
+            rows = f"SELECT {carried}, d0, d1, d2, d3, {', '.join(out)} FROM ({rows})"
+        pivot = lambda k: f"CASE WHEN a{k}{k} > 1e-10 * d{k} THEN a{k}{k} END"
+        back = [f"(b{k}{''.join(f' - a{k}{j} * h{j}' for j in range(k + 1, 4))}) / {pivot(k)} AS h{k}" for k in (3, 2, 1, 0)]
+        return f"SELECT {carried}, {', '.join(back)} FROM ({rows})"
+
+    cover = f"SELECT item, any_value(x) AS x, count(*) AS c FROM {source} GROUP BY item"
+    chosen = f"SELECT item, x, row_number() OVER (ORDER BY item) - 1 AS k, count(*) OVER () AS m FROM ({cover}) WHERE c >= 0.5 * (SELECT max(c) FROM ({cover}))"
+    rows = f"SELECT {keys}, s.item, c.x, s.y, c.m, count(*) OVER (PARTITION BY {keys}) AS n FROM {source} s JOIN ({chosen}) c ON c.item = s.item"
+    fits = solved(f"SELECT {keys}, any_value(n) AS n, any_value(m) AS m, {sums('1')}, {right('1')} FROM ({rows}) WHERE n = m OR n >= 24 GROUP BY {keys}", f"{keys}, n, m")
+    picks = f"SELECT i, c.item, c.x, count(*) AS w FROM range({iterations}) r(i) CROSS JOIN ({chosen}) s JOIN ({chosen}) c ON c.k = ('0x' || substr(md5('{seed}:' || i || ':' || s.k), 1, 8))::BIGINT % s.m GROUP BY ALL"
+    usable = f"SELECT i FROM ({picks}) GROUP BY i HAVING sum(CASE WHEN x > {knot} THEN w ELSE 0 END) >= 3 AND sum(CASE WHEN x < -{knot} THEN w ELSE 0 END) >= 3"
+    left = f"SELECT i, {sums('w')} FROM ({picks}) WHERE i IN ({usable}) GROUP BY i"
+    drawn = f"SELECT {keys}, i, {right('w')} FROM (SELECT r.*, p.i, p.w FROM ({rows}) r JOIN ({picks}) p ON p.item = r.item WHERE r.n = r.m) GROUP BY {keys}, i"
+    draws = solved(f"SELECT * FROM ({drawn}) JOIN ({left}) USING (i)", f"{keys}, i")
+    same = f"SELECT {keys}, count(*) FILTER (sign(d.h2) = sign(f.h2)) AS same FROM ({draws}) d JOIN ({fits}) f USING ({keys}) GROUP BY {keys}"
+    e = max(evaluate_at - knot, 0)
+    return f"""SELECT {keys}, coalesce(f.n, a.n) AS n, h0 AS b0, h1 AS slope, h2 AS warm, h3 AS cold, CASE WHEN abs(h1) > 1e-6 THEN h2 / h1 END AS ratio, h2 * {e} AS excess,
+        CASE WHEN abs(h1 * {evaluate_at}) > 1e-6 THEN h2 * {e} / (h1 * {evaluate_at}) END AS excess_frac, (SELECT count(*) FROM ({usable})) AS n_draws, sign(h1) = sign(h2) AS steepening,
+        CASE WHEN h2 IS NOT NULL THEN greatest(least(2 * (1 - coalesce(same, 0) / greatest((SELECT count(*) FROM ({usable})), 1)), 1), 0) END AS p_value
+        FROM (SELECT {keys}, count(*) FILTER (item IN (SELECT item FROM ({chosen}))) AS n FROM {source} GROUP BY {keys}) a LEFT JOIN ({fits}) f USING ({keys}) LEFT JOIN ({same}) USING ({keys})"""
+
+
 CTES: dict[str, str] = {
     "o": "SELECT c_nationkey AS cell_id, o_orderpriority AS model, o_orderstatus AS scenario, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INT AS t, round(o_totalprice * 100)::BIGINT AS cents FROM orders JOIN customer ON o_custkey = c_custkey",
     "cal": "SELECT unnest(range((SELECT min(t) FROM o), (SELECT max(t) + 1 FROM o)))::INT AS t",
@@ -63,6 +98,9 @@ CTES: dict[str, str] = {
     "field": filled("cell_id", "f"),
     "mfield": filled("cell_id, model", "fm"),
     "sfield": filled("cell_id, scenario", "fs"),
+    "v2": "SELECT cell_id, 'price' AS variable, t, sum(cents) / count(*) / 100 AS value FROM o GROUP BY ALL UNION ALL SELECT cell_id, 'total', t, sum(cents) / 100 FROM o GROUP BY ALL",
+    "vfield": filled("cell_id, variable", "v2"),
+    "vanom": standardised("vfield", "cell_id, variable"),
     "anom": standardised("field", "cell_id"),
     "manom": standardised("mfield", "cell_id, model"),
     "sanom": standardised("sfield", "cell_id, scenario"),

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lagwise.functions import calendar, units
 from lagwise.model import clean, pinned
-from lagwise.operators import climatology, epochs, evaluation, events, extremes, index, inference, regions, response
+from lagwise.operators import climatology, epochs, evaluation, events, extremes, index, inference, regions, response, tables
 from lagwise.plans import ctes
-from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, SEASONS, SEED, THRESHOLD, WINDOW, cells, field, fixed, monthly, orders, table
+from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, SEASONS, SEED, THRESHOLD, WINDOW, cells, field, fixed, monthly, orders, table, variables
 from lagwise.sources import fields, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +379,30 @@ def fdr_mask(spark: SparkSession, d: str) -> DataFrame:
     return out(inference.fdr_mask(mc_blocked(spark, d)), "cell_id", "significant", p_value="p_value", threshold="threshold")
 
 
+def member_test(spark: SparkSession, d: str) -> DataFrame:
+    """mc_test() of every member on its own, in one pass over the members' field: (cell_id, model)."""
+    series = anom(spark, d, "model")
+    every = series.select(F.col("t").alias("anchor_t")).distinct()
+    pool = epochs.epochs(series, every, 0, 2).groupBy("anchor_t", *MEMBER).agg(F.avg("value").alias("value"))
+    peaks = event_table(spark, d)
+    neutral = epochs.eligible(index_series(spark, d).select(F.col("t").alias("anchor_t")), anchors(peaks), 1)
+    months = lambda df: sorted(r[0] for r in df.select("anchor_t").distinct().collect())  # noqa: E731  months of the record
+    return inference.mc_test_blocked(pool, MEMBER, months(anchors(peaks.where("phase = 'warm'"))), months(neutral), ITERATIONS, SEED, cells_a_block=32)
+
+
+ctes.CTES["mpool"] = "SELECT n.t AS anchor_t, a.cell_id, a.model, avg(a.value) AS value FROM cal n JOIN manom a ON a.t BETWEEN n.t AND n.t + 2 GROUP BY ALL"
+ctes.CTES["mmc"] = "SELECT c.cell_id, c.model, any_value(composite) AS composite, (count(*) FILTER (abs(null_value) >= abs(composite)) + 1) / (count(null_value) + 1) AS p_value FROM (SELECT DISTINCT cell_id, model FROM mpool) c LEFT JOIN (SELECT cell_id, model, avg(value) AS composite FROM mpool WHERE anchor_t IN (SELECT anchor_t FROM warm_t) GROUP BY ALL) o USING (cell_id, model) LEFT JOIN (SELECT cell_id, model, iteration, avg(value) AS null_value FROM mpool JOIN draws USING (anchor_t) GROUP BY ALL) n USING (cell_id, model) GROUP BY c.cell_id, c.model"
+
+
+@query(
+    "q20b_fdr_by_family",
+    f"SELECT cell_id, model, {s6('p_value')} AS p_value, {s6('threshold')} AS threshold, p_value <= threshold AND threshold > 0 AS significant FROM (SELECT *, coalesce(max(CASE WHEN p_value <= 0.1 * i / n THEN p_value END) OVER (PARTITION BY model), 0) AS threshold FROM (SELECT *, count(p_value) OVER (PARTITION BY model ORDER BY p_value) AS i, count(p_value) OVER (PARTITION BY model) AS n FROM mmc))",
+)
+def fdr_by_family(spark: SparkSession, d: str) -> DataFrame:
+    """False discoveries held within each member: every one of them is a family, all in one plan."""
+    return out(inference.fdr_mask(member_test(spark, d), by=["model"]), "cell_id", "model", "significant", p_value="p_value", threshold="threshold")
+
+
 @query("q21_sign_agreement", f"SELECT cell_id, {s6('agreement')} AS agreement, n_models, {s6('ensemble_mean')} AS ensemble_mean FROM agree")
 def sign_agreement(spark: SparkSession, d: str) -> DataFrame:
     return out(agreement(spark, d), "cell_id", "n_models", agreement="agreement", ensemble_mean="ensemble_mean")
@@ -409,7 +433,7 @@ def excess_vs_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _picks(items: str, seed: int) -> str:
-    """SQL of draws_with_replacement over (event_year) of a table."""
+    """SQL of resampling all the events of a table together: (iteration, event_year, weight)."""
     n = f"(SELECT count(DISTINCT event_year) FROM {items})"
     return f"SELECT i AS iteration, event_year, count(*) AS weight FROM (SELECT i, ('0x' || substr(md5('{seed}:' || i || ':' || s), 1, 8))::BIGINT % {n} AS k FROM range({ITERATIONS}) a(i), (SELECT unnest(range(0, {n})) AS s)) JOIN (SELECT event_year, row_number() OVER (ORDER BY event_year) - 1 AS k FROM (SELECT DISTINCT event_year FROM {items})) USING (k) GROUP BY ALL"
 
@@ -418,6 +442,13 @@ def _boot(items: str, seed: int, value: str = "value") -> str:
     return f"SELECT cell_id, iteration, sum({value} * weight) / nullif(sum(weight) FILTER ({value} IS NOT NULL), 0) AS m FROM {items} JOIN ({_picks(items, seed)}) USING (event_year) GROUP BY ALL"
 
 
+def _interval(items: str) -> str:
+    """SQL of bootstrap_ci over (cell_id, event_year, value): each key's own values, drawn by slot."""
+    own = f"SELECT cell_id, value, row_number() OVER (PARTITION BY cell_id ORDER BY event_year) - 1 AS k, count(*) OVER (PARTITION BY cell_id) AS n FROM {items} WHERE value IS NOT NULL"
+    drawn = f"SELECT s.cell_id, i, avg(v.value) AS m FROM ({own}) s CROSS JOIN range({ITERATIONS}) r(i) JOIN ({own}) v ON v.cell_id = s.cell_id AND v.k = ('0x' || substr(md5('{SEED}:' || i || ':' || s.k), 1, 8))::BIGINT % s.n GROUP BY ALL"
+    return f"SELECT a.cell_id, a.mean, lo, hi FROM (SELECT cell_id, avg(value) AS mean FROM {items} GROUP BY ALL) a LEFT JOIN (SELECT cell_id, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM ({drawn}) GROUP BY cell_id) b ON a.cell_id = b.cell_id"
+
+
 _TWO_SIDED = "least(1.0, 2.0 * (count(*) FILTER (CASE WHEN obs >= 0 THEN draw <= 0 ELSE draw >= 0 END) + 1) / (count(draw) + 1))"
 
 
@@ -466,7 +497,7 @@ ctes.CTES["regional"] = "SELECT region AS cell_id, event_year, sum(value * area)
 
 @query(
     "q25b_bootstrap_ci",
-    f"SELECT a.cell_id AS region, {s6('a.mean')} AS mean, {s6('b.lo')} AS ci_low, {s6('b.hi')} AS ci_high FROM (SELECT cell_id, avg(value) AS mean FROM regional GROUP BY ALL) a LEFT JOIN (SELECT cell_id, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM ({_boot('regional', SEED)}) GROUP BY cell_id) b ON a.cell_id = b.cell_id",
+    f"SELECT cell_id AS region, {s6('mean')} AS mean, {s6('lo')} AS ci_low, {s6('hi')} AS ci_high FROM ({_interval('regional')})",
 )
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     df = responses(spark, d).join(geography(spark, d), "cell_id").groupBy("region", "event_year").agg(regions.weighted_mean().alias("value"))
@@ -509,7 +540,10 @@ def quadratic_fit(spark: SparkSession, d: str) -> DataFrame:
     return out(response.quadratic_fit(on_index(spark, d), CELL), "cell_id", "n", b0="b0", b1="b1", b2="b2", r2="r2")
 
 
-@query("q29_hinge_fit")
+_HINGE = ctes.hinge("(SELECT cell_id, t AS item, x, y FROM onidx)", "cell_id", 0.3, 100, 1, 1.0)
+
+
+@query("q29_hinge_fit", "SELECT cell_id, n, n_draws, steepening, " + ", ".join(f"{s6(c)} AS {c}" for c in ("b0", "slope", "warm", "cold", "ratio", "excess", "excess_frac", "p_value")) + f" FROM ({_HINGE})")
 def hinge_fit(spark: SparkSession, d: str) -> DataFrame:
     df = response.hinge_fit(on_index(spark, d), CELL, "t", knot=0.3, iterations=100, evaluate_at=1.0, cells_a_block=8)
     return out(df, "cell_id", "n", "n_draws", "steepening", **{c: c for c in ("b0", "slope", "warm", "cold", "ratio", "excess", "excess_frac", "p_value")})
@@ -625,7 +659,7 @@ ctes.CTES["rresp"] = "SELECT region AS cell_id, event_year, avg(value) AS value
 
 @query(
     "q37c_region_table",
-    f"SELECT a.region, {s6('a.mean')} AS mean, a.n_events, a.sign_consistent, {s6('b.lo')} AS ci_low, {s6('b.hi')} AS ci_high FROM (SELECT cell_id AS region, any_value(m) AS mean, count(value) AS n_events, bool_and(sign(value) = sign(m)) AS sign_consistent FROM (SELECT *, avg(value) OVER (PARTITION BY cell_id) AS m FROM rresp) GROUP BY cell_id) a JOIN (SELECT cell_id, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM ({_boot('rresp', SEED)}) GROUP BY cell_id) b ON a.region = b.cell_id",
+    f"SELECT a.region, {s6('a.mean')} AS mean, a.n_events, a.sign_consistent, {s6('b.lo')} AS ci_low, {s6('b.hi')} AS ci_high FROM (SELECT cell_id AS region, any_value(m) AS mean, count(value) AS n_events, bool_and(sign(value) = sign(m)) AS sign_consistent FROM (SELECT *, avg(value) OVER (PARTITION BY cell_id) AS m FROM rresp) GROUP BY cell_id) a JOIN ({_interval('rresp')}) b ON a.region = b.cell_id",
 )
 def region_table(spark: SparkSession, d: str) -> DataFrame:
     df = responses(spark, d, "model").join(cells(spark, d).select("cell_id", "region"), "cell_id")
@@ -647,7 +681,7 @@ ctes.CTES["bresp"] = f"SELECT band AS cell_id, event_year, sum(value * area) / n
 
 @query(
     "q38c_band_table",
-    f"SELECT a.band, {s6('a.mean')} AS mean, {s6('b.lo')} AS ci_low, {s6('b.hi')} AS ci_high, p.lag AS peak_lag, {s6('p.value')} AS peak_amplitude, {s6('g.agreement')} AS mean_agreement, g.n_models FROM (SELECT cell_id AS band, avg(value) AS mean FROM bresp GROUP BY ALL) a JOIN (SELECT cell_id AS band, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM ({_boot('bresp', SEED)}) GROUP BY ALL) b ON a.band = b.band JOIN (SELECT band, lag, value FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY abs(value) DESC, lag) AS k FROM (SELECT band, lag, sum(value * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0) AS value FROM comp JOIN geo USING (cell_id) JOIN {_BANDS} ON lat BETWEEN low AND high GROUP BY ALL) WHERE value IS NOT NULL) WHERE k = 1) p ON p.band = a.band JOIN (SELECT band, avg(agreement) AS agreement, max(n_models) AS n_models FROM agree JOIN cells USING (cell_id) JOIN {_BANDS} ON lat BETWEEN low AND high GROUP BY ALL) g ON g.band = a.band",
+    f"SELECT a.band, {s6('a.mean')} AS mean, {s6('a.lo')} AS ci_low, {s6('a.hi')} AS ci_high, p.lag AS peak_lag, {s6('p.value')} AS peak_amplitude, {s6('g.agreement')} AS mean_agreement, g.n_models FROM (SELECT cell_id AS band, mean, lo, hi FROM ({_interval('bresp')})) a JOIN (SELECT band, lag, value FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY abs(value) DESC, lag) AS k FROM (SELECT band, lag, sum(value * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0) AS value FROM comp JOIN geo USING (cell_id) JOIN {_BANDS} ON lat BETWEEN low AND high GROUP BY ALL) WHERE value IS NOT NULL) WHERE k = 1) p ON p.band = a.band JOIN (SELECT band, avg(agreement) AS agreement, max(n_models) AS n_models FROM agree JOIN cells USING (cell_id) JOIN {_BANDS} ON lat BETWEEN low AND high GROUP BY ALL) g ON g.band = a.band",
 )
 def band_table(spark: SparkSession, d: str) -> DataFrame:
     bands = spark.createDataFrame([("south", -60.0, -20.0), ("tropics", -20.0, 20.0), ("north", 20.0, 60.0)], "band string, low double, high double")
@@ -905,3 +939,76 @@ def region_nonlinearity(spark: SparkSession, d: str) -> DataFrame:
     return out(df, "region", **{c: c for c in df.columns if c != "region"})
 
 
+# --- tables of several variables --------------------------------------------------------------------------------------
+
+ctes.CTES["vseas"] = "SELECT a.variable, a.cell_id, e.phase, e.event_year, s.season, avg(a.value) AS value FROM catalogue e CROSS JOIN seasons s JOIN vanom a ON a.t = e.event_year * 12 + 11 + s.lag GROUP BY ALL"
+ctes.CTES["vwarm"] = "SELECT * FROM vseas WHERE phase = 'warm'"
+ctes.CTES["vcold"] = "SELECT * FROM vseas WHERE phase = 'cold'"
+ctes.CTES["anchor12"] = "SELECT unnest(range((SELECT min(t // 12) FROM cal) * 12 + 11, (SELECT max(t // 12) - 1 FROM cal) * 12 + 12, 3)) AS anchor_t"
+ctes.CTES["yresp"] = "SELECT a.variable, a.cell_id, s.season, c.anchor_t::INT AS anchor_t, avg(a.value) AS value, any_value(i.value) AS x FROM anchor12 c JOIN oni i ON i.t = c.anchor_t + 1 CROSS JOIN seasons s JOIN vanom a ON a.t = c.anchor_t + s.lag GROUP BY ALL"
+
+
+def vanom(spark: SparkSession, d: str) -> DataFrame:
+    return climatology.anomalies(variables(spark, d), ["cell_id", "variable"], "standardized", "moving", WINDOW, MIN_YEARS)
+
+
+def yearly(spark: SparkSession, d: str) -> DataFrame:
+    """Season means around the last month of every quarter: the record is too short for a December of each year alone."""
+    return tables.yearly_responses(vanom(spark, d), ["variable", "cell_id"], calendar.season_table(spark, SEASONS), index_series(spark, d), LAG_MIN, LAG_MAX, 0, 1, 3)
+
+
+@query("q53_yearly_responses", f"SELECT variable, cell_id, season, anchor_t, {s6('value')} AS value, {s6('x')} AS index FROM yresp")
+def yearly_responses(spark: SparkSession, d: str) -> DataFrame:
+    return out(yearly(spark, d), "variable", "cell_id", "season", "anchor_t", value="value", index="index")
+
+
+def _drawn(items: str, seed: int) -> str:
+    return f"SELECT variable, season, cell_id, iteration, sum(value * weight) / nullif(sum(weight) FILTER (value IS NOT NULL), 0) AS m FROM {items} JOIN ({_picks(items, seed)}) USING (event_year) GROUP BY ALL"
+
+
+_VKEYS = "variable, season, cell_id"
+_VOBS = f"SELECT {_VKEYS}, s - k * r AS obs, k FROM (SELECT {_VKEYS}, avg(value) AS s FROM vwarm GROUP BY ALL) JOIN (SELECT {_VKEYS}, avg(value) AS r FROM vcold GROUP BY ALL) USING ({_VKEYS}) CROSS JOIN (SELECT {_AMPS} AS k)"
+_VEXCESS = f"SELECT {_VKEYS}, obs AS excess, k, {_TWO_SIDED} AS p_value FROM (SELECT {_VKEYS}, obs, k, a.m - k * b.m AS draw FROM ({_VOBS}) JOIN ({_drawn('vwarm', SEED)}) a USING ({_VKEYS}) JOIN ({_drawn('vcold', SEED + 1)}) b USING ({_VKEYS}, iteration)) GROUP BY ALL"
+_VMASK = f"SELECT *, p_value <= threshold AND threshold > 0 AS significant FROM (SELECT *, coalesce(max(CASE WHEN p_value <= 0.1 * i / n THEN p_value END) OVER (PARTITION BY variable), 0) AS threshold FROM (SELECT *, count(p_value) OVER (PARTITION BY variable ORDER BY p_value) AS i, count(p_value) OVER (PARTITION BY variable) AS n FROM ({_VEXCESS})))"
+_VHINGE = " UNION ALL ".join(f"SELECT '{v}' AS variable, * FROM ({ctes.hinge(f"(SELECT season, cell_id, anchor_t AS item, x, value AS y FROM yresp WHERE variable = '{v}' AND value IS NOT NULL)", 'season, cell_id', 0.3, 100, 1, 1.0)})" for v in ("price", "total"))
+
+
+@query(
+    "q54_nonlinearity_table",
+    f"SELECT variable, season, {s6(_AMPS)} AS scaling_factor, {s6('avg(e.excess)')} AS mean_excess, {s6('avg(abs(e.excess))')} AS mean_abs_excess, {s6('avg(coalesce(significant, false)::INT)')} AS frac_significant, {s6('avg((e.excess > 0)::INT) FILTER (significant)')} AS frac_amplified, {s6('avg(steepening::INT)')} AS frac_steepening, {s6('quantile_cont(excess_frac, 0.5)')} AS median_excess_frac, {s6('avg(coalesce(h.p_value < 0.1, false)::INT)')} AS frac_hinge_significant, {s6('quantile_cont(ratio, 0.5)')} AS median_ratio FROM ({_VMASK}) e FULL JOIN ({_VHINGE}) h USING ({_VKEYS}) GROUP BY variable, season",
+)
+def nonlinearity_table(spark: SparkSession, d: str) -> DataFrame:
+    """The excess of warm events over scaled cold ones, and the bend of the response curve, by variable and season."""
+    found = event_table(spark, d)
+    size = {r["phase"]: r["a"] for r in found.groupBy("phase").agg(F.avg(F.abs("peak")).alias("a")).collect()}
+    aligned = epochs.epochs(vanom(spark, d), found.select("phase", "event_year", epochs.anchor("december").alias("anchor_t")), LAG_MIN, LAG_MAX)
+    seasonal = epochs.season_means(aligned, ["phase", "variable", "cell_id"], calendar.season_table(spark, SEASONS))
+    one = lambda phase: seasonal.where(F.col("phase") == phase)
+    scale, keys = size["warm"] / size["cold"], ["variable", "season", "cell_id"]
+    excess = inference.bootstrap_difference(one("warm"), one("cold"), keys, ITERATIONS, SEED, scale)
+    fits = [response.hinge_fit(yearly(spark, d).where(F.col("variable") == v), keys, knot=0.3, iterations=100, evaluate_at=1.0) for v in ("price", "total")]
+    df = tables.nonlinearity_table(excess, fits[0].unionByName(fits[1]), CELL, ["variable", "season"], ["variable"], scale)
+    return out(df, "variable", "season", **{c: c for c in df.columns if c not in ("variable", "season")})
+
+
+ctes.CTES["vcomp"] = "SELECT a.variable, a.cell_id, l.lag, avg(a.value) AS value FROM catalogue e CROSS JOIN lags l JOIN vanom a ON a.t = e.peak_t + l.lag WHERE e.phase = 'warm' GROUP BY ALL"
+ctes.CTES["vprofile"] = "SELECT variable, lag, sum(value * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0) AS value FROM vcomp JOIN geo USING (cell_id) GROUP BY ALL"
+ctes.CTES["vmean"] = "SELECT variable, t, sum(value * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0) AS value FROM vanom JOIN geo USING (cell_id) GROUP BY ALL"
+ctes.CTES["vjoin"] = "SELECT a.variable, a.t, a.value AS y, i.value AS x, row_number() OVER (PARTITION BY a.variable ORDER BY a.t) AS rn FROM vmean a JOIN oni i ON a.t = i.t WHERE a.value IS NOT NULL"
+_VPEAK = "SELECT variable, lag AS peak_lag, value AS peak_amplitude FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY abs(value) DESC, lag) AS k FROM vprofile WHERE value IS NOT NULL) WHERE k = 1"
+_VGRID = "SELECT variable, quantile_cont(peak_lag, 0.5) AS median_peak_lag, quantile_cont(duration, 0.5) AS median_duration, quantile_cont(recovery, 0.5) AS median_recovery, quantile_cont(recovery, 0.9) AS p90_recovery FROM (SELECT variable, cell_id, arg_max(lag, (abs(value), -lag)) FILTER (value IS NOT NULL) AS peak_lag, count(*) FILTER (abs(value) > 0.2) AS duration, coalesce(min(lag) FILTER (abs(value) > 0.2 AND lag >= 0) + 1, 0) AS recovery FROM vcomp GROUP BY ALL HAVING count(value) > 0) GROUP BY variable"
+_VMEMORY = "SELECT variable, quantile_cont(CASE WHEN r1 > 0 THEN -1 / ln(r1) END, 0.5) AS median_memory FROM (SELECT variable, cell_id, greatest(least(avg(p) / nullif(avg(value * value), 0), 0.99), -0.99) AS r1 FROM (SELECT *, value * lag(value) OVER (PARTITION BY variable, cell_id ORDER BY t) AS p FROM vanom) GROUP BY ALL) GROUP BY variable"
+_VCORR = "SELECT variable, lag AS best_lag, r AS best_corr FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY abs(r) DESC, lag) AS k FROM (SELECT a.variable, l.lag, corr(a.y, b.x) AS r FROM lags l CROSS JOIN vjoin a JOIN vjoin b ON a.variable = b.variable AND b.rn = a.rn - l.lag GROUP BY ALL) WHERE r IS NOT NULL) WHERE k = 1"
+
+
+@query(
+    "q55_lag_cascade_table",
+    f"SELECT variable, peak_lag, {s6('peak_amplitude')} AS peak_amplitude, {s6('median_peak_lag')} AS median_peak_lag, {s6('median_duration')} AS median_duration, {s6('median_recovery')} AS median_recovery, {s6('p90_recovery')} AS p90_recovery, {s6('median_memory')} AS median_memory, best_lag, {s6('best_corr')} AS best_corr FROM ({_VPEAK}) LEFT JOIN ({_VGRID}) USING (variable) LEFT JOIN ({_VMEMORY}) USING (variable) LEFT JOIN ({_VCORR}) USING (variable)",
+)
+def lag_cascade_table(spark: SparkSession, d: str) -> DataFrame:
+    """When and how long each variable answers to warm events."""
+    series = vanom(spark, d)
+    composite = epochs.composite(epochs.epochs(series, anchors(event_table(spark, d, "warm")), LAG_MIN, LAG_MAX), ["variable", "cell_id"])
+    df = tables.lag_cascade_table(composite, series, index_series(spark, d), geography(spark, d), LAG_MIN, LAG_MAX, 0.2)
+    plain = ("variable", "peak_lag", "best_lag")
+    return out(df, *plain, **{c: c for c in df.columns if c not in plain})

@@ -227,6 +227,70 @@ def test_bootstrap_brackets_the_mean(spark):
     assert same.difference == 0 and same.p_value == 1.0
 
 
+def test_an_interval_does_not_depend_on_other_keys(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, 1900 + e, None if c == 1 and e % 5 else float(rng.normal())) for c in (1, 2, 3) for e in range(20)] + [(4, 1900, None)]
+    df = spark.createDataFrame(rows, "cell_id int, event_year int, value double")
+    both = {r.cell_id: r for r in inference.bootstrap_ci(df, ["cell_id"], 150, 5).collect()}
+    alone = inference.bootstrap_ci(df.where("cell_id = 1"), ["cell_id"], 150, 5, cells_a_block=1).first()
+    assert both[1] == alone and both[4].ci_low is None and both[4].mean is None
+    for c in (1, 2):
+        own = [v for k, _, v in rows if k == c and v is not None]
+        means = [np.mean([own[inference.pick(5, i, s, len(own))] for s in range(len(own))]) for i in range(150)]
+        assert (both[c].mean, both[c].ci_low, both[c].ci_high) == pytest.approx((np.mean(own), *np.percentile(means, [5, 95])))
+
+
+def test_differences_against_plain_resampling(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, c, 1950 + e, None if (c + e) % 6 == 0 else float(rng.normal() + 0.4 * s)) for s in (0, 1) for c in range(5) for e in range(9 + s)]
+    rows += [(0, 9, 1950, 1.0), (0, 8, 1950, None), (1, 8, 1951, None)]
+    df = spark.createDataFrame(rows, "side int, cell_id int, event_year int, value double")
+    a, b = (df.where(F.col("side") == s).drop("side") for s in (0, 1))
+    value = {(s, c, e): v for s, c, e, v in rows}
+    mean = lambda s, c, events: np.mean(v) if (v := [value[s, c, e] for e in events if value.get((s, c, e)) is not None]) else math.nan
+    events = [sorted({e for t, _, e, _ in rows if t == s}) for s in (0, 1)]
+    draw = lambda items, seed: [[items[inference.pick(seed, i, k, len(items))] for k in range(len(items))] for i in range(60)]
+    got = {r.cell_id: r for r in inference.bootstrap_difference(a, b, ["cell_id"], 60, 3, 0.7, cells_a_block=2).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 8}  # cell 9 is on one side only
+    assert got[8].excess is None and got[8].p_value == 1.0 and got[8].sd is None
+    for c in range(5):
+        excess = mean(0, c, events[0]) - 0.7 * mean(1, c, events[1])
+        drawn = np.array([mean(0, c, x) - 0.7 * mean(1, c, y) for x, y in zip(draw(events[0], 3), draw(events[1], 4), strict=True)])
+        drawn = drawn[np.isfinite(drawn)]
+        cross = (drawn <= 0).sum() if excess >= 0 else (drawn >= 0).sum()
+        assert (got[c].excess, got[c].p_value, got[c].sd) == pytest.approx((excess, min(1, 2 * (cross + 1) / (len(drawn) + 1)), drawn.std()))
+    got = {r.cell_id: r for r in inference.paired_difference(a, b, ["cell_id"], 60, 3, cells_a_block=2).collect()}
+    common = sorted({e for s, c, e, _ in rows if s == 0 and (1, c, e) in value})
+    for c in range(5):
+        off = {e: value[0, c, e] - value[1, c, e] for e in events[0] if value.get((0, c, e)) is not None and value.get((1, c, e)) is not None}
+        one = lambda items: np.mean(v) if (v := [off[e] for e in items if e in off]) else math.nan  # noqa: B023, E731
+        drawn = np.array([one(x) for x in draw(common, 3)])
+        cross = (drawn <= 0).sum() if one(common) >= 0 else (drawn >= 0).sum()
+        assert (got[c].difference, got[c].n_events, got[c].p_value) == pytest.approx((one(common), len(off), min(1, 2 * (cross + 1) / (np.isfinite(drawn).sum() + 1))))
+
+
+def test_families_have_their_own_thresholds(spark):
+    ps = {"a": (0.01, 0.02, 0.04, 0.5, 0.9, 1.0), "b": (0.3, 0.4, None), None: (0.001,), "c": (None,)}
+    df = spark.createDataFrame([(f, p) for f, own in ps.items() for p in own], "family string, p_value double")
+    got = {(r.family, r.p_value): r for r in inference.fdr_mask(df, by=["family"]).collect()}
+    assert got["a", 0.04].threshold == 0.04 and got["b", 0.3].threshold == 0 and got[None, 0.001].significant and got["c", None].threshold == 0
+    assert sum(r.significant for r in got.values()) == 4 and len(got) == 11
+
+
+def test_cross_correlation_against_plain_shifts(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=40), rng.normal(size=40)
+    y[[3, 4, 17]] = np.nan
+    df = spark.createDataFrame([(1, t, None if np.isnan(v) else float(v)) for t, v in enumerate(y)] + [(2, 5, 1.0), (2, 6, 2.0)], "k int, t int, value double")
+    got = {(r.k, r.lag): r for r in response.cross_correlation(df, ["k"], spark.createDataFrame([(t, float(v)) for t, v in enumerate(x)], "t int, value double"), -3, 5).collect()}
+    ok = ~np.isnan(y)
+    a, b = y[ok], x[ok]
+    for lag in range(-3, 6):
+        p, q = (a[lag:], b[: len(b) - lag]) if lag >= 0 else (a[:lag], b[-lag:])
+        assert got[1, lag].corr == pytest.approx(np.corrcoef(p, q)[0, 1]) and got[1, lag].n == len(p)
+    assert {lag for k, lag in got if k == 2} == {-1, 0, 1}
+
+
 def test_variance_partition(spark):
     rng = np.random.default_rng(1)
     rows = [(c, m, e, float(rng.normal() + (3 * m if c == 1 else 0))) for c in (1, 2) for m in range(4) for e in range(5)]
