@@ -41,9 +41,10 @@ def discover(spark: SparkSession, wanted: dict[str, list[str]], search: Callable
     return flatten(spark.createDataFrame(found, "json string")).dropDuplicates(["file_url"])
 
 
-def availability(manifest: DataFrame, by: tuple[str, ...] = ("sector", "model", "climate_scenario", "soc_scenario", "variable")) -> DataFrame:
-    """(by): number of files and their size in GB."""
-    return manifest.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.round(F.coalesce(F.sum("size"), F.lit(0)) / 1e9, 2).alias("total_gb"))
+def availability(manifest: DataFrame, by: tuple[str, ...] = ("sector", "model", "climate_scenario", "soc_scenario", "variable"), files: str | None = None) -> DataFrame:
+    """(by): number of files and their size in GB. A row is a file, or as many as its column `files` says."""
+    n = F.sum(files) if files else F.count(F.lit(1))
+    return manifest.groupBy(*by).agg(n.alias("n_files"), F.round(F.coalesce(F.sum("size"), F.lit(0)) / 1e9, 2).alias("total_gb"))
 
 
 def gaps(required: DataFrame, manifest: DataFrame, on: list[str]) -> DataFrame:
