@@ -23,6 +23,9 @@ from lagwise.operators.epochs import small
 #: Draws that a task of mc_test_blocked works on at once.
 DRAWS = 512
 
+#: Means within this share of a cell's largest value are equal: the order of a sum must not decide a p value.
+TIE = 1e-12
+
 
 def digest(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
@@ -39,7 +42,7 @@ def mc_test(pool: DataFrame, keys: list[str], events: DataFrame, neutral: DataFr
     """(keys): composite over the events, p_value, null_mean, null_std (population), n_events, n_iterations.
 
     The null distribution is of means over as many neutral anchors, drawn without replacement. p = (ge + 1) / (n + 1),
-    ge counting draws at least as far from zero as the composite; a cell without any value has p = 1.
+    ge counting draws at least as far from zero as the composite, up to rounding (TIE); a cell without any value has p = 1.
     """
     n = events.select(column).distinct().join(pool.select(column).distinct(), column, "left_semi").count()
     if not n:
@@ -48,11 +51,11 @@ def mc_test(pool: DataFrame, keys: list[str], events: DataFrame, neutral: DataFr
         raise ValueError("fewer neutral anchors than events")
     chosen = events.select(column).distinct().withColumn("_event", F.lit(True))
     observed = pool.join(small(chosen), column, "left_semi").groupBy(*keys).agg(F.avg("value").alias("composite"))
-    observed = pool.select(*keys).distinct().join(observed, keys, "left")
+    observed = pool.groupBy(*keys).agg(F.max(F.abs("value")).alias("_top")).join(observed, keys, "left")
     draws = draws_without_replacement(neutral, n, iterations, seed, column)
     null = pool.join(draws, column).groupBy(*keys, "iteration").agg(F.avg("value").alias("null"))
     both = observed.join(null, keys, "left")
-    far = F.count_if(F.abs("null") >= F.abs("composite"))
+    far = F.count_if(F.abs("null") >= F.abs("composite") - TIE * F.col("_top"))
     valid = F.count("null")
     return both.groupBy(*keys).agg(
         F.first("composite").alias("composite"), ((far + 1) / (valid + 1)).alias("p_value"), F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_std")
@@ -106,12 +109,13 @@ def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral
 
         v, m = block(events)
         observed = mean(v.sum(0), m.sum(0))
+        slack = _slack(values, cell, len(cells))
         v, m = block(neutral)
         parts = [draws[i : i + DRAWS] for i in range(0, iterations, DRAWS)]
         far, count, total, squares = (np.zeros(len(cells)) for _ in range(4))
         for d in parts:
             null = mean(d @ v, d @ m)
-            far += (np.abs(null) >= np.abs(observed)).sum(0)
+            far += (np.abs(null) >= np.abs(observed) - slack).sum(0)
             count += np.isfinite(null).sum(0)
             total += np.nansum(null, 0)
         centre = mean(total, count)
@@ -191,13 +195,20 @@ def _means(value: np.ndarray, cell: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return np.divide(np.bincount(cell[ok], value[ok], n), count, out=np.full(n, np.nan), where=count > 0), count
 
 
-def _two_sided(observed: np.ndarray, draws: Iterator[np.ndarray]) -> dict[str, np.ndarray]:
+def _slack(value: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
+    """What counts as zero in each cell: TIE of its largest value."""
+    out = np.zeros(n)
+    np.maximum.at(out, cell, np.nan_to_num(np.abs(value)) * TIE)
+    return out
+
+
+def _two_sided(observed: np.ndarray, draws: Iterator[np.ndarray], slack: np.ndarray) -> dict[str, np.ndarray]:
     """p = 2 (cross + 1) / (n + 1), at most 1, cross counting draws at zero or on its other side from what was observed; and the draws' deviation."""
     n, cross, total, squares = (np.zeros(len(observed)) for _ in range(4))
     for d in draws:
         ok = np.isfinite(d)
         n += ok.sum(0)
-        cross += (ok & np.where(observed >= 0, d <= 0, d >= 0)).sum(0)
+        cross += (ok & np.where(observed >= -slack, d <= slack, d >= -slack)).sum(0)
         off = np.where(ok, d - observed, 0)  # from what was observed, which the draws lie around: no digits are lost to their mean
         total += off.sum(0)
         squares += (off * off).sum(0)
@@ -227,7 +238,7 @@ def bootstrap_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations
             means.append(_means(value, of, n)[0])
             draws.append(_drawn(weights(len(items), iterations, seed + k), value, of, row, n))
         excess = means[0] - scale * means[1]
-        return {"excess": excess, **_two_sided(excess, (x - scale * y for x, y in zip(*draws, strict=True))), "_both": there[0] & there[1]}
+        return {"excess": excess, **_two_sided(excess, (x - scale * y for x, y in zip(*draws, strict=True)), _slack(frame["value"].to_numpy(float), cell, n)), "_both": there[0] & there[1]}
 
     fields = {"excess": "double", "p_value": "double", "sd": "double", "_both": "boolean"}
     return in_blocks(both, keys, cells_a_block, work, fields).where("_both").drop("_both")
@@ -244,7 +255,7 @@ def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: i
         value = frame["value"].to_numpy(float)
         mean, count = _means(value, cell, n)
         draws = _drawn(weights(len(items), iterations, seed), value, cell, np.array([at[e] for e in frame[event]], int), n)
-        return {"difference": mean, "n_events": count, **_two_sided(mean, draws)}
+        return {"difference": mean, "n_events": count, **_two_sided(mean, draws, _slack(value, cell, n))}
 
     return in_blocks(pairs, keys, cells_a_block, work, {"difference": "double", "n_events": "long", "p_value": "double", "sd": "double"})
 

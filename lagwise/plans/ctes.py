@@ -134,7 +134,7 @@ CTES: dict[str, str] = {
     "draws": f"SELECT i AS iteration, anchor_t FROM (SELECT i, anchor_t, row_number() OVER (PARTITION BY i ORDER BY md5('{SEED}:' || i || ':' || anchor_t)) AS k FROM neutral CROSS JOIN range({ITERATIONS}) r(i)) WHERE k <= (SELECT n FROM n_events)",
     "observed": "SELECT cell_id, avg(value) AS composite FROM pool WHERE anchor_t IN (SELECT anchor_t FROM warm_t) GROUP BY ALL",
     "nulls": "SELECT cell_id, iteration, avg(value) AS null_value FROM pool JOIN draws USING (anchor_t) GROUP BY ALL",
-    "mc": "SELECT c.cell_id, any_value(composite) AS composite, (count(*) FILTER (abs(null_value) >= abs(composite)) + 1) / (count(null_value) + 1) AS p_value, avg(null_value) AS null_mean, stddev_pop(null_value) AS null_std FROM (SELECT DISTINCT cell_id FROM pool) c LEFT JOIN observed o USING (cell_id) LEFT JOIN nulls n USING (cell_id) GROUP BY c.cell_id",
+    "mc": "SELECT c.cell_id, any_value(composite) AS composite, (count(*) FILTER (abs(null_value) >= abs(composite) - 1e-12 * top) + 1) / (count(null_value) + 1) AS p_value, avg(null_value) AS null_mean, stddev_pop(null_value) AS null_std FROM (SELECT cell_id, max(abs(value)) AS top FROM pool GROUP BY cell_id) c LEFT JOIN observed o USING (cell_id) LEFT JOIN nulls n USING (cell_id) GROUP BY c.cell_id",
     "bh": "SELECT coalesce(max(CASE WHEN p <= 0.1 * i / n THEN p END), 0) AS threshold FROM (SELECT p_value AS p, count(*) OVER (ORDER BY p_value) AS i, count(*) OVER () AS n FROM mc WHERE p_value IS NOT NULL)",
     "masked": "SELECT mc.*, threshold, p_value <= threshold AND threshold > 0 AS significant FROM mc CROSS JOIN bh",
     "ens": "SELECT cell_id, model, avg(value) AS value FROM mresp GROUP BY ALL",

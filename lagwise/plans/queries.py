@@ -391,7 +391,7 @@ def member_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 ctes.CTES["mpool"] = "SELECT n.t AS anchor_t, a.cell_id, a.model, avg(a.value) AS value FROM cal n JOIN manom a ON a.t BETWEEN n.t AND n.t + 2 GROUP BY ALL"
-ctes.CTES["mmc"] = "SELECT c.cell_id, c.model, any_value(composite) AS composite, (count(*) FILTER (abs(null_value) >= abs(composite)) + 1) / (count(null_value) + 1) AS p_value FROM (SELECT DISTINCT cell_id, model FROM mpool) c LEFT JOIN (SELECT cell_id, model, avg(value) AS composite FROM mpool WHERE anchor_t IN (SELECT anchor_t FROM warm_t) GROUP BY ALL) o USING (cell_id, model) LEFT JOIN (SELECT cell_id, model, iteration, avg(value) AS null_value FROM mpool JOIN draws USING (anchor_t) GROUP BY ALL) n USING (cell_id, model) GROUP BY c.cell_id, c.model"
+ctes.CTES["mmc"] = "SELECT c.cell_id, c.model, any_value(composite) AS composite, (count(*) FILTER (abs(null_value) >= abs(composite) - 1e-12 * top) + 1) / (count(null_value) + 1) AS p_value FROM (SELECT cell_id, model, max(abs(value)) AS top FROM mpool GROUP BY ALL) c LEFT JOIN (SELECT cell_id, model, avg(value) AS composite FROM mpool WHERE anchor_t IN (SELECT anchor_t FROM warm_t) GROUP BY ALL) o USING (cell_id, model) LEFT JOIN (SELECT cell_id, model, iteration, avg(value) AS null_value FROM mpool JOIN draws USING (anchor_t) GROUP BY ALL) n USING (cell_id, model) GROUP BY c.cell_id, c.model"
 
 
 @query(
@@ -449,7 +449,7 @@ def _interval(items: str) -> str:
     return f"SELECT a.cell_id, a.mean, lo, hi FROM (SELECT cell_id, avg(value) AS mean FROM {items} GROUP BY ALL) a LEFT JOIN (SELECT cell_id, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM ({drawn}) GROUP BY cell_id) b ON a.cell_id = b.cell_id"
 
 
-_TWO_SIDED = "least(1.0, 2.0 * (count(*) FILTER (CASE WHEN obs >= 0 THEN draw <= 0 ELSE draw >= 0 END) + 1) / (count(draw) + 1))"
+_TWO_SIDED = "least(1.0, 2.0 * (count(*) FILTER (CASE WHEN obs >= -1e-12 THEN draw <= 1e-12 ELSE draw >= -1e-12 END) + 1) / (count(draw) + 1))"
 
 
 _EXCESS = f"SELECT cell_id, obs AS excess, {_TWO_SIDED} AS p_value, stddev_pop(draw) AS sd FROM (SELECT a.cell_id, a.m - 0.5 * b.m AS draw, o.obs FROM ({_boot('resp', SEED)}) a JOIN ({_boot('cresp', SEED + 1)}) b ON a.cell_id = b.cell_id AND a.iteration = b.iteration JOIN (SELECT x.cell_id, x.v - 0.5 * y.v AS obs FROM (SELECT cell_id, avg(value) AS v FROM resp GROUP BY ALL) x JOIN (SELECT cell_id, avg(value) AS v FROM cresp GROUP BY ALL) y ON x.cell_id = y.cell_id) o ON o.cell_id = a.cell_id) GROUP BY cell_id, obs"
