@@ -1,22 +1,9 @@
-"""Special functions in numpy: digamma, the regularised lower incomplete gamma function, gamma fits, normal quantiles."""
+"""Special functions in numpy: digamma, the regularised lower incomplete gamma function, gamma fits."""
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 
-_NORMAL = NormalDist()
-
-
-def normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Inverse of the standard normal distribution function; NaN outside (0, 1)."""
-    p = np.asarray(p, float)
-    out = np.full(p.shape, np.nan)
-    ok = (p > 0) & (p < 1)
-    out[ok] = [_NORMAL.inv_cdf(x) for x in p[ok]]
-    return out
-
 
 def _shifted(x: np.ndarray, term) -> tuple[np.ndarray, np.ndarray]:
     """x raised by whole steps to at least 8, and the sum of term() over the steps."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lagwise.functions import numeric
+from lagwise.functions.special import normal_quantile
 from lagwise.model import by_month, in_time
 
 
@@ -106,11 +107,6 @@ def plotting_position(df: DataFrame, keys: list[str], least: int = 10) -> DataFr
     return df.withColumn("p", F.when(F.col("value").isNotNull() & (n >= least), (rank - 0.44) / (n + 0.12)))
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return pd.Series(numeric.normal_quantile(p.to_numpy(float)))
-
-
 def empirical_index(df: DataFrame, keys: list[str], scale: int = 1, least: int = 10) -> DataFrame:
     """Standard normal scores of plotting positions."""
     out = plotting_position(accumulate(df, keys, scale), keys, least)
@@ -118,7 +114,7 @@ def empirical_index(df: DataFrame, keys: list[str], scale: int = 1, least: int =
 
 
 @F.pandas_udf(DoubleType())
-def _gamma_scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+def _gamma_shares(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for value, mean, mean_log, zeros in batches:
         x, m, ml, q = (s.to_numpy(float) for s in (value, mean, mean_log, zeros))
         out = np.full(len(x), np.nan)
@@ -127,15 +123,15 @@ def _gamma_scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Serie
             # The fit depends on the month's statistics alone: one for each distinct pair, however many rows share it.
             stats, back = np.unique(np.stack([m[ok], ml[ok]], 1), axis=0, return_inverse=True)
             shape = numeric.gamma_shape(stats[:, 0], stats[:, 1])[back.reshape(-1)]
-            p = np.where(x[ok] > 0, q[ok] + (1 - q[ok]) * numeric.gamma_cdf(shape, np.maximum(x[ok], 0) * shape / m[ok]), q[ok])
-            out[ok] = numeric.normal_quantile(np.clip(p, 1e-6, 1 - 1e-6))
+            out[ok] = np.where(x[ok] > 0, q[ok] + (1 - q[ok]) * numeric.gamma_cdf(shape, np.maximum(x[ok], 0) * shape / m[ok]), q[ok])
         yield pd.Series(out)
 
 
 def gamma_index(df: DataFrame, keys: list[str], scale: int = 1, least: int = 10, least_positive: int = 5) -> DataFrame:
     """Normal scores under a gamma distribution of the positive values of each month; zeros score at their own share.
 
-    The sufficient statistics (mean and mean logarithm) come from window aggregates; Python only solves for the shape.
+    The sufficient statistics (mean and mean logarithm) come from window aggregates; Python only solves for the shape and
+    the distribution function, the score is a column expression.
     Null under `least` values, under `least_positive` positive ones, or where all positive values are alike.
     """
     df = accumulate(df, keys, scale)
@@ -147,9 +143,9 @@ def gamma_index(df: DataFrame, keys: list[str], scale: int = 1, least: int = 10,
     })
     fits = (F.col("_n") >= least) & (F.col("_k") >= least_positive) & (F.col("_hi") - F.col("_lo") > 1e-8 + 1e-5 * F.abs("_lo"))
     zeros = 1 - F.col("_k") / F.when(F.col("_n") > 0, F.col("_n"))
-    score = _gamma_scores("value", F.when(fits, F.col("_mean")), F.when(fits, F.col("_log")), zeros)
-    out = out.withColumn("value", score)
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).drop("_n", "_k", "_mean", "_log", "_lo", "_hi")
+    p = _gamma_shares("value", F.when(fits, F.col("_mean")), F.when(fits, F.col("_log")), zeros)
+    out = out.withColumn("_p", p).withColumn("_p", F.when(F.col("_p").isNotNull() & ~F.isnan("_p"), F.greatest(F.least(F.col("_p"), F.lit(1 - 1e-6)), F.lit(1e-6))))
+    return out.withColumn("value", normal_quantile("_p")).drop("_n", "_k", "_mean", "_log", "_lo", "_hi", "_p")
 
 
 def standardized_index(df: DataFrame, keys: list[str], scale: int = 1, distribution: str = "gamma", least: int = 10) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.operators.epochs import small
 from lagwise.operators.inference import bootstrap_ci
+from lagwise.sources.scratch import fresh
 
 
 def weighted_mean(value: Column | str = "value", weight: Column | str = "area") -> Column:
@@ -51,29 +54,49 @@ def regions_of_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.where(F.col("n") % 2 == 1).groupBy("cell_id").agg(F.min("region").alias("region"))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, point: str, step: float, rings: int = 1) -> DataFrame:
-    """(point, cell_id): the nearest cell of a grid of `step` degrees, ties to the least id; null where none is near.
-
-    Points and cells are dealt into tiles of the step's size and each point looks into its own and `rings` rings around it: an
-    equi-join instead of all distances. One ring is right for a full grid; points off a grid with holes, such as land
-    alone, need as many rings as the widest hole has tiles, and keep a row without a cell beyond that.
-    """
-    tile = lambda c: F.floor(F.col(c) / step).cast("int")
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)])).alias("d")
-    p = points.select(point, F.col("lat").alias("plat"), F.col("lon").alias("plon"), tile("lat").alias("i"), tile("lon").alias("j"), around)
+def _near(points: DataFrame, cells: DataFrame, point: str, size: float) -> DataFrame:
+    """Each point with the nearest cell of its tile of `size` degrees and of the eight around it, and the squared distance."""
+    tile = lambda c: F.floor(F.col(c) / size).cast("int")
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
+    p = points.select(point, "plat", "plon", tile("plat").alias("i"), tile("plon").alias("j"), around)
     p = p.select(point, "plat", "plon", (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j"))
     c = cells.select("cell_id", "lat", "lon", tile("lat").alias("i"), tile("lon").alias("j"))
     gap = (F.col("plat") - F.col("lat")) * (F.col("plat") - F.col("lat")) + (F.col("plon") - F.col("lon")) * (F.col("plon") - F.col("lon"))
-    near = F.when(F.col("cell_id").isNotNull(), F.struct(gap, F.col("cell_id")))
-    return p.join(c, ["i", "j"], "left").groupBy(point).agg(F.min_by("cell_id", near).alias("cell_id"))
+    best = F.when(F.col("cell_id").isNotNull(), F.struct(gap.alias("gap"), F.col("cell_id").alias("cell_id")))
+    return p.join(c, ["i", "j"], "left").groupBy(point, "plat", "plon").agg(F.min(best).alias("_best")).select(point, "plat", "plon", "_best.gap", "_best.cell_id")
 
 
-def regions_of_raster(raster: DataFrame, cells: DataFrame, step: float, rings: int = 1) -> DataFrame:
-    """(cell_id, region): the region of the nearest raster point; NaN and null mean none, and so does no raster point near."""
+def nearest_cell(points: DataFrame, cells: DataFrame, point: str, step: float) -> DataFrame:
+    """(point, cell_id): the nearest cell in degrees of latitude and longitude, ties to the least id; null only without place or cells.
+
+    Points and cells are dealt into tiles of `step` degrees, the grid's, and each point looks into its own and the eight around it: an
+    equi-join instead of all distances. That settles a point whose nearest cell is within a step. On a grid with holes, such as land
+    alone, the others look again, in tiles twice as wide, and so on until none is open: a point at a distance of d steps is settled after
+    log2(d) rounds, and a round holds the open points only. What is open is written to the shared folder between rounds.
+    """
+    spark = points.sparkSession
+    todo = points.select(point, F.col("lat").cast("double").alias("plat"), F.col("lon").cast("double").alias("plon"))
+    placed = F.col("plat").isNotNull() & F.col("plon").isNotNull()
+    done, size = [], float(step)
+    while True:
+        path = fresh(spark, "nearest")
+        found = _near(todo, cells, point, size)
+        found.write.parquet(path)
+        found = spark.read.schema(found.schema).parquet(path)
+        last = size >= 720  # tiles as wide as the earth: everything was looked at
+        is_open = placed & (F.col("gap").isNull() | (F.col("gap") > size * size)) & F.lit(not last)
+        done.append(found.where(~is_open).select(point, "cell_id"))
+        todo, size = found.where(is_open).select(point, "plat", "plon"), 2 * size
+        if last or not todo.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+
+
+def regions_of_raster(raster: DataFrame, cells: DataFrame, step: float) -> DataFrame:
+    """(cell_id, region): the region of the nearest raster point; NaN and null mean none."""
     points = cells.select(F.col("cell_id").alias("point"), "lat", "lon")
     raster = raster.withColumn("cell_id", F.xxhash64("lat", "lon"))
     region = F.when(~F.isnan(F.col("region").cast("double")), F.col("region").cast("int"))
-    found = nearest_cell(points, raster, "point", step, rings).join(raster.select("cell_id", region.alias("region")), "cell_id", "left")
+    found = nearest_cell(points, raster, "point", step).join(raster.select("cell_id", region.alias("region")), "cell_id", "left")
     return found.select(F.col("point").alias("cell_id"), "region")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from lagwise.functions.special import CENTRE, SIDES
 from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, OFFSET, SEED, THRESHOLD, WINDOW
 
 _CLASS = "CASE " + " ".join(f"WHEN abs(peak) >= {lo} AND abs(peak) < {'1e300' if hi == float('inf') else hi} THEN '{k}'" for k, (lo, hi) in CLASSES.items()) + " ELSE 'none' END"
@@ -14,17 +15,6 @@ def fixed(x: str, digits: int = 6) -> str:
     return f"floor(({x}) * {10**digits} + {OFFSET}) / {float(10**digits)}"
 
 
-# The coefficients of the published algorithm AS 241 for the normal quantile, highest power first, for the centre and the sides.
-_CENTRE = (
-    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080),
-    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
-)
-_SIDES = (
-    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258, 3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
-    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0),
-)
-
-
 def normal_quantile(p: str) -> str:
     """The standard normal quantile of p, for p from about 1e-11 to 1 less that."""
     def ratio(parts: tuple, x: str) -> str:
@@ -38,7 +28,7 @@ def normal_quantile(p: str) -> str:
 
     q = f"(({p})::DOUBLE - 0.5::DOUBLE)"
     tail = f"(sqrt(-ln(least(({p})::DOUBLE, 1 - ({p})::DOUBLE))) - 1.6::DOUBLE)"
-    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(_CENTRE, f'(0.180625::DOUBLE - {q} * {q})')} ELSE sign({q}) * {ratio(_SIDES, tail)} END"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(CENTRE, f'(0.180625::DOUBLE - {q} * {q})')} ELSE sign({q}) * {ratio(SIDES, tail)} END"
 
 
 def filled(keys: str, source: str) -> str:

@@ -13,6 +13,7 @@ from lagwise.operators import climatology, epochs, evaluation, events, extremes,
 from lagwise.plans import ctes
 from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, SEASONS, SEED, THRESHOLD, WINDOW, cells, field, fixed, monthly, orders, table, variables
 from lagwise.sources import fields, manifest
+from lagwise.sources.scratch import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,6 +346,21 @@ def seasonal(spark: SparkSession, d: str) -> DataFrame:
     return epochs.season_means(epochs.epochs(anom(spark, d), found, LAG_MIN, LAG_MAX), CELL, calendar.season_table(spark, SEASONS))
 
 
+def stored(spark: SparkSession, d: str, buckets: int = 8) -> DataFrame:
+    """The field as a table bucketed by cell, in the shared folder."""
+    return fields.write_store(field(spark, d), fresh(spark, "store"), buckets)
+
+
+def stored_composite(spark: SparkSession, store: DataFrame, d: str) -> DataFrame:
+    series = climatology.anomalies(store, CELL, "standardized", "moving", WINDOW, MIN_YEARS)
+    return epochs.composite(epochs.epochs(series, anchors(event_table(spark, d, "warm")), LAG_MIN, LAG_MAX), CELL)
+
+
+@query("q16e_composite_from_store", f"SELECT cell_id, lag, {s6('value')} AS value, n_events FROM comp")
+def composite_from_store(spark: SparkSession, d: str) -> DataFrame:
+    return out(stored_composite(spark, stored(spark, d), d), "cell_id", "lag", "n_events", value="value")
+
+
 @query("q17_season_means", f"SELECT cell_id, event_year::INT AS event_year, season, {s6('value')} AS value FROM sched")
 def season_means(spark: SparkSession, d: str) -> DataFrame:
     return out(seasonal(spark, d), "cell_id", "event_year", "season", value="value")
@@ -846,11 +862,21 @@ def pattern_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return out(evaluation.pattern_comparison(a, b, CELL, [], 10), "n", r="r", std_ratio="std_ratio", sign_agreement="sign_agreement")
 
 
-@query("q44b_bilinear", f"SELECT k AS point, {s6('2 * (-10.0 + 0.37 * k) - (5.0 + 0.21 * k)')} AS value FROM range(40) r(k)")
+_NODES = "SELECT c_nationkey AS i, c_custkey % 10 AS j, sum(round(c_acctbal * 100)::BIGINT) / count(*) / 100 AS v FROM customer GROUP BY ALL"
+_PLACES = "SELECT s_suppkey AS point, 24 * (s_suppkey * 37 % 101) / 101.0::DOUBLE AS y, 9 * (s_suppkey * 53 % 97) / 97.0::DOUBLE AS x FROM supplier"
+
+
+@query(
+    "q44b_bilinear",
+    f"SELECT point, CASE WHEN count(*) FILTER (v IS NULL) = 0 THEN {s4('sum(w * v)')} END AS value FROM (SELECT point, w, v FROM (SELECT point, floor(y)::BIGINT + a AS i, floor(x)::BIGINT + b AS j, (CASE a WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE b WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM ({_PLACES}) CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(a, b)) LEFT JOIN ({_NODES}) USING (i, j) WHERE w > 0) GROUP BY point",
+)
 def bilinear(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.range(-20, 20).select(F.col("id").cast("double").alias("lat")).crossJoin(spark.range(0, 30).select(F.col("id").cast("double").alias("lon"))).withColumn("value", 2 * F.col("lat") - F.col("lon"))
-    points = spark.range(40).select(F.col("id").alias("point"), (-10.0 + 0.37 * F.col("id")).alias("lat"), (5.0 + 0.21 * F.col("id")).alias("lon"))
-    return out(evaluation.bilinear(points, grid, "point", 1.0), "point", value="value")
+    """The mean balance of customers on a grid of nations and key groups, at every supplier's place in it."""
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("double").alias("lat"), (F.col("c_custkey") % 10).cast("double").alias("lon"))
+    grid = c.agg((F.sum(F.round(F.col("c_acctbal") * 100).cast("long")) / F.count(F.lit(1)) / 100).alias("value"))
+    key = F.col("s_suppkey")
+    points = table(spark, d, "supplier").select(key.alias("point"), (24 * (key * 37 % 101) / 101.0).alias("lat"), (9 * (key * 53 % 97) / 97.0).alias("lon"))
+    return evaluation.bilinear(points, grid, "point", 1.0).select("point", r4("value").alias("value"))
 
 
 _FC = "SELECT cell_id, scenario, lag, avg(value) AS v FROM sepoch GROUP BY ALL"
@@ -903,6 +929,14 @@ def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
     return out(fields.ensemble_mean(anom(spark, d, "model"), CELL), "cell_id", "t", value="value")
 
 
+@query("q48b_member_alignment", f"SELECT c.cell_id, t.t::INT AS t, m.scenario, {s4('s.value')} AS value FROM (SELECT DISTINCT cell_id FROM fs) c CROSS JOIN (SELECT DISTINCT t FROM fs) t CROSS JOIN (VALUES ('F'), ('O'), ('P')) m(scenario) LEFT JOIN fs s ON s.cell_id = c.cell_id AND s.t = t.t AND s.scenario = m.scenario")
+def member_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Three scenarios of unequal months and cells, on the union of their axes."""
+    each = orders(spark, d).groupBy("cell_id", "scenario", "t").agg((F.sum("cents") / F.count("cents") / 100).alias("value"))
+    members = {m: each.where(F.col("scenario") == m) for m in ("F", "O", "P")}
+    return fields.align(members, CELL, "scenario").select("cell_id", "t", "scenario", r4("value").alias("value"))
+
+
 @query("q49_value_histogram", "SELECT floor(value / 0.5)::BIGINT AS bin, count(*) AS n FROM anom WHERE value IS NOT NULL GROUP BY 1")
 def value_histogram(spark: SparkSession, d: str) -> DataFrame:
     return anom(spark, d).where("value is not null").groupBy(F.floor(F.col("value") / 0.5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.model import clean
+from lagwise.operators.epochs import small
 from lagwise.sources.sinks import provenance, write_json
 
 # The ten parts of a field file's name, in order.
@@ -73,6 +75,40 @@ def write_field(df: DataFrame, root: str, partitions: tuple[str, ...] = ("variab
         write_json(df.sparkSession, f"{root}/_provenance.json", provenance(step, settings or {}))
 
 
+def write_store(df: DataFrame, path: str, buckets: int) -> DataFrame:
+    """A field as a table bucketed by cell_id and sorted by month within: opened as open_store() does.
+
+    Climatologies, detrending, epochs and composites all work cell by cell. Over a store they take its buckets as they are, and the field
+    is not exchanged again, however many of them run. buckets: some 100 to 200 MB of the field each.
+    """
+    df = df.withColumn("value", F.col("value").cast("double"))
+    name = f"store_{uuid.uuid4().hex}"
+    df.repartition(buckets, "cell_id").write.mode("overwrite").option("path", path).bucketBy(buckets, "cell_id").sortBy("t").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_store(spark: SparkSession, path: str, schema: str, buckets: int) -> DataFrame:
+    """A store written before, by this session or another; schema as of its columns. Its table is named in this session alone."""
+    name = f"store_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (cell_id) SORTED BY (t) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def align(members: dict[str, DataFrame], keys: list[str], member: str = "model") -> DataFrame:
+    """(keys, t, member, value): every member on the union of all members' axes, null where it has nothing.
+
+    Members may lack cells or months that others have: their rows meet by full outer joins on (keys, t), and cells and months that no member
+    has together are filled in, as of a dense array. df of a member has (keys, t, value).
+    """
+    wide = None
+    for k, (_, df) in enumerate(members.items()):
+        one = df.select(*keys, "t", F.col("value").cast("double").alias(f"_m{k}"))
+        wide = one if wide is None else wide.join(one, [*keys, "t"], "full")
+    every = wide.select(*keys).distinct().crossJoin(small(wide.select("t").distinct()))
+    names = [F.struct(F.lit(name).alias(member), F.col(f"_m{k}").alias("value")) for k, name in enumerate(members)]
+    return every.join(wide, [*keys, "t"], "left").select(*keys, "t", F.explode(F.array(*names)).alias("_e")).select(*keys, "t", "_e.*")
+
+
 def ensemble_mean(df: DataFrame, keys: list[str]) -> DataFrame:
     """Members averaged for each key and month; months that a member lacks are averaged over the others."""
     return df.groupBy(*keys, "t", "year", "month").agg(F.avg("value").alias("value"))

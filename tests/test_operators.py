@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lagwise.functions import calendar, numeric, units
+from lagwise.functions import calendar, numeric, special, units
 from lagwise.model import clean, complete, month_of
-from lagwise.operators import climatology, epochs, evaluation, events, extremes, index, inference, regions, response
+from lagwise.operators import climatology, epochs, evaluation, events, extremes, index, inference, regions, response, tables
 
 
 def series(spark, values, start=1950 * 12, **keys):
@@ -423,8 +423,42 @@ def test_hinge_draws_need_items_beyond_both_knots(spark):
     assert (h.b0, h.slope, h.excess) == pytest.approx((1, 1, 0)) and h.n == 10  # complete cells are fitted whatever their number of items
 
 
-def test_points_without_a_cell_near_keep_their_row(spark):
-    cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 5.0)], "cell_id int, lat double, lon double")
-    points = spark.createDataFrame([("a", 0.2, 0.1), ("b", 0.0, 2.9), ("c", 40.0, 40.0)], "station string, lat double, lon double")
-    assert values(regions.nearest_cell(points, cells, "station", 1.0), "station", "cell_id") == [("a", 1), ("b", None), ("c", None)]
-    assert values(regions.nearest_cell(points, cells, "station", 1.0, rings=3), "station", "cell_id") == [("a", 1), ("b", 2), ("c", None)]
+def test_the_nearest_cell_is_found_however_far_it_is(spark):
+    rng = np.random.default_rng(9)
+    # Land alone: two islands on a grid of 2 degrees, and points all over, some without a place.
+    cells = [(k, float(lat), float(lon)) for k, (lat, lon) in enumerate([(a, b) for a in range(-60, -40, 2) for b in range(-170, -150, 2)] + [(a, b) for a in range(50, 60, 2) for b in range(100, 140, 2)])]
+    points = [(k, float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for k in range(120)] + [(200, -41.0, -151.0), (201, None, 3.0)]
+    got = regions.nearest_cell(spark.createDataFrame(points, "station int, lat double, lon double"), spark.createDataFrame(cells, "cell_id int, lat double, lon double"), "station", 2.0)
+    want = {k: None if lat is None else min(cells, key=lambda c: ((lat - c[1]) ** 2 + (lon - c[2]) ** 2, c[0]))[0] for k, lat, lon in points}  # noqa: B023
+    assert {r.station: r.cell_id for r in got.collect()} == want and got.count() == len(points)
+    nothing = regions.nearest_cell(spark.createDataFrame(points[:2], "station int, lat double, lon double"), spark.createDataFrame([], "cell_id int, lat double, lon double"), "station", 90.0)
+    assert [r.cell_id for r in nothing.collect()] == [None, None]
+
+
+def test_normal_quantile_as_a_column(spark):
+    from statistics import NormalDist
+
+    p = [1e-30, 1e-12, 1e-6, 0.01, 0.074, 0.076, 0.3, 0.5, 0.77, 0.925, 0.99, 1 - 1e-9]
+    got = spark.createDataFrame([(x,) for x in [*p, 0.0, 1.0, -1.0, None]], "p double").select("p", special.normal_quantile("p").alias("z")).collect()
+    assert [r.z for r in got[: len(p)]] == pytest.approx([NormalDist().inv_cdf(x) for x in p], rel=1e-13)
+    assert [r.z for r in got[len(p) :]] == [None] * 4
+
+
+def test_yearly_responses_take_the_index_after_each_anchor(spark):
+    x = np.arange(40 * 12, dtype=float)
+    field, index_ = series(spark, x, k=1), series(spark, 1000 + x).select("t", "value")
+    got = tables.yearly_responses(field, ["k"], calendar.season_table(spark, ["DJF01"]), index_, -3, 6)
+    rows = {r.anchor_t: r for r in got.collect()}
+    assert sorted(rows) == [y * 12 + 11 for y in range(1952, 1987)]  # two years after the first, three before the last
+    for t, r in rows.items():
+        assert r.value == t + 1 - 1950 * 12 and r["index"] == 1000 + t + 1 - 1950 * 12
+    assert tables.yearly_responses(field, ["k"], calendar.season_table(spark, ["DJF01"]), index_, -3, 6, least=36).count() == 0
+
+
+def test_nonlinearity_table_counts_by_family(spark):
+    excess = spark.createDataFrame([("a", "s", 1, 1.0, 0.001), ("a", "s", 2, -1.0, 0.9), ("a", "s", 3, None, None), ("b", "s", 1, 2.0, 0.06), ("b", "s", 2, 1.0, 0.9)], "variable string, season string, cell_id int, excess double, p_value double")
+    hinge = spark.createDataFrame([("a", "s", 1, 0.5, 0.1, True, 0.01), ("a", "s", 4, 1.5, 0.3, False, 0.5), ("a", "s", 2, None, None, None, None)], "variable string, season string, cell_id int, ratio double, excess_frac double, steepening boolean, p_value double")
+    got = {r.variable: r for r in tables.nonlinearity_table(excess, hinge, ["cell_id"], ["variable", "season"], ["variable"], 1.5).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.mean_excess, a.mean_abs_excess, a.frac_significant, a.frac_amplified, a.frac_steepening, a.frac_hinge_significant, a.median_ratio, a.scaling_factor) == (0, 1, 0.25, 1.0, 0.5, 0.25, 1.0, 1.5)
+    assert a.median_excess_frac == pytest.approx(0.2) and b.frac_significant == 0 and b.frac_amplified is None and b.median_ratio is None

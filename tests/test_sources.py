@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lagwise.operators import climatology
 from lagwise.sources import config, fields, manifest, series, sinks
 
 
@@ -123,3 +124,25 @@ def test_settings(tmp_path):
     (tmp_path / "base.json").write_text('{"_base": "top.json"}')
     with pytest.raises(ValueError):
         config.load(tmp_path / "top.json")
+
+
+def test_a_store_is_not_exchanged_again(spark, tmp_path):
+    rows = [(c, y * 12 + m, y, m + 1, float(c + y + m)) for c in range(6) for y in range(1990, 1996) for m in range(12)]
+    df = spark.createDataFrame(rows, "cell_id int, t int, year int, month int, value double")
+    path = str(tmp_path / "store")
+    fields.write_store(df, path, 4)
+    store = fields.open_store(spark, path, "cell_id int, t int, year int, month int, value double", 4)
+    assert sorted(map(tuple, store.collect())) == sorted(rows)
+    anomaly = climatology.fixed_climatology(store, ["cell_id"])
+    lines = climatology.linear_detrend(climatology.moving_climatology(store, ["cell_id"], 3, 2), ["cell_id"]).groupBy("cell_id", "month").agg(F.avg("value").alias("value"))
+    for out in (anomaly, lines):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in climatology.fixed_climatology(df, ["cell_id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_align_on_the_union_of_their_axes(spark):
+    one = lambda rows: spark.createDataFrame(rows, "cell_id int, t int, value double")
+    got = fields.align({"a": one([(1, 0, 1.0), (1, 1, 2.0)]), "b": one([(1, 1, 3.0), (2, 5, 4.0)]), "c": one([])}, ["cell_id"])
+    rows = {(r.cell_id, r.t, r.model): r.value for r in got.collect()}
+    assert len(rows) == got.count() == 2 * 3 * 3
+    assert {k: v for k, v in rows.items() if v is not None} == {(1, 0, "a"): 1.0, (1, 1, "a"): 2.0, (1, 1, "b"): 3.0, (2, 5, "b"): 4.0}
