@@ -164,8 +164,8 @@ def mine(
     """
     rows = df.select(F.col(id).cast("long").alias("_id"), F.col(label).cast("long").alias("_label"), F.col(vector).alias("_v"), (F.coalesce(is_anchor, F.lit(False)) & F.col(id).isNotNull()).alias("_is"))
     rows = rows.where(F.col("_label").isNotNull() & usable(F.col("_v")))
-    nq, nc = blocks(rows, rows.where("_is"), block_values)
-    axes = rotation(rows, rows.count(), fit_rows)
+    n, nq, nc = blocks(rows, block_values)
+    axes = rotation(rows, n, fit_rows)
     anchors = materialise(rows.where("_is").select(F.monotonically_increasing_id().alias("_key"), "_id", "_label", "_v", place(nq).alias("_q")), "anchors")
     rows = rows.select("_id", "_label", "_v")
     first, second = "_key long, _positive long, _score long", "_key long, _slot int, anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"

@@ -77,15 +77,14 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vecto
     block_values: components of the vectors that a block holds.
     """
     rows = df.select(F.col(id).cast("long").alias("_id"), F.col(vector).alias("_v"), (F.coalesce(is_query, F.lit(False)) & F.col(id).isNotNull()).alias("_is")).where(usable(F.col("_v")))
-    asked = rows.where("_is")
-    nq, nc = blocks(rows, asked, block_values)
+    _, nq, nc = blocks(rows, block_values)
     kind = dict(rows.dtypes)["_v"]
 
     def seed(table: pa.Table) -> pa.Table:
         best = search(table, table, k, np.full(len(table), NONE))
         return table.append_column("_floor", pa.array(best.score[:, -1]))
 
-    keyed = asked.select(F.monotonically_increasing_id().alias("_key"), "_id", "_v", place(nq).alias("_q"))
+    keyed = rows.where("_is").select(F.monotonically_increasing_id().alias("_key"), "_id", "_v", place(nq).alias("_q"))
     queries = materialise(keyed.groupBy("_q").applyInArrow(lambda t: seed(t), f"_key long, _id long, _v {kind}, _q int, _floor long"), "queries")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 NONE = np.iinfo(np.int64).min
 _LAST = np.iinfo(np.int64).max
 
+#: Tasks that pairs of blocks are dealt over; more would cost more to plan than they save.
+MOST_TASKS = 20_000
+
 #: Rows of a tile, in which a task compares a part of its queries with a part of its candidates.
 TILE = 1024
 
@@ -30,13 +33,12 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def blocks(rows: DataFrame, queries: DataFrame, values: int) -> tuple[int, int]:
-    """How many blocks of queries and of candidates, of at most `values` components each; more candidate blocks where cores would idle."""
-    n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+def blocks(rows: DataFrame, values: int) -> tuple[int, int, int]:
+    """Of rows (_v, _is): their number, and how many blocks of queries and of candidates, of at most `values` components each; more candidate blocks where cores would idle."""
+    n, asked, size = rows.agg(F.count(F.lit(1)), F.count_if("_is"), F.max(F.size("_v"))).first()
     size = max(size or 1, 1)
-    fewest = -(-n * size // values)
     idle = min(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // TILE))
-    return max(1, -(-queries.count() * size // values)), max(1, fewest, idle)
+    return n, max(1, -(-asked * size // values)), max(1, -(-n * size // values), idle)
 
 
 def place(n: int) -> Column:
@@ -45,8 +47,8 @@ def place(n: int) -> Column:
 
 
 def meet(queries: DataFrame, candidates: DataFrame, nq: int, nc: int, work, schema: str) -> DataFrame:
-    """work(queries, candidates) for every block `_q` of queries with every block `_c` of candidates."""
-    parts = max(1, 2 * nq * nc)
+    """work(queries, candidates) for every block `_q` of queries with every block `_c` of candidates; a task takes its pairs of blocks one after another."""
+    parts = min(2 * nq * nc, MOST_TASKS)
     q = queries.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).repartition(parts, "_q", "_c")
     c = candidates.withColumn("_c", place(nc)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).repartition(parts, "_q", "_c")
     return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(lambda a, b: work(a, b), schema)

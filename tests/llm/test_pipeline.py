@@ -48,7 +48,7 @@ def test_stages(spark, folder):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op11_topk_search", "op12_hard_negatives"}))  # over vectors: their SQL says what they give
 def test_queries(spark, name):
     df = QUERIES[name](spark, DIR)
     assert "doc_id" in df.columns and df.count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
@@ -60,9 +60,16 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     from tests.test_oracles import rows
 
     df, found = QUERIES[name](spark, DIR), con.execute(ORACLES[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in found.description], found.fetchall())
+
+
+def test_every_text_operator_is_registered():
+    import __spark_entry__
+
+    names = {k.split("_")[0] for k in __spark_entry__.queries()}
+    assert {f"op{n}" for n in range(1, 13)} <= names and "pipeline" in names and set(ORACLES) <= set(__spark_entry__.oracle_sql())
