@@ -78,13 +78,16 @@ def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral
     are as many blocks as cells ask for, and draws are taken `DRAWS` at a time, so a task holds DRAWS x cells_a_block means at once.
     """
     neutral = sorted(set(neutral))
-    events = sorted(r[0] for r in pool.where(F.col(column).isin(*set(events))).select(column).distinct().collect())  # no more than were given
+    # One pass over the pool says which of the events it has (no more than were given) and how many cells.
+    there = F.collect_set(F.when(F.col(column).isin(*set(events)), F.col(column)))
+    found = pool.agg(there.alias("events"), number_of(keys).alias("cells")).first()
+    events = sorted(found["events"])
     if not events:
         raise ValueError("no event is in the pool")
     if len(neutral) < len(events):
         raise ValueError("fewer neutral anchors than events")
     draws = draw_matrix(neutral, len(events), iterations, seed)
-    blocks = pool.select(*keys).distinct().count() // cells_a_block + 1
+    blocks = found["cells"] // cells_a_block + 1
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "composite double, p_value double, null_mean double, null_std double"])
     numbers = {"n_events": F.lit(len(events)), "n_iterations": F.lit(iterations)}
@@ -133,11 +136,18 @@ def mc_test_blocked(pool: DataFrame, keys: list[str], events: list[int], neutral
     return dealt.groupBy("_block").applyInArrow(lambda t: test(t), schema).withColumns(numbers)
 
 
-def in_blocks(df: DataFrame, keys: list[str], cells_a_block: int, work: Callable[[pd.DataFrame, np.ndarray, int], dict[str, np.ndarray]], fields: dict[str, str]) -> DataFrame:
+def number_of(keys: list[str]) -> Column:
+    """About how many different keys there are, for dealing them into blocks: an aggregate that needs no exchange of them."""
+    return F.approx_count_distinct(F.struct(*keys))
+
+
+def in_blocks(
+    df: DataFrame, keys: list[str], cells_a_block: int, work: Callable[[pd.DataFrame, np.ndarray, int], dict[str, np.ndarray]], fields: dict[str, str], cells: int | None = None,
+) -> DataFrame:
     """(keys, fields): work(rows, cell of each row, number of cells) for one block of about cells_a_block keys after another, a task each.
 
     Blocks are dealt by a hash of the keys; a key's rows (items of a record) are few, so blocks are alike in size. What work() returns has
-    an entry for each cell; numbers that are not finite become null.
+    an entry for each cell; numbers that are not finite become null. cells: how many keys there are, where the caller has counted them.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     numbers = {"double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -152,7 +162,8 @@ def in_blocks(df: DataFrame, keys: list[str], cells_a_block: int, work: Callable
             out[name] = pa.array(values, numbers[fields[name]], mask=~np.isfinite(values)) if fields[name] == "double" else pa.array(values, numbers[fields[name]])
         return pa.table(out)
 
-    blocks = df.select(*keys).distinct().count() // cells_a_block + 1
+    cells = df.agg(number_of(keys)).first()[0] if cells is None else cells
+    blocks = cells // cells_a_block + 1
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{name} {kind}" for name, kind in fields.items())])
     dealt = df.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
     return dealt.groupBy("_block").applyInArrow(lambda t: block(t), schema)
@@ -173,11 +184,6 @@ def weights(n: int, iterations: int, seed: int) -> np.ndarray:
     return out
 
 
-def _items(df: DataFrame, column: str) -> list:
-    """The distinct items of a record, in order: its events or years, hundreds at most."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
-
-
 def _drawn(w: np.ndarray, value: np.ndarray, cell: np.ndarray, row: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Means of each draw over the items that a cell has (draws x cells), DRAWS draws at once; NaN where it has none of them."""
     v, m = np.zeros((w.shape[1], n)), np.zeros((w.shape[1], n))
@@ -223,9 +229,11 @@ def bootstrap_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations
     Draws are over all the events of a, and of b, and are the same for all keys; in a draw a key's mean is over those it has. Keys in both
     a and b have a row. Events (hundreds at most) and draws go to every task as one matrix; a block of keys is one product with it.
     """
-    ia, ib = _items(a, event), _items(b, event)
     side = lambda df, k: df.select(*keys, event, F.col("value").cast("double").alias("value"), F.lit(k).alias("_side"))
     both = side(a, 0).unionByName(side(b, 1))
+    on = lambda k: F.collect_set(F.when(F.col("_side") == k, F.col(event)))
+    found = both.agg(on(0).alias("a"), on(1).alias("b"), number_of(keys).alias("cells")).first()
+    ia, ib = sorted(found["a"]), sorted(found["b"])
     at = [{x: k for k, x in enumerate(items)} for items in (ia, ib)]
 
     def work(frame: pd.DataFrame, cell: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -241,14 +249,15 @@ def bootstrap_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations
         return {"excess": excess, **_two_sided(excess, (x - scale * y for x, y in zip(*draws, strict=True)), _slack(frame["value"].to_numpy(float), cell, n)), "_both": there[0] & there[1]}
 
     fields = {"excess": "double", "p_value": "double", "sd": "double", "_both": "boolean"}
-    return in_blocks(both, keys, cells_a_block, work, fields).where("_both").drop("_both")
+    return in_blocks(both, keys, cells_a_block, work, fields, found["cells"]).where("_both").drop("_both")
 
 
 def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: int, seed: int, event: str = "event_year", cells_a_block: int = 1024) -> DataFrame:
     """(keys): mean over common events of a - b, with p_value and sd from resampling those events together; n_events have both values."""
     pairs = a.select(*keys, event, F.col("value").alias("x")).join(b.select(*keys, event, F.col("value").alias("y")), [*keys, event])
     pairs = pairs.select(*keys, event, (F.col("x") - F.col("y")).cast("double").alias("value"))
-    items = _items(pairs, event)
+    found = pairs.agg(F.collect_set(event).alias("items"), number_of(keys).alias("cells")).first()  # the events in common, hundreds at most
+    items = sorted(found["items"])
     at = {x: k for k, x in enumerate(items)}
 
     def work(frame: pd.DataFrame, cell: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -257,7 +266,7 @@ def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], iterations: i
         draws = _drawn(weights(len(items), iterations, seed), value, cell, np.array([at[e] for e in frame[event]], int), n)
         return {"difference": mean, "n_events": count, **_two_sided(mean, draws, _slack(value, cell, n))}
 
-    return in_blocks(pairs, keys, cells_a_block, work, {"difference": "double", "n_events": "long", "p_value": "double", "sd": "double"})
+    return in_blocks(pairs, keys, cells_a_block, work, {"difference": "double", "n_events": "long", "p_value": "double", "sd": "double"}, found["cells"])
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], iterations: int, seed: int, low: float = 0.05, high: float = 0.95, item: str = "event_year", cells_a_block: int = 1024) -> DataFrame:

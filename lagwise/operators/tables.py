@@ -61,3 +61,18 @@ def lag_cascade_table(composite: DataFrame, anomaly: DataFrame, index: DataFrame
     memory = ar1_memory(anomaly, key).groupBy("variable").agg(F.percentile("memory_months", 0.5).alias("median_memory"))
     best = best_correlation(cross_correlation(mean(anomaly, "t"), ["variable"], index, lag_min, lag_max), ["variable"])
     return profile.join(grid, "variable", "left").join(memory, "variable", "left").join(best, "variable", "left")
+
+
+def response_profile(composite: DataFrame, mask: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, lag): the area mean of the size of the composite over the cells of a mask (cell_id, robust), and the number of cells.
+
+    Wet and dry regions would cancel in a signed mean; sizes say how strongly the response region is moved, whichever way.
+    """
+    inside = composite.join(small(mask.where("robust").select("cell_id")), "cell_id").join(small(cells.select("cell_id", "area")), "cell_id")
+    return inside.groupBy(*by, "lag").agg(weighted_mean(F.abs("value"), "area").alias("value"), F.count("value").alias("n_cells"))
+
+
+def exceedance(responses: DataFrame, by: list[str], scale: float, strong: str = "super", reference: str = "reference") -> DataFrame:
+    """(by): of amplification() over regions with both responses: the share whose strong one is above the scaled reference in size, and the number."""
+    both = responses.where(F.col("amplification").isNotNull() & F.col(reference).isNotNull())
+    return both.groupBy(*by).agg(F.avg((F.abs(strong) > scale * F.abs(reference)).cast("double")).alias("share_above"), F.count(F.lit(1)).alias("n_regions"))

@@ -12,7 +12,7 @@ from lagwise.model import clean, pinned
 from lagwise.operators import climatology, epochs, evaluation, events, extremes, index, inference, regions, response, tables
 from lagwise.plans import ctes
 from lagwise.plans.adapter import CLASSES, ITERATIONS, LAG_MAX, LAG_MIN, MIN_RUN, MIN_YEARS, SEASONS, SEED, THRESHOLD, WINDOW, cells, field, fixed, monthly, orders, table, variables
-from lagwise.sources import fields, manifest
+from lagwise.sources import fields, manifest, sinks
 from lagwise.sources.scratch import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,9 +50,9 @@ def index_series(spark: SparkSession, d: str) -> DataFrame:
     return pinned(index.running_mean(index.zscore(monthly(spark, d), []), [], 3))
 
 
-def event_table(spark: SparkSession, d: str, phase: str | None = None) -> DataFrame:
-    """The catalogue of the index: a handful of rows, worked out once for a query."""
-    found = pinned(events.catalogue(index_series(spark, d), [], threshold=THRESHOLD, min_length=MIN_RUN, classes=CLASSES))
+def event_table(spark: SparkSession, d: str, phase: str | None = None, series: DataFrame | None = None) -> DataFrame:
+    """The catalogue of the index: a handful of rows. Queries that need it, or the index, more than once hand it down."""
+    found = pinned(events.catalogue(series or index_series(spark, d), [], threshold=THRESHOLD, min_length=MIN_RUN, classes=CLASSES))
     return found.where(F.col("phase") == phase) if phase else found
 
 
@@ -60,19 +60,21 @@ def anchors(found: DataFrame) -> DataFrame:
     return found.select("event_year", F.col("peak_t").alias("anchor_t"))
 
 
-def epoch(spark: SparkSession, d: str, *keys: str, phase: str = "warm") -> DataFrame:
-    return epochs.epochs(anom(spark, d, *keys), anchors(event_table(spark, d, phase)), LAG_MIN, LAG_MAX)
+def epoch(spark: SparkSession, d: str, *keys: str, phase: str = "warm", found: DataFrame | None = None) -> DataFrame:
+    found = (found or event_table(spark, d)).where(F.col("phase") == phase)
+    return epochs.epochs(anom(spark, d, *keys), anchors(found), LAG_MIN, LAG_MAX)
 
 
-def responses(spark: SparkSession, d: str, *keys: str, phase: str = "warm") -> DataFrame:
+def responses(spark: SparkSession, d: str, *keys: str, phase: str = "warm", found: DataFrame | None = None) -> DataFrame:
     """The mean over lags 0 to 2 of each event."""
-    df = epochs.epochs(anom(spark, d, *keys), anchors(event_table(spark, d, phase)), 0, 2)
+    found = (found or event_table(spark, d)).where(F.col("phase") == phase)
+    df = epochs.epochs(anom(spark, d, *keys), anchors(found), 0, 2)
     return df.groupBy("cell_id", *keys, "event_year").agg(F.avg("value").alias("value"))
 
 
-def phase_means(spark: SparkSession, d: str) -> DataFrame:
+def phase_means(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     """(cell_id, event_class): the mean response to the events of either phase, from one pass over the field."""
-    found = event_table(spark, d).select("phase", "event_year", F.col("peak_t").alias("anchor_t"))
+    found = (found or event_table(spark, d)).select("phase", "event_year", F.col("peak_t").alias("anchor_t"))
     each = epochs.epochs(anom(spark, d), found, 0, 2).groupBy("cell_id", "phase", "event_year").agg(F.avg("value").alias("value"))
     return each.groupBy("cell_id", F.col("phase").alias("event_class")).agg(F.avg("value").alias("value"))
 
@@ -81,14 +83,14 @@ def geography(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).withColumn("area", units.cell_area(F.col("lat"), 5.0, 14.0))
 
 
-def anchor_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def anchor_sets(spark: SparkSession, d: str, peaks: DataFrame | None = None, series: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The pool of three-month means from every month on, the warm peaks, and the months apart from any peak."""
-    series = anom(spark, d)
-    every = series.select(F.col("t").alias("anchor_t")).distinct()
-    pool = epochs.epochs(series, every, 0, 2).groupBy("anchor_t", "cell_id").agg(F.avg("value").alias("value"))
-    peaks = event_table(spark, d)
+    anomaly, series = anom(spark, d), series or index_series(spark, d)
+    every = orders(spark, d).agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.sequence("a", "b")).alias("anchor_t"))
+    pool = epochs.epochs(anomaly, every, 0, 2).groupBy("anchor_t", "cell_id").agg(F.avg("value").alias("value"))
+    peaks = peaks or event_table(spark, d, series=series)
     warm = anchors(peaks.where("phase = 'warm'")).select("anchor_t")
-    neutral = epochs.eligible(index_series(spark, d).select(F.col("t").alias("anchor_t")), anchors(peaks), 1)
+    neutral = epochs.eligible(series.select(F.col("t").alias("anchor_t")), anchors(peaks), 1)
     return pool, warm, neutral
 
 
@@ -97,19 +99,21 @@ def mc(spark: SparkSession, d: str) -> DataFrame:
     return inference.mc_test(pool, CELL, warm, neutral, ITERATIONS, SEED)
 
 
-def mc_blocked(spark: SparkSession, d: str) -> DataFrame:
-    pool, warm, neutral = anchor_sets(spark, d)
+def mc_blocked(spark: SparkSession, d: str, peaks: DataFrame | None = None, series: DataFrame | None = None) -> DataFrame:
+    pool, warm, neutral = anchor_sets(spark, d, peaks, series)
     months = lambda df: sorted(r[0] for r in df.distinct().collect())  # noqa: E731  anchors: months of the record
     return inference.mc_test_blocked(pool, CELL, months(warm), months(neutral), ITERATIONS, SEED, cells_a_block=8)
 
 
-def agreement(spark: SparkSession, d: str) -> DataFrame:
-    means = responses(spark, d, "model").groupBy("cell_id", "model").agg(F.avg("value").alias("value"))
+def agreement(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    means = responses(spark, d, "model", found=found).groupBy("cell_id", "model").agg(F.avg("value").alias("value"))
     return inference.sign_agreement(means, CELL)
 
 
 def robust(spark: SparkSession, d: str) -> DataFrame:
-    return inference.robust_mask(agreement(spark, d), mc_blocked(spark, d), CELL)
+    series = index_series(spark, d)
+    found = event_table(spark, d, series=series)
+    return inference.robust_mask(agreement(spark, d, found), mc_blocked(spark, d, found, series), CELL)
 
 
 # --- projections and scalar normalisation -----------------------------------------------------------------------------
@@ -473,7 +477,8 @@ _EXCESS = f"SELECT cell_id, obs AS excess, {_TWO_SIDED} AS p_value, stddev_pop(d
 
 @query("q24_excess_bootstrap", f"SELECT cell_id, {s6('excess')} AS excess, {s6('p_value')} AS p_value, {s6('sd')} AS sd FROM ({_EXCESS})")
 def excess_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    df = inference.bootstrap_difference(responses(spark, d), responses(spark, d, phase="cold"), CELL, ITERATIONS, SEED, 0.5)
+    found = event_table(spark, d)
+    df = inference.bootstrap_difference(responses(spark, d, found=found), responses(spark, d, phase="cold", found=found), CELL, ITERATIONS, SEED, 0.5)
     return out(df, "cell_id", excess="excess", p_value="p_value", sd="sd")
 
 
@@ -701,7 +706,8 @@ ctes.CTES["bresp"] = f"SELECT band AS cell_id, event_year, sum(value * area) / n
 )
 def band_table(spark: SparkSession, d: str) -> DataFrame:
     bands = spark.createDataFrame([("south", -60.0, -20.0), ("tropics", -20.0, 20.0), ("north", 20.0, 60.0)], "band string, low double, high double")
-    df = regions.band_table(epochs.composite(epoch(spark, d), CELL), responses(spark, d), agreement(spark, d), geography(spark, d), bands, ITERATIONS, SEED)
+    found = event_table(spark, d)
+    df = regions.band_table(epochs.composite(epoch(spark, d, found=found), CELL), responses(spark, d, found=found), agreement(spark, d, found), geography(spark, d), bands, ITERATIONS, SEED)
     return out(df, "band", "peak_lag", "n_models", **{c: c for c in ("mean", "ci_low", "ci_high", "peak_amplitude", "mean_agreement")})
 
 
@@ -780,7 +786,8 @@ _EXPOSED = "SELECT region, phase, value, area, population, agreement >= 0.6 AS r
 
 
 def exposed(spark: SparkSession, d: str) -> DataFrame:
-    df = phase_means(spark, d).join(geography(spark, d), "cell_id").join(agreement(spark, d).select("cell_id", "agreement"), "cell_id")
+    found = event_table(spark, d)
+    df = phase_means(spark, d, found).join(geography(spark, d), "cell_id").join(agreement(spark, d, found).select("cell_id", "agreement"), "cell_id")
     return df.withColumn("robust", F.col("agreement") >= 0.6)
 
 
@@ -901,6 +908,22 @@ def station_table(spark: SparkSession, d: str) -> DataFrame:
     return df.select("n_stations", r4("median_r").alias("median_r"), fixed("frac_same_sign").alias("frac_same_sign"))
 
 
+ctes.CTES["pepoch"] = "SELECT e.phase, a.cell_id, a.scenario, l.lag, avg(a.value) AS v FROM catalogue e CROSS JOIN lags l JOIN sanom a ON a.t = e.peak_t + l.lag GROUP BY ALL"
+
+
+@query(
+    "q44e_station_table_by_class",
+    f"SELECT phase, count(*) AS n_stations, {s4('quantile_cont(r, 0.5)')} AS median_r, {s6('avg(coalesce(same, false)::INT)')} AS frac_same_sign FROM (SELECT phase, cell_id, CASE WHEN count(*) >= 4 THEN corr(o, s) END AS r, sign(arg_max(o, (abs(o), -lag))) = sign(arg_max(s, (abs(s), -lag))) AS same FROM (SELECT a.phase, a.cell_id, a.lag, a.v AS o, b.v AS s FROM pepoch a JOIN pepoch b ON a.phase = b.phase AND a.cell_id = b.cell_id AND a.lag = b.lag WHERE a.scenario = 'F' AND b.scenario = 'O' AND a.v IS NOT NULL AND b.v IS NOT NULL) GROUP BY ALL) GROUP BY phase",
+)
+def station_table_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """The station evaluation for either phase, all events aligned in one pass."""
+    found = event_table(spark, d).select("phase", "event_year", F.col("peak_t").alias("anchor_t"))
+    comp = epochs.composite(epochs.epochs(anom(spark, d, "scenario"), found, LAG_MIN, LAG_MAX), ["phase", "cell_id", "scenario"])
+    one = lambda s: comp.where(F.col("scenario") == s)
+    df = evaluation.station_table(evaluation.composite_agreement(one("F"), one("O"), ["phase", "cell_id"], 4), ["phase"])
+    return df.select("phase", "n_stations", r4("median_r").alias("median_r"), fixed("frac_same_sign").alias("frac_same_sign"))
+
+
 @query("q45_station_nearest", "SELECT cell_id AS station, cell_id FROM cells")
 def station_nearest(spark: SparkSession, d: str) -> DataFrame:
     stations = cells(spark, d).select(F.col("cell_id").alias("station"), (F.col("lat") + 1.1).alias("lat"), (F.col("lon") - 0.9).alias("lon"))
@@ -968,7 +991,8 @@ _SHARE = "sum({0}) FILTER (excess IS NOT NULL) / sum(area) FILTER (excess IS NOT
     f"SELECT region, {s6(_SHARE.format('excess * area'))} AS mean_excess, {s6(_SHARE.format('abs(excess) * area'))} AS mean_abs_excess, {s6(_SHARE.format('CASE WHEN p_value < 0.1 THEN area ELSE 0 END'))} AS area_frac_significant, {s6('quantile_cont(excess, 0.5)')} AS median_excess FROM ({_EXCESS}) JOIN geo USING (cell_id) GROUP BY region",
 )
 def region_nonlinearity(spark: SparkSession, d: str) -> DataFrame:
-    df = inference.bootstrap_difference(responses(spark, d), responses(spark, d, phase="cold"), CELL, ITERATIONS, SEED, 0.5).join(geography(spark, d), "cell_id")
+    found = event_table(spark, d)
+    df = inference.bootstrap_difference(responses(spark, d, found=found), responses(spark, d, phase="cold", found=found), CELL, ITERATIONS, SEED, 0.5).join(geography(spark, d), "cell_id")
     df = response.nonlinearity_summary(df, ["region"])
     return out(df, "region", **{c: c for c in df.columns if c != "region"})
 
@@ -986,9 +1010,9 @@ def vanom(spark: SparkSession, d: str) -> DataFrame:
     return climatology.anomalies(variables(spark, d), ["cell_id", "variable"], "standardized", "moving", WINDOW, MIN_YEARS)
 
 
-def yearly(spark: SparkSession, d: str) -> DataFrame:
+def yearly(spark: SparkSession, d: str, series: DataFrame | None = None) -> DataFrame:
     """Season means around the last month of every quarter: the record is too short for a December of each year alone."""
-    return tables.yearly_responses(vanom(spark, d), ["variable", "cell_id"], calendar.season_table(spark, SEASONS), index_series(spark, d), LAG_MIN, LAG_MAX, 0, 1, 3)
+    return tables.yearly_responses(vanom(spark, d), ["variable", "cell_id"], calendar.season_table(spark, SEASONS), series or index_series(spark, d), LAG_MIN, LAG_MAX, 0, 1, 3)
 
 
 @query("q53_yearly_responses", f"SELECT variable, cell_id, season, anchor_t, {s6('value')} AS value, {s6('x')} AS index FROM yresp")
@@ -1013,14 +1037,15 @@ _VHINGE = " UNION ALL ".join(f"SELECT '{v}' AS variable, * FROM ({ctes.hinge(f"(
 )
 def nonlinearity_table(spark: SparkSession, d: str) -> DataFrame:
     """The excess of warm events over scaled cold ones, and the bend of the response curve, by variable and season."""
-    found = event_table(spark, d)
+    series = index_series(spark, d)
+    found = event_table(spark, d, series=series)
     size = {r["phase"]: r["a"] for r in found.groupBy("phase").agg(F.avg(F.abs("peak")).alias("a")).collect()}
     aligned = epochs.epochs(vanom(spark, d), found.select("phase", "event_year", epochs.anchor("december").alias("anchor_t")), LAG_MIN, LAG_MAX)
     seasonal = epochs.season_means(aligned, ["phase", "variable", "cell_id"], calendar.season_table(spark, SEASONS))
     one = lambda phase: seasonal.where(F.col("phase") == phase)
     scale, keys = size["warm"] / size["cold"], ["variable", "season", "cell_id"]
     excess = inference.bootstrap_difference(one("warm"), one("cold"), keys, ITERATIONS, SEED, scale)
-    fits = [response.hinge_fit(yearly(spark, d).where(F.col("variable") == v), keys, knot=0.3, iterations=100, evaluate_at=1.0) for v in ("price", "total")]
+    fits = [response.hinge_fit(yearly(spark, d, series).where(F.col("variable") == v), keys, knot=0.3, iterations=100, evaluate_at=1.0) for v in ("price", "total")]
     df = tables.nonlinearity_table(excess, fits[0].unionByName(fits[1]), CELL, ["variable", "season"], ["variable"], scale)
     return out(df, "variable", "season", **{c: c for c in df.columns if c not in ("variable", "season")})
 
@@ -1046,3 +1071,38 @@ def lag_cascade_table(spark: SparkSession, d: str) -> DataFrame:
     df = tables.lag_cascade_table(composite, series, index_series(spark, d), geography(spark, d), LAG_MIN, LAG_MAX, 0.2)
     plain = ("variable", "peak_lag", "best_lag")
     return out(df, *plain, **{c: c for c in df.columns if c not in plain})
+
+
+_NUM_EVENTS = f"SELECT '{{' || string_agg('\"' || phase || '\":{{\"n_events\":' || n || ',\"mean_peak\":' || p || ',\"last_year\":' || y || '}}', ',' ORDER BY phase) || '}}' AS e FROM (SELECT phase, count(*) AS n, {ctes.fixed('avg(abs(peak))', 3)} AS p, max(event_year) AS y FROM catalogue GROUP BY phase)"
+_NUM_LAGS = f"SELECT '{{' || string_agg('\"' || variable || '\":{{\"peak_lag\":' || peak_lag || ',\"best_lag\":' || best_lag || ',\"median_recovery\":' || r || '}}', ',' ORDER BY variable) || '}}' AS l FROM (SELECT variable, peak_lag, best_lag, {ctes.fixed('median_recovery', 3)} AS r FROM ({_VPEAK}) LEFT JOIN ({_VGRID}) USING (variable) LEFT JOIN ({_VCORR}) USING (variable))"
+_NUM_MASK = f"SELECT '{{\"n_cells\":' || count(*) || ',\"frac_robust\":' || {ctes.fixed('avg(robust::INT)', 3)} || '}}' AS m FROM robust"
+
+
+@query("q56_numbers_document", f"SELECT '{{\"events\":' || e || ',\"lag_cascade\":' || l || ',\"significance\":' || m || ',\"stations\":null}}' AS numbers FROM ({_NUM_EVENTS}) CROSS JOIN ({_NUM_LAGS}) CROSS JOIN ({_NUM_MASK})")
+def numbers_document(spark: SparkSession, d: str) -> DataFrame:
+    """What a text quotes: events, the lag cascade and significance as one JSON document; a table that is empty is null."""
+    found = event_table(spark, d)
+    counts_ = found.groupBy("phase").agg(F.count(F.lit(1)).alias("n_events"), fixed(F.avg(F.abs("peak")), 3).alias("mean_peak"), F.max("event_year").alias("last_year"))
+    lags = lag_cascade_table(spark, d).select("variable", "peak_lag", "best_lag", fixed("median_recovery", 3).alias("median_recovery"))
+    mask = robust(spark, d).agg(F.count(F.lit(1)).alias("n_cells"), fixed(F.avg(F.col("robust").cast("double")), 3).alias("frac_robust"))
+    stations = counts_.where("n_events < 0")
+    return sinks.numbers({"events": (counts_, "phase"), "lag_cascade": (lags, "variable"), "significance": (mask, None), "stations": (stations, "phase")})
+
+
+@query("q57_response_profile", f"SELECT lag, {s6('sum(abs(value) * area) / nullif(sum(area) FILTER (value IS NOT NULL), 0)')} AS value, count(value) AS n_cells FROM comp JOIN geo USING (cell_id) WHERE cell_id IN (SELECT cell_id FROM agree WHERE agreement >= 0.6) GROUP BY lag")
+def response_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How strongly the cells are moved in which most members agree, by lag."""
+    found = event_table(spark, d)
+    mask = agreement(spark, d, found).select("cell_id", (F.col("agreement") >= 0.6).alias("robust"))
+    return out(tables.response_profile(epochs.composite(epoch(spark, d, found=found), CELL), mask, geography(spark, d), []), "lag", "n_cells", value="value")
+
+
+@query(
+    "q58_exceedance",
+    f"SELECT region, {s6('avg((abs(s) > k * abs(r))::INT)')} AS share_above, count(*) AS n_regions FROM (SELECT region, s, r, {_AMPS} AS k FROM (SELECT cell_id, avg(value) AS s FROM resp GROUP BY ALL) JOIN (SELECT cell_id, avg(value) AS r FROM cresp GROUP BY ALL) USING (cell_id) JOIN cells USING (cell_id) WHERE s IS NOT NULL AND abs(r) > 0.05) GROUP BY region",
+)
+def exceedance(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each region's cells whose warm response is above the scaled cold one."""
+    size = {r["phase"]: r["a"] for r in event_table(spark, d).groupBy("phase").agg(F.avg(F.abs("peak")).alias("a")).collect()}
+    wide = regions.amplification(phase_means(spark, d), CELL, "warm", "cold").join(cells(spark, d).select("cell_id", "region"), "cell_id")
+    return out(tables.exceedance(wide, ["region"], size["warm"] / size["cold"], "warm", "cold"), "region", "n_regions", share_above="share_above")

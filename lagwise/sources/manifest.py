@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import shutil
@@ -32,13 +33,42 @@ def flatten(results: DataFrame, column: str = "json") -> DataFrame:
 
 
 def discover(spark: SparkSession, wanted: dict[str, list[str]], search: Callable[[dict[str, str]], list[dict]]) -> DataFrame:
-    """The manifest of every combination of the wanted values, each file once. search() answers one combination with result documents."""
-    grid = None
-    for name, values in wanted.items():
-        one = spark.createDataFrame([(v,) for v in values], f"{name} string")
-        grid = one if grid is None else grid.crossJoin(one)
-    found = [(json.dumps(doc),) for row in grid.toLocalIterator() for doc in search(row.asDict())]
-    return flatten(spark.createDataFrame(found, "json string")).dropDuplicates(["file_url"])
+    """The manifest of every combination of the wanted values, each file once. search() answers one combination with result documents.
+
+    Every combination is a partition of a data source, so searches run side by side in tasks, and one that fails is tried again apart;
+    search() must be something that can be sent to them. The driver holds the wanted values alone.
+    """
+    name = f"search_{uuid.uuid4().hex}"
+    spark.dataSource.register(type("Search", (_GridSearch,), {"called": name, "wanted": wanted, "search": staticmethod(search)}))
+    return flatten(spark.read.format(name).load()).dropDuplicates(["file_url"])
+
+
+class _GridSearch(DataSource):
+    """A batch source with a partition for each combination of `wanted`: discover() makes a class of it for each search."""
+
+    called, wanted, search = "", {}, None
+
+    @classmethod
+    def name(cls) -> str:
+        return cls.called
+
+    def schema(self) -> str:
+        return "json string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _GridReader(type(self).wanted, type(self).search)
+
+
+class _GridReader(DataSourceReader):
+    def __init__(self, wanted: dict[str, list[str]], search: Callable[[dict[str, str]], list[dict]]) -> None:
+        self.wanted, self.search = wanted, search
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(values) for values in itertools.product(*self.wanted.values())]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
+        for doc in self.search(dict(zip(self.wanted, partition.value, strict=True))):
+            yield (json.dumps(doc),)
 
 
 def availability(manifest: DataFrame, by: tuple[str, ...] = ("sector", "model", "climate_scenario", "soc_scenario", "variable"), files: str | None = None) -> DataFrame:

@@ -84,5 +84,23 @@ def render(template: str, numbers: dict) -> tuple[str, list[str]]:
 
 
 def numbers_document(df: DataFrame, key: str) -> dict:
-    """A small table as {key value: {column: value}}."""
-    return {str(r[key]): {c: r[c] for c in df.columns if c != key} for r in df.collect()}
+    """A small table as {key value: {column: value}}; key values must differ, nulls among the values stay."""
+    return json.loads(numbers({"table": (df, key)}).first()["numbers"])["table"] or {}
+
+
+def numbers(sections: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
+    """One row, `numbers`: a JSON document with an entry for each section, worked out in one plan.
+
+    A section is a result table, small by nature, with a key column, and becomes {key value: {column: value}}; or, without a key, a table of
+    one row, which becomes {column: value}. A table without rows gives null. Columns of a section stay in their order, keys are sorted.
+    """
+    parts = None
+    for name, (df, key) in sections.items():
+        value = F.struct(*[F.col(c) for c in df.columns if c != key])
+        if key is None:
+            one = df.agg(F.first(value).alias(name))
+        else:
+            rows = F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), value.alias("value"))))
+            one = df.agg(F.when(F.count(F.lit(1)) > 0, F.map_from_entries(rows)).alias(name))
+        parts = one if parts is None else parts.crossJoin(F.broadcast(one))  # tables of one row
+    return parts.select(F.to_json(F.struct(*sections), {"ignoreNullFields": "false"}).alias("numbers"))

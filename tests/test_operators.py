@@ -462,3 +462,12 @@ def test_nonlinearity_table_counts_by_family(spark):
     a, b = got["a"], got["b"]
     assert (a.mean_excess, a.mean_abs_excess, a.frac_significant, a.frac_amplified, a.frac_steepening, a.frac_hinge_significant, a.median_ratio, a.scaling_factor) == (0, 1, 0.25, 1.0, 0.5, 0.25, 1.0, 1.5)
     assert a.median_excess_frac == pytest.approx(0.2) and b.frac_significant == 0 and b.frac_amplified is None and b.median_ratio is None
+
+
+def test_profiles_and_exceedance(spark):
+    comp = spark.createDataFrame([("v", 1, 0, 1.0), ("v", 2, 0, -3.0), ("v", 3, 0, 9.0), ("v", 1, 1, None), ("v", 2, 1, 2.0)], "variable string, cell_id int, lag int, value double")
+    mask = spark.createDataFrame([(1, True), (2, True), (3, False)], "cell_id int, robust boolean")
+    area = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 1.0)], "cell_id int, area double")
+    assert values(tables.response_profile(comp, mask, area, ["variable"]), "lag", "n_cells", "value") == [(0, 2, 2.5), (1, 1, 2.0)]
+    wide = spark.createDataFrame([(1, 3.0, 1.0, 3.0), (1, -1.0, 1.0, -1.0), (1, 5.0, None, None), (2, 1.0, 0.01, None)], "region int, super double, reference double, amplification double")
+    assert values(tables.exceedance(wide, ["region"], 2.0), "region", "n_regions", "share_above") == [(1, 2, 0.5)]

@@ -146,3 +146,26 @@ def test_members_align_on_the_union_of_their_axes(spark):
     rows = {(r.cell_id, r.t, r.model): r.value for r in got.collect()}
     assert len(rows) == got.count() == 2 * 3 * 3
     assert {k: v for k, v in rows.items() if v is not None} == {(1, 0, "a"): 1.0, (1, 1, "a"): 2.0, (1, 1, "b"): 3.0, (2, 5, "b"): 4.0}
+
+
+def test_numbers_come_as_one_document(spark):
+    a = spark.createDataFrame([("y", 2, None), ("x", 1, 0.5)], "k string, n int, v double")
+    one = spark.createDataFrame([(3, "s")], "m int, t string")
+    df = sinks.numbers({"a": (a, "k"), "one": (one, None), "none": (a.where("false"), "k"), "nothing": (one.where("false"), None)})
+    assert df.count() == 1
+    assert json.loads(df.first()["numbers"]) == {"a": {"x": {"n": 1, "v": 0.5}, "y": {"n": 2, "v": None}}, "one": {"m": 3, "t": "s"}, "none": None, "nothing": None}
+    assert sinks.render("{{a.x.v:.2f}} of {{one.m}}", json.loads(df.first()["numbers"])) == ("0.50 of 3", [])
+
+
+def test_searches_run_in_tasks(spark):
+    import os
+
+    here = os.getpid()
+
+    def search(query):
+        if os.getpid() == here:
+            raise RuntimeError("in the driver")
+        return [{"name": query["model"], "specifiers": {"model": [query["model"]], "variable": [query["variable"]]}, "files": [{"name": f"{query['model']}.nc", "file_url": f"u/{query['model']}", "size": 1}]}]
+
+    found = manifest.discover(spark, {"model": ["m", "n", "o"], "variable": ["x", "y"]}, search)
+    assert sorted(r.file_url for r in found.collect()) == ["u/m", "u/n", "u/o"]  # each file once
