@@ -24,7 +24,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+    import public_tokenizers
+
+    out = secret_scan.scan(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

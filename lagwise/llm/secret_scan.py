@@ -1,16 +1,25 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
 Patterns give the base spans. Novelty adds to them: a candidate is a run of `LEAST_RUN` or more characters of
-`[A-Za-z0-9+/_.=-]` that begins or ends at most `reach` characters from a sensitive word, on either side. The compressor is
-primed with a dictionary of identifiers and everyday words of code, and sees the text around the candidate first; the
-candidate's marginal bytes are those by which the compressed size grows when it follows. Names, paths and words that the
-dictionary or the surroundings hold cost little; but how much a random string costs depends on its alphabet and on what
-stands around it. So the marginal bytes are held against those of random strings of the same length and alphabet, drawn by a
-hash of the candidate, in the same place: one that costs at least `least` of their mean (a little less for a short one) is reported as `novel`, unless a base
-span overlaps it. Runs without a letter are numbers, and runs without digits of under `LEAST_LETTERS` letters, or
-in which a third are vowels, are words: their compressed size does not tell them from secrets, and they are not reported.
-
-Defined results: a null text counts as empty and has no spans; other columns are not read; rows are scanned one by one.
+`[A-Za-z0-9+/_.=-]` that begins or ends at most `reach` characters from a sensitive word, on either side, and holds a letter (other
+runs are numbers). Nothing else is asked of it: the compressor decides. It is primed with a dictionary and sees the text around the
+candidate first; the candidate's marginal bytes are those by which the compressed size grows when it follows.
+
+* The dictionary holds the identifiers below, the commonest words of a vocabulary (`vocabulary`, a tokenizer file: its earliest
+  `VOCABULARY_WORDS` words) and of the documents themselves (`corpus_words`, counted over all of them).
+* Runs are split where letters meet digits and where the case changes, and lower-cased; up to four digits between other signs are one number. So
+  a name of known parts is a few known words, and a random string is many short parts.
+* Each character is written as `WIDE` bytes. A known part is one match, whatever its length, and each unknown character is a
+  match of its own: known parts of six letters cost a sixth, not two thirds, of what random ones cost.
+
+How much a random string costs depends on its alphabet, shape and surroundings. So the marginal bytes are held against the mean of
+random strings with the same signs in the same places, drawn by a hash of the candidate: one that costs at least `least` of it is
+reported as `novel`, unless a base span overlaps it. Names of unknown parts alone (short abbreviations, words of other
+languages that the corpus does not repeat) are reported too; so are digests. A secret of up to 12 letters alone that stands in the documents
+`LEAST_COUNT` times becomes a word of the dictionary and is then not novel.
+
+Defined results: a null text counts as empty and has no spans; other columns are not read; rows are scanned one by one, and alike
+wherever they stand in the table. An empty table has no words to learn.
 """
 
 from __future__ import annotations
@@ -19,13 +28,15 @@ import bisect
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from lagwise.llm.common import small_batches, text_of
 
@@ -37,15 +48,23 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|credential|api.?key|private.?key|access.?key|auth|bearer|signature", re.I | re.A)
-LEAST_RUN, LEAST_LETTERS = 10, 16
-#: Random strings cost more or less than their mean by whole bytes, so short ones may fall short of `least` by this over their length.
-SPREAD = 1.5
+LEAST_RUN = 10
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_RUN},}}", re.A)
-_DIGIT, _RUN, _OTHER = re.compile("[0-9]"), re.compile("[A-Za-z0-9+/_.=-]"), re.compile("[^A-Za-z]")
-_VOWELS = frozenset("aeiouyAEIOUY")
-#: Sets of characters that strings are drawn from; a candidate's alphabet is the first that holds it, or all of its own kinds.
+_RUN = re.compile("[A-Za-z0-9+/_.=-]")
+#: Where a run is split into parts, and digits that are a number (a version, a year, a day) by themselves.
+_PARTS = re.compile("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_NUMBER = re.compile("(?<![A-Za-z0-9])[0-9]{1,4}(?![A-Za-z0-9])")
+#: Sets of characters that strings are drawn from: hexadecimal digits, or all of the candidate's own kinds.
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 _SETS = tuple(map(frozenset, ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")))
+#: Bytes for each character, all different so that matches begin where characters do.
+WIDE = 4
+_WIDE = {c: bytes([c, c | 128, (c * 37 + 11) % 256, (c * 91 + 5) % 256][:WIDE]).decode("latin-1") for c in range(128)}
+#: Below this share of the first three draws no more are made.
+FAR = 0.6
+VOCABULARY_WORDS, CORPUS_WORDS, LEAST_COUNT = 5000, 2000, 20
+#: Letters of a word that the dictionary learns.
+WORD_LETTERS = (3, 12)
 IDENTIFIERS = (
     b"import from return function class public private static const void string number boolean config settings "
     b"environment variable username password secret_key access_token refresh_token api_key client_id client_secret "
@@ -57,35 +76,57 @@ IDENTIFIERS = (
 
 
 def alphabet(candidate: str) -> str:
-    """The characters that a random string like this one would be drawn from."""
-    own = set(candidate)
+    """The letters and digits that a random string like this one would be drawn from."""
+    own = {c for c in candidate if c.isalnum()}
     for digits in _HEX:
         if own <= set(digits) and not own <= _SETS[2] and len(own & _SETS[2]) > 1:
             return digits
-    kinds = [k for k in _SETS if own & k]
-    return "".join(sorted(own.union(*kinds)))
+    return "".join(sorted(frozenset().union(*(k for k in _SETS if own & k))))
 
 
-def wordlike(run: str) -> bool:
-    """A run without digits whose letters may spell a word or a few, by their number or their share of vowels."""
-    letters = _OTHER.sub("", run)
-    return not _DIGIT.search(run) and (len(letters) < LEAST_LETTERS or 3 * sum(c in _VOWELS for c in letters) > len(letters))
+def wide(text: str) -> bytes:
+    """A text in parts, lower case and wide characters; what is not ASCII is a question mark."""
+    parts = _PARTS.sub(" ", _NUMBER.sub("0", text)).lower()
+    return parts.encode("ascii", "replace").decode().translate(_WIDE).encode("latin-1")
+
+
+def vocabulary_words(path: str, most: int = VOCABULARY_WORDS) -> list[str]:
+    """The first words, by id, of a tokenizer's vocabulary, in lower case."""
+    vocabulary, (least, longest) = Tokenizer.from_file(path).get_vocab(), WORD_LETTERS
+    pieces = (re.sub("^[^A-Za-z]+", "", w).lower() for w in sorted(vocabulary, key=vocabulary.__getitem__))
+    return list(islice(dict.fromkeys(w for w in pieces if least <= len(w) <= longest and w.isascii() and w.isalpha()), most))
+
+
+def corpus_words(texts: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_COUNT) -> list[str]:
+    """The commonest words of letters in all texts (column text); at most `most` of them reach the driver."""
+    low, high = WORD_LETTERS
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\b[a-z]{{{low},{high}}}\b"), F.lit(0)))
+    counts = texts.select(found.alias("word")).groupBy("word").count().where(F.col("count") >= least)
+    return [r.word for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
 
 
 class Novelty:
-    def __init__(self, level: int = 6, draws: int = 8) -> None:
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.z = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False)
+    """Marginal compressed bytes against a dictionary: words (the commonest first) and the identifiers above."""
+
+    def __init__(self, words: Iterable[str] = (), level: int = 12, draws: int = 12) -> None:
+        numbers = [*(f"{n:02d}" for n in range(100)), *map(str, range(1900, 2040)), *(str(1 << n) for n in range(14))]
+        primer = " ".join(["", *reversed(list(words)), *numbers, ""]).translate(_WIDE).encode("latin-1") + wide(IDENTIFIERS.decode() + " ")
+        known = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=level)
+        self.z = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False)
         self.draws = draws
 
     def share(self, around: str, candidate: str) -> float:
         """The candidate's marginal compressed bytes after its surroundings, over the mean of random strings like it."""
-        a = around.encode("utf-8", "surrogatepass")
+        a = wide(around)
         alone = len(self.z.compress(a))
-        cost = lambda s: len(self.z.compress(a + s.encode())) - alone
-        rng, letters = random.Random(candidate), alphabet(candidate)
-        expected = sum(cost("".join(rng.choices(letters, k=len(candidate)))) for _ in range(self.draws)) / self.draws
-        return cost(candidate) / max(expected, 1.0)
+        cost = lambda s: len(self.z.compress(a + wide(s))) - alone
+        rng, letters, own, total = random.Random(candidate), alphabet(candidate), cost(candidate), 0
+        for k in range(1, self.draws + 1):
+            total += cost("".join(rng.choice(letters) if c.isalnum() else c for c in candidate))
+            if k == 3 and own < total / k * FAR:  # far below all that a few more draws could say
+                break
+        return own / max(total / k, 1.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -115,7 +156,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, r
                 break
             done = max(done, c.end())
             run = c[0]
-            if not any(x.isalpha() for x in run) or wordlike(run):
+            if not any(x.isalpha() for x in run):
                 continue
             k = bisect.bisect_right(ends, c.start())
             overlaps = False
@@ -123,7 +164,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, r
                 overlaps |= taken[k][0] < c.end() and taken[k][1] > c.start()
                 k += 1
             around = text[max(0, c.start() - context) : c.start()] + text[c.end() : c.end() + context] + " "
-            if not overlaps and novelty.share(around, run) >= least - SPREAD / len(run):
+            if not overlaps and novelty.share(around, run) >= least:
                 out.append((c.start(), c.end(), "novel"))
     return out
 
@@ -132,9 +173,9 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def _scanner(reach: int, context: int, least: float):
+def _scanner(words: list[str], reach: int, context: int, least: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(words)
         for batch in small_batches(batches):
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             base_sha, spans = [], []
@@ -151,8 +192,10 @@ def _scanner(reach: int, context: int, least: float):
     return scan
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, context: int = 512, least: float = 0.9) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 64, context: int = 256, least: float = 0.79, vocabulary: str | None = None) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans (kind:start:end by start, code points, end exclusive)."""
     slim = docs.select(docs[id_col].alias("doc_id"), text_of(docs[text_col]).alias("text"))
+    learned = corpus_words(slim)
+    words = list(dict.fromkeys([*learned, *(vocabulary_words(vocabulary) if vocabulary else ())]))
     schema = T.StructType([T.StructField("doc_id", slim.schema["doc_id"].dataType), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return slim.mapInArrow(_scanner(reach, context, least), schema)
+    return slim.mapInArrow(_scanner(words, reach, context, least), schema)
