@@ -9,7 +9,9 @@ may stand here, and comparing their words directly confirms them.
 Words are 64-bit hashes in numpy arrays, and so are the tables: a sorted array of blocks with their shifts, and one of
 patterns. The views of a batch of documents move on together, each through `STRIDE` words of a document, so a very long document
 is as many views. Tables take some 15 bytes for each byte of the benchmark; it is sent to executors in slices of at
-most `slice_bytes` of text, each a pass over the documents in which every row keeps what it has found so far.
+most `slice_bytes` of text. Each slice is a pass that reads the documents anew and writes only what it finds, by the digest of the
+text that it stands in; in the end these rows join the documents by that digest. Texts are never written, and a slice's
+tables leave the executors before the next one's come.
 
 Defined results: a null text has no words; an item whose id is null marks words but is not listed; rows are searched one by one,
 whatever their ids, and alike in one slice or several; an empty benchmark marks nothing. `clean` passes rows on as they are.
@@ -19,14 +21,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwise.llm.common import discard, small_batches, materialise, text_of
+from lagwise.llm.common import bounded, discard, materialise, small_batches, text_of
 from lagwise.llm.hashing import U, mix, run_hashes, slices, word_hashes
 
 #: Words are runs of ASCII letters and digits, lower-cased, and of all bytes beyond ASCII.
@@ -166,24 +169,59 @@ def _search(matcher: Matcher, texts: list[str | None]) -> Iterator[tuple[int, li
 
 
 _LONGS = pa.list_(pa.int64())
+_FOUND = ("starts", "ends", "items")
+_TYPES = "starts array<bigint>, ends array<bigint>, items array<string>"
+
+
+def _found(rows: list[tuple[list[tuple[int, int]], list[str]]]) -> list[pa.Array]:
+    """The columns starts, ends and items."""
+    return [pa.array([[a for a, _ in s] for s, _ in rows], _LONGS), pa.array([[b for _, b in s] for s, _ in rows], _LONGS), pa.array([x for _, x in rows], pa.list_(pa.string()))]
+
+
+def _names(items: set) -> list[str]:
+    return sorted({str(x) for x in items if x is not None})
 
 
 def _finder(matcher):
+    """Of (id or digest, text): the first, n_words and what the slice finds."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             rows = list(_search(matcher.value, batch.column("text").to_pylist()))
-            spans, items = [r[1] for r in rows], [{str(x) for x in r[2] if x is not None} for r in rows]
-            if "starts" in batch.schema.names:  # a later slice
-                before = zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), batch.column("items").to_pylist(), strict=True)
-                for k, (s, e, names) in enumerate(before):
-                    spans[k] = _joined(spans[k], list(zip(s, e, strict=True)))
-                    items[k] |= set(names)
-            found = [pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([[a for a, _ in s] for s in spans], _LONGS), pa.array([[b for _, b in s] for s in spans], _LONGS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *found], ["doc_id", "text", "n_words", "starts", "ends", "items"])
+            found = _found([(spans, _names(items)) for _, spans, items in rows])
+            counts = pa.array([int(n) for n, _, _ in rows], pa.int64())
+            others = [batch.column(k) for k in range(batch.num_columns) if k != 1]
+            yield pa.RecordBatch.from_arrays([*others, counts, *found], [*(n for n in batch.schema.names if n != "text"), "n_words", *_FOUND])
 
     return find
 
 
+def _hits(matcher):
+    """Of (digest, text): the digest and what the slice finds, of texts in which it finds anything."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            rows = list(_search(matcher.value, batch.column("text").to_pylist()))
+            hit = pa.array([bool(spans) for _, spans, _ in rows], pa.bool_())
+            found = _found([(spans, _names(items)) for _, spans, items in rows if spans])
+            yield pa.RecordBatch.from_arrays([batch.column("digest").filter(hit), *found], ["digest", *_FOUND])
+
+    return find
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, n_words, starts, ends, items, and lists of these of the later slices): the ranges joined and the items in order."""
+    for batch in batches:
+        rows = []
+        for starts, ends, items, others in zip(*(batch.column(k).to_pylist() for k in (*_FOUND, "later")), strict=True):
+            spans, names = list(zip(starts, ends, strict=True)), set(items)
+            for other in others or ():
+                spans = _joined(spans, list(zip(other["starts"], other["ends"], strict=True)))
+                names |= set(other["items"])
+            rows.append((spans, sorted(names)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *_found(rows)], ["doc_id", "n_words", *_FOUND])
+
+
 def _cleaner(matcher, column: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, column):
@@ -193,43 +231,54 @@ def _cleaner(matcher, column: int):
     return clean
 
 
-def _matchers(spark, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, slice_bytes: int) -> Iterator:
-    """A broadcast Matcher for each slice of the benchmark; slices are dealt by hash and hold about slice_bytes of text."""
+def _matchers(spark, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, slice_bytes: int) -> tuple[int, Iterator]:
+    """The number of slices of the benchmark, and a broadcast Matcher for each; they are dealt by hash and hold about slice_bytes of text."""
     items = benchmark.select(benchmark[item_col].alias("item"), text_of(benchmark[item_text_col]).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.lit(16)).alias("b")).first()[0] or 0
     n = int(size // slice_bytes) + 1
-    for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        yield spark.sparkContext.broadcast(Matcher([tuple(r) for r in own], window))
+    part = lambda k: items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+    return n, (spark.sparkContext.broadcast(Matcher([tuple(r) for r in part(k).collect()], window)) for k in range(n))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text_of(text).cast("binary")))
+
+
+def _later(docs: DataFrame, text_col: str, matchers: Iterator) -> DataFrame:
+    """(digest, later): what each of these slices finds in each text in which it finds anything, a written table; copies of a text count once."""
+    texts = docs.select(_digest(docs[text_col]).alias("digest"), text_of(docs[text_col]).alias("text"))
+    parts = []
+    for k, matcher in enumerate(matchers):
+        parts.append(materialise(texts.mapInArrow(_hits(matcher), f"digest binary, {_TYPES}").withColumn("slice", F.lit(k)), "hits"))
+        matcher.unpersist()
+    once = reduce(DataFrame.union, parts).groupBy("digest", "slice").agg(F.first(F.struct(*_FOUND)).alias("found"))
+    out = materialise(once.groupBy("digest").agg(F.collect_list("found").alias("later")), "hits")
+    discard(*parts)
+    return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, the hit word ranges (starts, ends; not overlapping), and the items with occurring windows, sorted as strings."""
-    spark, longs = docs.sparkSession, T.ArrayType(T.LongType())
-    out = docs.select(docs[id_col].alias("doc_id"), text_of(docs[text_col]).alias("text"))
-    schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("starts", longs), T.StructField("ends", longs), T.StructField("items", T.ArrayType(T.StringType()))])
-    before = None
-    for k, matcher in enumerate(_matchers(spark, benchmark, window, item_col, item_text_col, slice_bytes)):
-        if k:  # what the slices so far have found travels with the rows
-            out = materialise(out, "hits")
-            if before is not None:
-                discard(before)
-            before = out
-        out = out.mapInArrow(_finder(matcher), schema)
-    return out.drop("text")
+    n, matchers = _matchers(docs.sparkSession, benchmark, window, item_col, item_text_col, slice_bytes)
+    first = next(matchers)
+    out = docs.select(docs[id_col].alias("doc_id"), text_of(docs[text_col]).alias("text"), *([_digest(docs[text_col]).alias("digest")] if n > 1 else []))
+    kept = T.StructType([f for f in out.schema.fields if f.name != "text"])
+    found = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    out = out.mapInArrow(_finder(first), T.StructType([*kept.fields, *found.fields]))
+    if n == 1:
+        return out
+    # Copies of one text are one digest: where the hits are too many to broadcast, AQE splits the rows that share it.
+    out = out.join(bounded(_later(docs, text_col, matchers)), "digest", "left").select("doc_id", "n_words", *_FOUND, "later")
+    return out.mapInArrow(_merged, T.StructType([kept.fields[0], *found.fields]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The documents without a benchmark window, with their columns: rows pass the search as they are, so ids do not matter."""
-    out, before = docs, None
-    for k, matcher in enumerate(_matchers(docs.sparkSession, benchmark, window, item_col, item_text_col, slice_bytes)):
-        if k:
-            out = materialise(out, "clean")
-            if before is not None:
-                discard(before)
-            before = out
-        out = out.mapInArrow(_cleaner(matcher, docs.columns.index(text_col)), docs.schema)
-    return out
+    n, matchers = _matchers(docs.sparkSession, benchmark, window, item_col, item_text_col, slice_bytes)
+    if n == 1:
+        return docs.mapInArrow(_cleaner(next(matchers), docs.columns.index(text_col)), docs.schema)
+    hits = bounded(_later(docs, text_col, matchers).select("digest"))
+    return docs.join(hits, _digest(docs[text_col]) == hits["digest"], "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

@@ -71,7 +71,7 @@ IDENTIFIERS = (
     b"authorization bearer credentials https://www.example.com/index.html http://localhost:8080/api/v1/ application/json "
     b"/usr/local/bin/ /var/log/ /home/user/.config/ com.example.project.module org.apache.commons __init__ self.assertEqual "
     b"test_data_file.txt README.md package.json requirements.txt get_value set_value create_user delete_user update_user "
-    b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 2020-01-01T00:00:00Z version-1.0.0 the and for that with this"
+    b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 2020-01-01T00:00:00Z version-1.0.0 the and for that with this"
 )
 
 
@@ -116,14 +116,14 @@ class Novelty:
         self.z = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False)
         self.draws = draws
 
-    def share(self, around: str, candidate: str) -> float:
-        """The candidate's marginal compressed bytes after its surroundings, over the mean of random strings like it."""
-        a = wide(around)
-        alone = len(self.z.compress(a))
-        cost = lambda s: len(self.z.compress(a + wide(s))) - alone
-        rng, letters, own, total = random.Random(candidate), alphabet(candidate), cost(candidate), 0
+    def share(self, before: str, after: str, candidate: str) -> float:
+        """The candidate's marginal compressed bytes over the mean of random strings like it: in sum after its surroundings in either order."""
+        places = [wide(f"{before} {after} "), wide(f"{after} {before} ")]
+        alone = sum(len(self.z.compress(p)) for p in places)
+        cost = lambda s: sum(len(self.z.compress(p + s)) for p in places) - alone
+        rng, letters, own, total = random.Random(candidate), alphabet(candidate), cost(wide(candidate)), 0
         for k in range(1, self.draws + 1):
-            total += cost("".join(rng.choice(letters) if c.isalnum() else c for c in candidate))
+            total += cost(wide("".join(rng.choice(letters) if c.isalnum() else c for c in candidate)))
             if k == 3 and own < total / k * FAR:  # far below all that a few more draws could say
                 break
         return own / max(total / k, 1.0)
@@ -163,8 +163,8 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, r
             while k < len(taken) and taken[k][0] < c.end() + far:
                 overlaps |= taken[k][0] < c.end() and taken[k][1] > c.start()
                 k += 1
-            around = text[max(0, c.start() - context) : c.start()] + text[c.end() : c.end() + context] + " "
-            if not overlaps and novelty.share(around, run) >= least:
+            before, after = text[max(0, c.start() - context) : c.start()], text[c.end() : c.end() + context]
+            if not overlaps and novelty.share(before, after, run) >= least:
                 out.append((c.start(), c.end(), "novel"))
     return out
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lagwise.llm import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from lagwise.llm import common, decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from lagwise.llm.common import components
 from tests.llm import brute
 
@@ -235,7 +235,7 @@ def test_the_corpus_teaches_its_words(spark, novelty):
     assert secret_scan.corpus_words(texts.select("text")) == ["filler", "kvetchmud", "zyxwabqo"]
     assert secret_scan.corpus_words(texts.select("text"), most=1) == ["filler"] and secret_scan.corpus_words(texts.select("text").limit(0)) == []
     taught = secret_scan.Novelty(["kvetchmud", "zyxwabqo"])
-    assert taught.share("the token ", "kvetchmud_zyxwabqo") < 0.7 < novelty.share("the token ", "kvetchmud_zyxwabqo")
+    assert taught.share("the token ", "", "kvetchmud_zyxwabqo") < 0.7 < novelty.share("the token ", "", "kvetchmud_zyxwabqo")
 
 
 def test_spans_are_those_of_every_text_by_itself(spark, docs, df):
@@ -347,6 +347,22 @@ def test_decontamination_odd_rows(spark, df, odd, empty):
         assert kept.columns == odd.columns and sorted(str(r.text) for r in kept.collect()) == ["", "None", "clean text", "clean too"]
 
 
+def test_slices_write_hits_alone(spark, tmp_path, monkeypatch):
+    """The bytes that all slices write, with nothing deleted, stay below a hundredth of the text."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(decontamination, "discard", lambda *tables: None)
+    bench = frame(spark, [(k, t) for k, t in enumerate(["kata lore minu x! mi, The réns söta ka99 lons", *(f"item {k} of words that stand nowhere else in any text at all" for k in range(8))])])
+    rows = frame(spark, [(k % 7, f"{'clean words ' * 4000}{k} {'kata lore minu x! mi, The réns söta ka99 lons tail' if k % 50 == 0 else ''}") for k in range(300)] * 2)
+    size = 600 * 48_000
+    one = decontamination.find(rows, bench, item_col="doc_id").collect()
+    found = decontamination.find(rows, bench, item_col="doc_id", slice_bytes=120)
+    assert sorted(found.collect()) == sorted(one) and sum(len(r.starts) > 0 for r in one) == 12
+    kept = decontamination.clean(rows, bench, item_col="doc_id", slice_bytes=120)
+    whole = decontamination.clean(rows, bench, item_col="doc_id")
+    assert kept.columns == rows.columns and kept.count() == 588 and whole.exceptAll(kept).count() == 0
+    assert len(list(tmp_path.glob("*/hits-*"))) > 8 and sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < size / 100
+
+
 def test_decontamination_tables_are_small():
     rng = random.Random(4)
     items = [(k, " ".join(f"{rng.randrange(10**6)}x" for _ in range(200))) for k in range(500)]
