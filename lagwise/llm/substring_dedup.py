@@ -4,7 +4,8 @@ A window of `window` words holds a whole block of `block` = (window + 1) // 2 wo
 wherever the window lies. So each document's non-overlapping blocks are its reference index, every rolling run of
 `block` words is a probe, and a window repeats in another document only where a probe hits a block of that document.
 
-Documents are dealt into units by a hash of id and text; texts are exchanged once for each of two phases:
+Documents are dealt into units by a hash of id and text. Texts are exchanged three times: once for each of two phases, and once more
+to take out what the second has found:
 
 1. Anchors. For each unit the distinct probes travel, as 32-bit prints within a bucket of the hash space, with a bit for
    those that are blocks of the index. A bucket answers with a bit for each probe: another unit has it as a block, or it
@@ -15,7 +16,8 @@ Documents are dealt into units by a hash of id and text; texts are exchanged onc
 
 A unit sends a window once however often its documents hold it, so a passage that a third of all documents share reaches
 a bucket once for each unit. Buckets and units grow in number with the input, not in size. A message holds what one unit has for
-one bucket and is sent only if that is something, so there are never more messages than distinct probes.
+one bucket and is sent only if that is something: up to units times buckets messages, the square of the input, until each
+holds a single probe. At 1 TB with the sizes below that is some billions of small messages; larger units lessen them.
 
 Defined results: null and empty texts have no words; ids are compared as 64-bit integers and a null id counts as larger
 than all; rows that share an id do not remove each other's words; other columns are not read.
