@@ -835,13 +835,19 @@ def manifest_flatten(spark: SparkSession, d: str) -> DataFrame:
     return flattened(table(spark, d, "orders"), table(spark, d, "lineitem"))
 
 
-def flattened(o: DataFrame, items: DataFrame) -> DataFrame:
-    """The manifest of orders as datasets and their items as files."""
-    lines = items.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    name = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
-    files = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(name.alias("name"), (F.col("o_custkey") + F.col("l_linenumber")).alias("size"))).alias("files"))
+#: Orders and items in one task of flattened(), whose sorts hold them in memory.
+MANIFEST_ROWS = 500_000
+
+
+def flattened(o: DataFrame, items: DataFrame, rows: int = MANIFEST_ROWS) -> DataFrame:
+    """The manifest of orders as datasets and their items as files, in as many tasks as the tables have times `rows` rows."""
+    n = max(1, -(-(o.count() + items.count()) // rows))
+    o = o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").repartition(n, "o_orderkey")
+    files = items.select("l_orderkey", "l_linenumber").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber")).alias("items"))
+    name = lambda i: F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit("_"), i["l_linenumber"].cast("string"))
+    files_ = F.transform("items", lambda i: F.struct(name(i).alias("name"), (F.col("o_custkey") + i["l_linenumber"]).alias("size")))
     spec = F.struct(F.array("o_orderpriority").alias("model"), F.array("o_orderstatus").alias("climate_scenario"))
-    docs = o.join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.to_json(F.struct(F.concat(F.lit("set"), F.col("o_orderkey").cast("string")).alias("name"), spec.alias("specifiers"), "files")).alias("json"))
+    docs = o.join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.to_json(F.struct(F.concat(F.lit("set"), F.col("o_orderkey").cast("string")).alias("name"), spec.alias("specifiers"), files_.alias("files"))).alias("json"))
     return manifest.flatten(docs).select("dataset", "model", "climate_scenario", "file_name", F.coalesce("size", F.lit(-1)).alias("size"))
 
 

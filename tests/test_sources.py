@@ -169,3 +169,20 @@ def test_searches_run_in_tasks(spark):
 
     found = manifest.discover(spark, {"model": ["m", "n", "o"], "variable": ["x", "y"]}, search)
     assert sorted(r.file_url for r in found.collect()) == ["u/m", "u/n", "u/o"]  # each file once
+
+
+def test_manifest_of_orders_takes_more_tasks_for_more_rows(spark):
+    from lagwise.plans.queries import flattened
+
+    orders = spark.createDataFrame([(k, 100 + k, "P", "S") for k in range(50)] + [(7, 900, "Q", "S"), (None, 1, "P", "S")], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string")
+    items = spark.createDataFrame([(k, n) for k in range(40) for n in range(k % 4)] + [(39, None)], "l_orderkey long, l_linenumber int")
+    few, many = flattened(orders, items), flattened(orders, items, 20)
+    assert few.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 6
+    expected = []
+    for o in orders.collect():
+        found = [i.l_linenumber for i in items.collect() if i.l_orderkey == o.o_orderkey] if o.o_orderkey is not None else []
+        name = None if o.o_orderkey is None else f"set{o.o_orderkey}"
+        for n in found or [None]:
+            expected.append((name, o.o_orderpriority, "S", *((None, -1) if n is None else (f"f{o.o_orderkey}_{n}", o.o_custkey + n))))
+    for df in (few, many):
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(expected, key=repr)
