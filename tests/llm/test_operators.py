@@ -445,6 +445,36 @@ def test_fuzzy_lines_meet_in_large_groups(spark):
     assert [got[k][0] for k in range(120)] == [0, 1] * 60
 
 
+def test_fuzzy_lines_of_a_large_group_need_no_second_key(spark):
+    rng = random.Random(9)
+    words = [["".join(rng.choice("bdfhjlnprtvxz") for _ in range(7)) for _ in range(12)] for _ in range(40)]
+    line = lambda w: " ".join(["abcdefghijklmd", *w])
+    rows = [(2 * k, line(w)) for k, w in enumerate(words)]
+    # A letter changes in every second word and in the last, so that no piece but the first, which all lines have, stays as it was.
+    rows += [(2 * k + 1, line([x[:3] + "o" + x[4:] if i % 2 == 0 or i == 11 else x for i, x in enumerate(w)])) for k, w in enumerate(words)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed")
+    assert [got[k][0] for k in range(80)] == [0, 1] * 40
+
+
+@pytest.mark.parametrize("alphabet", ["abcd ", "aä漢 ", "xyz😀 "])
+def test_runs_and_signatures_never_part_lines_that_are_alike(spark, alphabet):
+    rng = random.Random(3)
+    pairs = []
+    for k in range(120):
+        a = [rng.choice(alphabet) for _ in range(rng.randint(9, 700 if k % 3 else 60))]
+        b, edits = list(a), rng.randint(0, max(1, len(a) // 10))
+        for _ in range(edits):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(alphabet)])
+        pairs.append((k, "".join(a), "".join(b), edits))
+    df = spark.createDataFrame(pairs, "d1 long, x string, y string, edits int")
+    assert not df.where(line_dedup._missing(F.col("x"), F.col("y"), F.col("edits"))).count()
+    sides = [line_dedup._signatures(df.select("d1", F.col(c).alias("norm"))).alias(c) for c in "xy"]
+    both = df.join(sides[0], "d1").join(sides[1], "d1")
+    gone = sum((F.expr(f"bit_count(x.s{k} & ~y.s{k})") for k in range(line_dedup.SIGNED)), F.lit(0))
+    assert both.where(gone <= F.col("edits") * line_dedup._lost(F.col("x"), F.col("y"))).count() == len(pairs)
+
+
 def test_classifier_learns_and_is_repeatable(spark, odd, empty):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
