@@ -475,6 +475,40 @@ def test_runs_and_signatures_never_part_lines_that_are_alike(spark, alphabet):
     assert both.where(gone <= F.col("edits") * line_dedup._lost(F.col("x"), F.col("y"))).count() == len(pairs)
 
 
+def test_pairs_of_a_large_group_that_are_not_alike_are_settled_without_their_lines(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(3, 8)))
+    lines = ["a piece that all of them have " + " ".join(word() for _ in range(140)) for _ in range(40)]
+    pair = lines[0].split(" ")
+    pair[40:60:4] = [w[:-1] + "z" for w in pair[40:60:4]]
+    lines.append(" ".join(pair))
+    texts = spark.createDataFrame(list(enumerate(lines)), "d1 long, norm string").withColumn("thin", F.translate("norm", line_dedup.COMMON, ""))
+    members = texts.select(F.lit(1).cast("long").alias("key"), "d1", F.col("d1").alias("part"), F.length("norm").alias("len"))
+    assert [tuple(r) for r in line_dedup._rest(members, common.materialise(texts, "texts"), 0.9).collect()] == [(0, 40)]
+
+
+@pytest.mark.parametrize("alphabet", ["abcd ", "eaoiu nrst", "aeä漢 ", "xe😀 "])
+def test_thin_lines_and_runs_of_long_lines_never_part_lines_that_are_alike(spark, alphabet):
+    rng = random.Random(6)
+    pairs = []
+    for k in range(60):
+        a = [rng.choice(alphabet) for _ in range(rng.choice((9, 40, 290, 320, 1100)))]
+        b, edits = list(a), rng.randint(0, len(a) // 10)
+        for _ in range(edits):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(alphabet)])
+        pairs.append((2 * k, "".join(a), "".join(b), edits))
+    df = spark.createDataFrame(pairs, "a long, x string, y string, edits int")
+    assert not df.where(line_dedup._missing(F.col("x"), F.col("y"), F.col("edits"))).count()
+    thin = df.select(*[F.translate(c, line_dedup.COMMON, "").alias(c) for c in "xy"], "edits")
+    assert not thin.where(F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("edits")) < 0).count()
+    lines = df.select(F.col("a").alias("d1"), F.col("x").alias("norm")).union(df.select(F.col("a") + 1, "y"))
+    texts = common.materialise(lines.withColumn("thin", F.translate("norm", line_dedup.COMMON, "")), "texts")
+    links = line_dedup._linked(common.materialise(df.select("a", (F.col("a") + 1).alias("b")), "pairs"), texts, 0.9)
+    apart = {r.a: r.n for r in df.select("a", F.levenshtein("x", "y").alias("n")).collect()}
+    assert {r.a for r in links.collect()} == {k for k, a, b, _ in pairs if apart[k] <= int(0.1 * max(len(a), len(b)) + 1e-9)}
+
+
 def test_classifier_learns_and_is_repeatable(spark, odd, empty):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
