@@ -487,6 +487,20 @@ def test_pairs_of_a_large_group_that_are_not_alike_are_settled_without_their_lin
     assert [tuple(r) for r in line_dedup._rest(members, common.materialise(texts, "texts"), 0.9).collect()] == [(0, 40)]
 
 
+@pytest.mark.parametrize("letters", ["eaoiunrst", "eaoiunrstéñ"])
+def test_pairs_of_a_large_group_are_settled_by_signatures_alone(spark, letters):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    # Lines of the commonest letters have no thin form, and are long enough to fill a signature of a thousand bits.
+    lines = ["a piece that all of them have " + " ".join(word() for _ in range(140)) for _ in range(40)]
+    pair = lines[0].split(" ")
+    pair[40:60:4] = [w[:-1] + "z" for w in pair[40:60:4]]
+    lines.append(" ".join(pair))
+    texts = spark.createDataFrame(list(enumerate(lines)), "d1 long, norm string").withColumn("thin", F.translate("norm", line_dedup.COMMON, ""))
+    members = texts.select(F.lit(1).cast("long").alias("key"), "d1", F.col("d1").alias("part"), F.length("norm").alias("len"))
+    assert [tuple(r) for r in line_dedup._rest(members, common.materialise(texts, "texts"), 0.9).collect()] == [(0, 40)]
+
+
 @pytest.mark.parametrize("alphabet", ["abcd ", "eaoiu nrst", "aeä漢 ", "xe😀 "])
 def test_thin_lines_and_runs_of_long_lines_never_part_lines_that_are_alike(spark, alphabet):
     rng = random.Random(6)
